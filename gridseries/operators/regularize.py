@@ -1,0 +1,83 @@
+"""Regular daily calendar with bounded linear interpolation."""
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from gridseries import constants as C
+from gridseries.checks import check_max_gap_days, require_series
+from gridseries.functions import line_through
+from gridseries.operators._keyed import by_date, next_date, next_not_null
+from gridseries.operators.calendar import regularize
+
+
+def bracket_valid(
+    series: DataFrame, *, keys: Sequence[str] = (), value: str = C.SERIES_VALUE
+) -> DataFrame:
+    """Each row with the valid observation at or before it and the one after it.
+
+    Adds ``previous`` and ``following``, structs of ``date`` and ``value``, and
+    ``next_date``, the date of the row that comes next. One shuffle on the keys
+    and one sort serve all three.
+    """
+    require_series(series, keys, value)
+    number = F.col(value).cast("double")
+    observation = F.when(
+        number.isNotNull(), F.struct(F.col(C.DATE), number.alias("value"))
+    )
+    up_to_here = by_date(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return series.select(*keys, C.DATE, number.alias(value), observation.alias("_seen")).select(
+        *keys,
+        C.DATE,
+        value,
+        F.last("_seen", ignorenulls=True).over(up_to_here).alias("previous"),
+        next_not_null("_seen", keys).alias("following"),
+        next_date(keys).alias("next_date"),
+    )
+
+
+def regularize_and_fill(
+    series: DataFrame,
+    *,
+    keys: Sequence[str] = (),
+    max_gap_days: int = C.MAX_GAP_DAYS,
+    value: str = C.SERIES_VALUE,
+) -> DataFrame:
+    """Daily calendar; in every inner gap the first ``max_gap_days`` are filled.
+
+    A filled day lies on the straight line between the valid days around the
+    gap. Later days of a longer gap, and days before the first or after the last
+    valid day, stay missing. ``is_interpolated`` marks the filled days.
+    """
+    check_max_gap_days(max_gap_days)
+    if max_gap_days == 0:
+        return regularize(series, keys=keys, value=value).withColumn(
+            C.INTERPOLATED, F.lit(False)
+        )
+    days = F.sequence(C.DATE, F.coalesce(F.date_sub("next_date", 1), F.col(C.DATE)))
+    calendar = bracket_valid(series, keys=keys, value=value).select(
+        *keys,
+        F.col(value).alias("_own"),
+        "previous",
+        "following",
+        F.posexplode(days).alias("_offset", C.DATE),
+    )
+    left, right = F.col("previous"), F.col("following")
+    since_valid = F.datediff(C.DATE, left["date"])
+    line = line_through(
+        since_valid.cast("double"),
+        F.lit(0.0),
+        left["value"],
+        F.datediff(right["date"], left["date"]).cast("double"),
+        right["value"],
+    )
+    own = F.when(F.col("_offset") == 0, F.col("_own"))
+    fillable = own.isNull() & (since_valid <= max_gap_days)
+    filled = F.coalesce(own, F.when(fillable, line))
+    return calendar.select(
+        *keys,
+        C.DATE,
+        filled.alias(value),
+        (own.isNull() & filled.isNotNull()).alias(C.INTERPOLATED),
+    )

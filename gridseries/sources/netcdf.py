@@ -1,0 +1,86 @@
+"""Daily NetCDF files as a long-form grid table.
+
+Spark lists the files and hands each to a task; the decoding inside the task
+needs the ``netCDF4`` package on the executors. Convert an archive once with
+``sinks.write_grid`` and query the Parquet copy afterwards.
+"""
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from gridseries import constants as C
+from gridseries import schemas
+from gridseries.operators.region import Region
+
+# A decoder turns the bytes of one file into (dates, lats, lons, values) with
+# ``values`` shaped (dates, lats, lons) and NaN for missing.
+Decoder = Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def decode_netcdf(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Decode one file with netCDF4: variable ``sst``, single depth level."""
+    try:
+        import netCDF4
+    except ImportError as error:
+        raise ImportError("reading NetCDF files needs the netCDF4 package") from error
+    with netCDF4.Dataset("grid", memory=content) as data:
+        if C.GRID_VALUE not in data.variables:
+            raise ValueError("a file does not contain the variable 'sst'")
+        variable = data.variables[C.GRID_VALUE]
+        values = np.ma.filled(np.ma.asarray(variable[:], dtype="float64"), np.nan)
+        if "zlev" in variable.dimensions:
+            values = np.squeeze(values, axis=variable.dimensions.index("zlev"))
+        time = data.variables["time"]
+        stamps = netCDF4.num2date(time[:], time.units, only_use_cftime_datetimes=False)
+        dates = np.array([np.datetime64(s, "D") for s in np.atleast_1d(stamps)])
+        return dates, np.asarray(data.variables["lat"][:]), np.asarray(data.variables["lon"][:]), values
+
+
+def read_netcdf_grid(
+    spark: SparkSession,
+    root: str,
+    *,
+    pattern: str = C.FILE_PATTERN,
+    region: Region | None = None,
+    decode: Decoder = decode_netcdf,
+) -> DataFrame:
+    """Grid rows of every matching file below ``root``; one file is one day or so.
+
+    With ``region`` each file is cut to the box before its rows leave the task.
+    """
+    if region is not None:
+        region.validate()
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                dates, lats, lons, values = decode(content)
+                lats, lons = lats.astype("float64"), lons.astype("float64")
+                if region is not None:
+                    west, east = region.longitudes(bool(lons.min() >= 0))
+                    in_lat = (lats >= region.lat_min) & (lats <= region.lat_max)
+                    in_lon = (lons >= west) & (lons <= east)
+                    lats, lons = lats[in_lat], lons[in_lon]
+                    values = values[:, in_lat, :][:, :, in_lon]
+                for day, plane in zip(dates, values):
+                    flat = plane.astype("float64").ravel()
+                    yield pd.DataFrame(
+                        {
+                            C.DATE: pd.Timestamp(day).date(),
+                            C.LAT: np.repeat(lats, len(lons)),
+                            C.LON: np.tile(lons, len(lats)),
+                            C.GRID_VALUE: flat,
+                        }
+                    )
+
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern)
+        .load(root)
+        .select("content")
+    )
+    return schemas.nan_to_null(files.mapInPandas(rows, schemas.GRID), [C.GRID_VALUE])
