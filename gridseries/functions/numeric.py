@@ -41,16 +41,12 @@ def root_mean_square(value: Column) -> Column:
     return F.sqrt(F.avg(value * value))
 
 
-def line_through(
-    x: Column, x0: Column, y0: Column, x1: Column, y1: Column
-) -> Column:
-    """Point at ``x`` on the line from ``(x0, y0)`` to ``(x1, y1)``.
+def line_through(x: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Value at ``x`` of the line from ``(0, y0)`` to ``(x1, y1)``; no side is NaN.
 
-    With an infinite end the first form is NaN; the line is then taken from the
-    other end, and two equal ends give that value. What is still NaN is missing.
+    With an infinite side the line from the left is NaN. It is then taken from
+    the right; two equal sides give that value, and what remains is missing.
     """
-    slope = (y1 - y0) / (x1 - x0)
-    from_left = slope * (x - x0) + y0
+    slope = (y1 - y0) / x1
     from_right = slope * (x - x1) + y1
-    value = F.nanvl(from_left, F.nanvl(from_right, F.when(y0 == y1, y0)))
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(slope * x + y0, F.nanvl(from_right, F.when(y0 == y1, y0)))

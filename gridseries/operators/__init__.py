@@ -31,6 +31,7 @@ from gridseries.operators.explore import (
 from gridseries.operators.ingest import (
     count_actions,
     dates_of_files,
+    missing_dates,
     plan_downloads,
     with_file_keys,
 )
@@ -48,7 +49,7 @@ from gridseries.operators.region import (
     select_region,
     valid_region,
 )
-from gridseries.operators.regularize import bracket_valid, regularize_and_fill
+from gridseries.operators.gaps import bracket_valid, regularize_and_fill
 from gridseries.operators.spatial import (
     area_weighted_mean_sst,
     coverage_by_day,
@@ -77,6 +78,7 @@ __all__ = [
     "grid_weight",
     "histogram",
     "map_seasonal_cycle",
+    "missing_dates",
     "monthly_means",
     "persistence_predictions",
     "plan_downloads",

@@ -56,28 +56,30 @@ def regularize_and_fill(
             C.INTERPOLATED, F.lit(False)
         )
     days = F.sequence(C.DATE, F.coalesce(F.date_sub("next_date", 1), F.col(C.DATE)))
-    calendar = bracket_valid(series, keys=keys, value=value).select(
-        *keys,
-        F.col(value).alias("_own"),
-        "previous",
-        "following",
-        F.posexplode(days).alias("_offset", C.DATE),
-    )
     left, right = F.col("previous"), F.col("following")
-    since_valid = F.datediff(C.DATE, left["date"])
+    since_valid = F.datediff("day", left["date"])
+    gap = F.datediff(right["date"], left["date"])
     line = line_through(
-        since_valid.cast("double"),
-        F.lit(0.0),
-        left["value"],
-        F.datediff(right["date"], left["date"]).cast("double"),
-        right["value"],
+        since_valid.cast("double"), left["value"], gap.cast("double"), right["value"]
     )
-    own = F.when(F.col("_offset") == 0, F.col("_own"))
-    fillable = own.isNull() & (since_valid <= max_gap_days)
-    filled = F.coalesce(own, F.when(fillable, line))
-    return calendar.select(
-        *keys,
-        C.DATE,
-        filled.alias(value),
-        (own.isNull() & filled.isNotNull()).alias(C.INTERPOLATED),
+    present = (F.col("_offset") == 0) & F.col("_own").isNotNull()
+    return (
+        bracket_valid(series, keys=keys, value=value)
+        .select(
+            *keys,
+            F.col(value).alias("_own"),
+            "previous",
+            "following",
+            F.posexplode(days).alias("_offset", "day"),
+        )
+        .select(
+            *keys,
+            F.col("day").alias(C.DATE),
+            present.alias("_present"),
+            F.when(present, F.col("_own"))
+            .when(since_valid <= max_gap_days, line)
+            .alias(value),
+        )
+        .withColumn(C.INTERPOLATED, ~F.col("_present") & F.col(value).isNotNull())
+        .drop("_present")
     )

@@ -32,6 +32,13 @@ def dates_of_files(files: DataFrame) -> DataFrame:
     )
 
 
+def missing_dates(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Wanted dates that are not stored yet."""
+    for frame in (wanted, existing):
+        require_columns(frame, [C.DATE], "dates")
+    return wanted.join(existing, C.DATE, "left_anti")
+
+
 def plan_downloads(
     spark: SparkSession,
     start: str | dt.date,

@@ -46,5 +46,5 @@ def persistence_job(
         test_fraction=test_fraction,
         strict=True,
     )
-    write_metadata(metadata, metrics_path)
+    write_metadata(metadata, metrics_path, keys=keys)
     return metadata

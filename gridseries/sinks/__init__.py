@@ -2,9 +2,10 @@
 
 from gridseries.sinks.tables import (
     metadata_text,
+    write_cells,
     write_csv,
     write_grid,
     write_metadata,
 )
 
-__all__ = ["metadata_text", "write_csv", "write_grid", "write_metadata"]
+__all__ = ["metadata_text", "write_cells", "write_csv", "write_grid", "write_metadata"]

@@ -11,17 +11,26 @@ from gridseries.checks import require_columns
 from gridseries.functions import month_stamp
 
 
-def write_grid(grid: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Write a grid as Parquet, one directory per month, rows by latitude.
+def write_grid(
+    grid: DataFrame, path: str, *, band_degrees: float = 10.0, mode: str = "overwrite"
+) -> None:
+    """Write a grid as Parquet, one directory per month, sorted by cell.
 
-    Range partitioning on month and latitude cuts a month of any size into even
-    files and keeps each file to a band of latitudes, so a box filter skips the
-    row groups of other bands.
+    Rows are spread by month and latitude band and the partitions rebalanced by
+    size while the job runs: a month that holds most of the table is split over
+    many tasks, small ones share a task. Each file stays within few latitudes,
+    so a box filter skips most row groups and pages.
     """
     require_columns(grid, [C.DATE, C.LAT, C.LON, C.GRID_VALUE], "grid")
-    dated = grid.withColumn(C.MONTH_PARTITION, month_stamp(C.DATE))
     (
-        dated.repartitionByRange(C.MONTH_PARTITION, C.LAT, C.LON)
+        grid.withColumns(
+            {
+                C.MONTH_PARTITION: month_stamp(C.DATE),
+                "_band": F.floor(F.col(C.LAT) / band_degrees),
+            }
+        )
+        .hint("rebalance", F.col(C.MONTH_PARTITION), F.col("_band"))
+        .drop("_band")
         .sortWithinPartitions(C.MONTH_PARTITION, C.LAT, C.LON, C.DATE)
         .write.partitionBy(C.MONTH_PARTITION)
         .mode(mode)
@@ -29,6 +38,16 @@ def write_grid(grid: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     )
 
 
+def write_cells(grid: DataFrame, path: str, *, mode: str = "overwrite") -> None:
+    """Write the distinct cells of a grid.
+
+    Given to the operators as ``cells``, this small table answers everything
+    they ask about the grid's labels without another pass over it.
+    """
+    require_columns(grid, [C.LAT, C.LON], "grid")
+    grid.select(C.LAT, C.LON).distinct().write.mode(mode).parquet(path)
+
+
 def _csv_column(field: T.StructField) -> Column:
     """Booleans as ``True``/``False``; the other types as the writer has them."""
     if isinstance(field.dataType, T.BooleanType):
@@ -65,6 +84,12 @@ def metadata_text(metadata: DataFrame) -> DataFrame:
     return metadata.select(text.alias("value"))
 
 
-def write_metadata(metadata: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Write metadata as UTF-8 JSON text, one indented object per series."""
-    metadata_text(metadata).write.mode(mode).text(path)
+def write_metadata(
+    metadata: DataFrame, path: str, *, keys: Sequence[str] = (), mode: str = "overwrite"
+) -> None:
+    """Write metadata as UTF-8 JSON: one indented object for a single series,
+    one object per line when ``keys`` tell series apart."""
+    if keys:
+        metadata.write.option("ignoreNullFields", False).mode(mode).json(path)
+    else:
+        metadata_text(metadata).write.mode(mode).text(path)
