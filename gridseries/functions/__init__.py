@@ -12,11 +12,11 @@ from gridseries.functions.dates import (
 )
 from gridseries.functions.numeric import (
     cosine_weight,
-    finite_or_null,
     is_finite,
     line_through,
     longitude_column,
     longitude_value,
+    number,
     root_mean_square,
 )
 
@@ -27,13 +27,13 @@ __all__ = [
     "file_name",
     "file_path",
     "file_url",
-    "finite_or_null",
     "is_finite",
     "iso_date",
     "line_through",
     "longitude_column",
     "longitude_value",
     "month_stamp",
+    "number",
     "parse_date",
     "root_mean_square",
 ]

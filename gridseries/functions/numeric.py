@@ -25,15 +25,16 @@ def longitude_column(value: Column | str, nonnegative: bool) -> Column:
     return F.pmod(value.cast("double") + shift, F.lit(360.0)) - shift
 
 
-def is_finite(value: Column | str) -> Column:
-    """True for a value that is neither NULL, NaN nor infinite."""
+def number(value: Column | str) -> Column:
+    """A measured value as DOUBLE, with NaN as NULL."""
     value = F.col(value) if isinstance(value, str) else value
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(math.inf))
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
-def finite_or_null(value: Column | str) -> Column:
+def is_finite(value: Column | str) -> Column:
+    """True for a value that is neither NULL, NaN nor infinite."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.when(is_finite(value), value)
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(math.inf))
 
 
 def root_mean_square(value: Column) -> Column:

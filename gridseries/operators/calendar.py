@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridseries import constants as C
 from gridseries.checks import require_columns, require_series
-from gridseries.functions import parse_date
+from gridseries.functions import number, parse_date
 from gridseries.operators._keyed import next_date
 
 
@@ -62,7 +62,7 @@ def regularize(
         .select(
             *keys,
             C.DATE,
-            F.when(F.col("_offset") == 0, F.col(value).cast("double")).alias(value),
+            F.when(F.col("_offset") == 0, number(value)).alias(value),
         )
     )
 

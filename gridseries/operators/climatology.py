@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridseries import constants as C
 from gridseries.checks import check_frequency, raise_if, require_columns, require_series
-from gridseries.functions import day_key, parse_date
+from gridseries.functions import day_key, number, parse_date
 
 EMPTY_REFERENCE = "no valid values fall inside the climatology reference period"
 
@@ -48,7 +48,7 @@ def period_bounds(start: str | dt.date, end: str | dt.date) -> tuple[dt.date, dt
 
 def _in_reference(start: str | dt.date, end: str | dt.date, value: str) -> Column:
     lower, upper = period_bounds(start, end)
-    return F.col(C.DATE).between(F.lit(lower), F.lit(upper)) & F.col(value).isNotNull()
+    return F.col(C.DATE).between(F.lit(lower), F.lit(upper)) & number(value).isNotNull()
 
 
 def reference_period(
@@ -79,7 +79,7 @@ def seasonal_cycle(
         series, value=value, reference_start=reference_start, reference_end=reference_end
     )
     return reference.groupBy(*keys, season_key(frequency).alias("season")).agg(
-        F.avg(value).alias(value)
+        F.avg(number(value)).alias(value)
     )
 
 
@@ -159,7 +159,7 @@ def with_climatology(
     keyed = series.withColumns(
         {
             **dict(zip(season, _season(frequency))),
-            "_reference": F.when(in_reference, F.col(value).cast("double")),
+            "_reference": F.when(in_reference, number(value)),
         }
     )
     mean = F.avg("_reference").over(Window.partitionBy(*keys, *season))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from gridseries import constants as C
 from gridseries.checks import raise_if, require_columns, require_series
+from gridseries.functions import number
 from gridseries.operators._keyed import attach, by_date
 
 # exp(-u*u/2) is exactly 0.0 in double precision beyond this distance.
@@ -22,19 +23,18 @@ def monthly_means(
 ) -> DataFrame:
     """Mean of the whole record per calendar month."""
     require_series(series, keys, value)
-    return series.groupBy(*keys, F.month(C.DATE).alias("month")).agg(F.avg(value).alias(value))
+    return series.groupBy(*keys, F.month(C.DATE).alias("month")).agg(F.avg(number(value)).alias(value))
 
 
-def _value_range(series: DataFrame, keys: Sequence[str], value: str) -> list[Column]:
+def _value_range(value: str) -> list[Column]:
     """Aggregates over the present values; infinite ends fail the query."""
-    number = F.col(value).cast("double")
-    lowest, highest = F.min(number), F.max(number)
+    lowest, highest = F.min(value), F.max(value)
     endless = (F.abs(lowest) == F.lit(math.inf)) | (F.abs(highest) == F.lit(math.inf))
     return [
-        F.count(number).alias("_n"),
+        F.count(value).alias("_n"),
         raise_if(endless, "the value range is not finite", lowest).alias("_lo"),
         highest.alias("_hi"),
-        F.stddev_samp(number).alias("_sd"),
+        F.stddev_samp(value).alias("_sd"),
     ]
 
 
@@ -75,8 +75,8 @@ def histogram(
     require_columns(series, [*keys, value], "series")
     if bins < 1:
         raise ValueError(f"bins must be positive, got {bins!r}")
-    present = series.select(*keys, F.col(value).cast("double").alias("_x")).dropna(subset=["_x"])
-    spread = present.groupBy(*keys).agg(*_value_range(present, keys, "_x"))
+    present = series.select(*keys, number(value).alias("_x")).dropna(subset=["_x"])
+    spread = present.groupBy(*keys).agg(*_value_range("_x"))
     margin = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
     ends = spread.filter("_n > 0").select(
         *keys, (F.col("_lo") - margin).alias("_lo"), (F.col("_hi") + margin).alias("_hi")
@@ -132,8 +132,8 @@ def density_curve(
     require_columns(series, [*keys, value], "series")
     if points < 2:
         raise ValueError(f"points must be at least 2, got {points!r}")
-    present = series.select(*keys, F.col(value).cast("double").alias("_x")).dropna(subset=["_x"])
-    spread = present.groupBy(*keys).agg(*_value_range(present, keys, "_x"))
+    present = series.select(*keys, number(value).alias("_x")).dropna(subset=["_x"])
+    spread = present.groupBy(*keys).agg(*_value_range("_x"))
     bandwidth = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     shape = spread.filter("_n > 0").select(
         *keys,
@@ -208,7 +208,7 @@ def autocorrelation(
         n = raise_if(n < 3, "at least three observations are required", n)
     repeated = F.lag(C.DATE).over(order) == F.col(C.DATE)
     observed = (
-        series.select(*keys, C.DATE, F.col(value).cast("double").alias("_x"))
+        series.select(*keys, C.DATE, number(value).alias("_x"))
         .dropna(subset=["_x"])
         .select(
             *keys,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridseries import constants as C
 from gridseries.checks import check_max_gap_days, require_series
-from gridseries.functions import line_through
+from gridseries.functions import line_through, number
 from gridseries.operators._keyed import by_date, next_date, next_not_null
 from gridseries.operators.calendar import regularize
 
@@ -22,12 +22,12 @@ def bracket_valid(
     and one sort serve all three.
     """
     require_series(series, keys, value)
-    number = F.col(value).cast("double")
+    measured = number(value)
     observation = F.when(
-        number.isNotNull(), F.struct(F.col(C.DATE), number.alias("value"))
+        measured.isNotNull(), F.struct(F.col(C.DATE), measured.alias("value"))
     )
     up_to_here = by_date(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return series.select(*keys, C.DATE, number.alias(value), observation.alias("_seen")).select(
+    return series.select(*keys, C.DATE, measured.alias(value), observation.alias("_seen")).select(
         *keys,
         C.DATE,
         value,

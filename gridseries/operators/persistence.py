@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridseries import constants as C
 from gridseries.checks import check_test_fraction, raise_if, require_columns, require_series
+from gridseries.functions import number
 from gridseries.operators._keyed import by_date, next_date
 from gridseries.operators.metrics import metric_columns
 
@@ -18,7 +19,7 @@ def _value_of_day_before(value: str, keys: Sequence[str]) -> Column:
     """Value of the calendar day before; NULL when that day has no row."""
     order = by_date(keys)
     adjacent = F.lag(C.DATE).over(order) == F.date_sub(C.DATE, 1)
-    return F.when(adjacent, F.lag(value).over(order))
+    return F.when(adjacent, F.lag(number(value)).over(order))
 
 
 def persistence_predictions(
@@ -34,8 +35,8 @@ def persistence_predictions(
         anomaly.select(
             *keys,
             C.DATE,
-            F.col(value).cast("double").alias("_own"),
-            _value_of_day_before(value, keys).cast("double").alias("_before"),
+            number(value).alias("_own"),
+            _value_of_day_before(value, keys).alias("_before"),
             next_date(keys).alias("_next"),
         )
         .select(*keys, "_own", "_before", F.posexplode(days).alias("_offset", C.DATE))
@@ -93,8 +94,8 @@ def evaluate_persistence(
             follows == F.col(C.DATE), "series contains duplicate dates", F.col(C.DATE)
         ).alias("_day"),
         C.DATE,
-        F.col(value).cast("double").alias(C.OBSERVED),
-        _value_of_day_before(value, keys).cast("double").alias(C.PREDICTED),
+        number(value).alias(C.OBSERVED),
+        _value_of_day_before(value, keys).alias(C.PREDICTED),
     )
     test = (
         chronological_split(paired, keys=keys, test_fraction=test_fraction, strict=strict)

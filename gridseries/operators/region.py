@@ -138,15 +138,23 @@ def assign_regions(
         raise_if(west >= east, ANTIMERIDIAN, west).alias("_west"),
         east.alias("_east"),
     )
-    boxes = boxes.withColumn("_row", _bins(F.col("_south"), F.col("_north"), bin_degrees))
-    boxes = boxes.withColumn("_col", _bins(F.col("_west"), F.col("_east"), bin_degrees))
-    placed = grid.withColumns(
+    bins = boxes.withColumn("_row", _bins(F.col("_south"), F.col("_north"), bin_degrees))
+    bins = bins.withColumn("_col", _bins(F.col("_west"), F.col("_east"), bin_degrees))
+    # The area all regions span is known before the grid is read: its bounds
+    # reach the file scan, which the join conditions cannot.
+    span = boxes.agg(
+        F.min("_south").alias("s"), F.max("_north").alias("n"),
+        F.min("_west").alias("w"), F.max("_east").alias("e"),
+    )
+    south, north, left, right = [span.select(c).scalar() for c in ("s", "n", "w", "e")]
+    near = grid.filter(F.col(C.LAT).between(south, north) & F.col(C.LON).between(left, right))
+    placed = near.withColumns(
         {
             "_row": F.floor(F.col(C.LAT) / bin_degrees).cast("int"),
             "_col": F.floor(F.col(C.LON) / bin_degrees).cast("int"),
         }
     )
-    matched = placed.join(boxes, ["_row", "_col"]).filter(
+    matched = placed.join(bins, ["_row", "_col"]).filter(
         F.col(C.LAT).between(F.col("_south"), F.col("_north"))
         & F.col(C.LON).between(F.col("_west"), F.col("_east"))
     )

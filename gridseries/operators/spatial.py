@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseries import constants as C
-from gridseries.checks import check_min_valid_fraction, require_columns
-from gridseries.functions import cosine_weight
+from gridseries.checks import check_min_valid_fraction, raise_if, require_columns
+from gridseries.functions import cosine_weight, number
 from gridseries.operators._keyed import attach
 
 
 def grid_weight(cells: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
-    """Total area weight of a grid, missing cells included.
+    """Total area weight and cell count of a grid, missing cells included.
 
     The grid is the product of its latitude and its longitude labels, over all
     dates. Only distinct labels leave a task, a few thousand values per key, so
@@ -26,9 +26,11 @@ def grid_weight(cells: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
         )
     )
     labels = cells.select(*keys, label.alias("label")).select(*keys, "label.*").distinct()
-    per_row = F.sum(F.when(F.col("is_lat"), cosine_weight("at")))
-    columns = F.count_if(~F.col("is_lat"))
-    return labels.groupBy(*keys).agg((per_row * columns).alias("full_weight"))
+    rows, columns = F.count_if("is_lat"), F.count_if(~F.col("is_lat"))
+    per_column = F.sum(F.when(F.col("is_lat"), cosine_weight("at")))
+    return labels.groupBy(*keys).agg(
+        (per_column * columns).alias("full_weight"), (rows * columns).alias("cell_count")
+    )
 
 
 def coverage_by_day(
@@ -41,22 +43,34 @@ def coverage_by_day(
     """Per day: weighted mean of the valid cells and the share of area they cover.
 
     ``cells`` names the cells of the grid (with ``keys``) when the grid table
-    holds only some of them; by default they are taken from the grid itself.
+    holds only some of them; by default they are taken from the grid itself. A
+    day with every cell valid has a share of exactly one. A day with more rows
+    than the grid has cells fails the query, as rows must be repeated then.
     """
     require_columns(grid, [*keys, C.DATE, C.LAT, C.LON, value], "grid")
-    weight = F.when(F.col(value).isNotNull(), cosine_weight(C.LAT))
+    measured = number(value)
+    weight = F.when(measured.isNotNull(), cosine_weight(C.LAT))
     daily = grid.groupBy(*keys, C.DATE).agg(
-        F.sum(weight * F.col(value).cast("double")).alias("_total"),
+        F.sum(weight * measured).alias("_total"),
         F.coalesce(F.sum(weight), F.lit(0.0)).alias("valid_weight"),
+        F.count(measured).alias("_valid"),
+        F.count(F.lit(1)).alias("_rows"),
     )
     full = grid_weight(cells if cells is not None else grid, keys=keys)
+    share = F.when(F.col("_valid") == F.col("cell_count"), 1.0).otherwise(
+        F.try_divide("valid_weight", "full_weight")
+    )
     return attach(daily, full, keys).select(
         *keys,
         C.DATE,
         F.try_divide("_total", "valid_weight").alias("mean"),
         "valid_weight",
         "full_weight",
-        F.try_divide("valid_weight", "full_weight").alias("valid_fraction"),
+        raise_if(
+            F.col("_rows") > F.col("cell_count"),
+            "grid contains duplicate (date, lat, lon) rows",
+            share,
+        ).alias("valid_fraction"),
     )
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseries import constants as C
+from gridseries.checks import assert_unique_cells
 from gridseries.operators import (
     Region,
     area_weighted_mean_sst,
+    grid_convention,
     regularize_and_fill,
     select_region,
     with_climatology,
@@ -81,9 +83,22 @@ def load_regional_sst(
     end: str | dt.date | None = None,
     strict: bool = True,
 ) -> DataFrame:
-    """Read grid files and reduce them to the daily series of one region."""
+    """Read grid files and reduce them to the daily series of one region.
+
+    ``strict`` first rejects several depth levels, a region off the grid and
+    repeated cells; the last of these shuffles the rows of the region once.
+    """
     grid = read_grid(spark, path, format=format, start=start, end=end, strict=strict)
-    return regional_series(grid, region, min_valid_fraction=min_valid_fraction, strict=strict)
+    nonnegative_lon = grid_convention(grid)
+    if strict:
+        assert_unique_cells(select_region(grid, region, nonnegative_lon=nonnegative_lon))
+    return regional_series(
+        grid,
+        region,
+        min_valid_fraction=min_valid_fraction,
+        nonnegative_lon=nonnegative_lon,
+        strict=strict,
+    )
 
 
 def preprocess_job(
@@ -98,10 +113,16 @@ def preprocess_job(
     climatology_start: str | dt.date = C.REFERENCE_START,
     climatology_end: str | dt.date = C.REFERENCE_END,
     format: str = "parquet",
+    strict: bool = True,
 ) -> int:
     """Grid files in, anomaly table out as CSV; returns the number of days."""
     series = load_regional_sst(
-        spark, input_path, region, min_valid_fraction=min_valid_fraction, format=format
+        spark,
+        input_path,
+        region,
+        min_valid_fraction=min_valid_fraction,
+        format=format,
+        strict=strict,
     )
     table = build_anomaly_table(
         series,

@@ -227,6 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "grid_labels": _with(SUPPLIER_GRID) + """
             SELECT round((SELECT sum(cos(radians(lat))) FROM (SELECT DISTINCT lat FROM grid))
                          * (SELECT count(DISTINCT lon) FROM grid), 6) AS full_weight,
+                   (SELECT count(DISTINCT lat) * count(DISTINCT lon) FROM grid) AS cell_count,
                    (SELECT min(lon) >= 0 FROM grid) AS nonnegative_lon""",
         "region_box": _with(NATION_GRID) + """SELECT date, lat, lon, round(sst, 6) AS sst
             FROM grid WHERE lat BETWEEN 29 AND 41 AND lon BETWEEN 114 AND 126""",
