@@ -272,11 +272,14 @@ def autocorrelation(
 def acf_band(acf: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``half_width``, the 95 % band around zero by Bartlett's formula.
 
-    The variance at a lag grows with the squared autocorrelations before it.
+    The variance at a lag grows with the squared autocorrelations before it;
+    where those are NULL, so is the band.
     """
     require_columns(acf, [*keys, "lag", "acf", "n"], "acf")
     before = Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
-    squares = F.coalesce(F.sum(F.col("acf") * F.col("acf")).over(before), F.lit(0.0))
+    squares = F.when(F.col("lag") == 1, 0.0).otherwise(
+        F.sum(F.col("acf") * F.col("acf")).over(before)
+    )
     return acf.withColumn(
         "half_width", F.lit(C.NORMAL_95) * F.sqrt((squares * 2.0 + 1.0) / F.col("n"))
     )

@@ -125,15 +125,15 @@ def autocorrelation(longest: int) -> str:
     FROM anomaly WHERE a IS NOT NULL),
 shifted AS (SELECT k, c, unnest(range(1, {longest} + 1)) AS lag, pos, n FROM dev),
 acf AS (
-    SELECT x.k, x.lag, x.n, sum(x.c * y.c) / any_value(z.s) AS r
+    SELECT x.k, x.lag, x.n, sum(x.c * y.c) / nullif(any_value(z.s), 0) AS r
     FROM shifted x JOIN dev y ON y.k = x.k AND y.pos = x.pos + x.lag
     JOIN (SELECT k, sum(c * c) AS s FROM dev GROUP BY k) z ON z.k = x.k
     WHERE x.lag <= x.n // 2 - 1
     GROUP BY x.k, x.lag, x.n)"""
 
 
-BAND = """round(1.959963984540054 * sqrt((1 + 2 * coalesce(sum(r * r) OVER (
-    PARTITION BY k ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n), 6)
+BAND = """round(1.959963984540054 * sqrt((1 + 2 * CASE WHEN lag = 1 THEN 0 ELSE sum(r * r) OVER (
+    PARTITION BY k ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END) / n), 6)
     AS half_width"""
 
 
