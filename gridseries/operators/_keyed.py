@@ -15,9 +15,24 @@ def by_date(keys: Sequence[str]) -> WindowSpec:
 
 
 def next_date(keys: Sequence[str]) -> Column:
-    """Date of the following row; fails the query when a date repeats."""
-    following = F.lead(C.DATE).over(by_date(keys))
-    return raise_if(following == F.col(C.DATE), "series contains duplicate dates", following)
+    """Date of the following row of a series."""
+    return F.lead(C.DATE).over(by_date(keys))
+
+
+def unrepeated(neighbour: str, value: Column) -> Column:
+    """``value``, unless the date in ``neighbour`` is the row's own date.
+
+    Put on a column that a result depends on, this finds repeated dates in the
+    pass that is made anyway.
+    """
+    same = F.col(neighbour) == F.col(C.DATE)
+    return raise_if(same, "series contains duplicate dates", value)
+
+
+def days_up_to(following: str) -> Column:
+    """The row's date and the days after it, up to the following row."""
+    last = F.coalesce(F.date_sub(following, 1), F.col(C.DATE))
+    return F.sequence(F.col(C.DATE), unrepeated(following, last))
 
 
 def next_not_null(column: str, keys: Sequence[str]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridseries import constants as C
 from gridseries.checks import require_columns, require_series
 from gridseries.functions import number, parse_date
-from gridseries.operators._keyed import next_date
+from gridseries.operators._keyed import days_up_to, next_date
 
 
 def check_date_range(
@@ -55,9 +55,7 @@ def regularize(
         .select(
             *keys,
             value,
-            F.posexplode(
-                F.sequence(C.DATE, F.coalesce(F.date_sub("_next", 1), F.col(C.DATE)))
-            ).alias("_offset", C.DATE),
+            F.posexplode(days_up_to("_next")).alias("_offset", C.DATE),
         )
         .select(
             *keys,

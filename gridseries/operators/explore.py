@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from gridseries import constants as C
 from gridseries.checks import raise_if, require_columns, require_series
 from gridseries.functions import number
-from gridseries.operators._keyed import attach, by_date
+from gridseries.operators._keyed import attach, by_date, unrepeated
 
 # exp(-u*u/2) is exactly 0.0 in double precision beyond this distance.
 KERNEL_REACH = 38.7
@@ -206,20 +206,19 @@ def autocorrelation(
     n = F.count(F.lit(1)).over(whole)
     if strict:
         n = raise_if(n < 3, "at least three observations are required", n)
-    repeated = F.lag(C.DATE).over(order) == F.col(C.DATE)
     observed = (
         series.select(*keys, C.DATE, number(value).alias("_x"))
         .dropna(subset=["_x"])
         .select(
             *keys,
-            raise_if(
-                repeated,
-                "series contains duplicate dates",
-                F.col("_x") - F.avg("_x").over(whole),
-            ).alias("_c"),
+            C.DATE,
+            (F.col("_x") - F.avg("_x").over(whole)).alias("_c"),
+            F.lag(C.DATE).over(order).alias("_last_date"),
             (F.row_number().over(order) - 1).alias("_at"),
             n.alias("_n"),
         )
+        .withColumn("_c", unrepeated("_last_date", F.col("_c")))
+        .drop(C.DATE, "_last_date")
     )
     block = F.floor(F.col("_at") / ACF_BLOCK).cast("int")
     # A row also belongs to the earlier blocks whose last rows reach it.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridseries import constants as C
 from gridseries.checks import check_max_gap_days, require_series
 from gridseries.functions import line_through, number
-from gridseries.operators._keyed import by_date, next_date, next_not_null
+from gridseries.operators._keyed import by_date, days_up_to, next_date, next_not_null
 from gridseries.operators.calendar import regularize
 
 
@@ -55,7 +55,6 @@ def regularize_and_fill(
         return regularize(series, keys=keys, value=value).withColumn(
             C.INTERPOLATED, F.lit(False)
         )
-    days = F.sequence(C.DATE, F.coalesce(F.date_sub("next_date", 1), F.col(C.DATE)))
     left, right = F.col("previous"), F.col("following")
     since_valid = F.datediff("day", left["date"])
     gap = F.datediff(right["date"], left["date"])
@@ -70,7 +69,7 @@ def regularize_and_fill(
             F.col(value).alias("_own"),
             "previous",
             "following",
-            F.posexplode(days).alias("_offset", "day"),
+            F.posexplode(days_up_to("next_date")).alias("_offset", "day"),
         )
         .select(
             *keys,

@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from gridseries import constants as C
 from gridseries.checks import check_test_fraction, raise_if, require_columns, require_series
 from gridseries.functions import number
-from gridseries.operators._keyed import by_date, next_date
+from gridseries.operators._keyed import by_date, days_up_to, next_date, unrepeated
 from gridseries.operators.metrics import metric_columns
 
 TOO_SHORT = "at least two daily rows are required"
 NO_TEST_PAIRS = "the chronological test segment has no valid pairs"
 
 
-def _value_of_day_before(value: str, keys: Sequence[str]) -> Column:
-    """Value of the calendar day before; NULL when that day has no row."""
+def _with_neighbours(anomaly: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Each row with the row before it and the date after it."""
     order = by_date(keys)
-    adjacent = F.lag(C.DATE).over(order) == F.date_sub(C.DATE, 1)
-    return F.when(adjacent, F.lag(number(value)).over(order))
+    return anomaly.select(*keys, C.DATE, number(value).alias("_own")).select(
+        "*",
+        F.lag(C.DATE).over(order).alias("_last_date"),
+        F.lag("_own").over(order).alias("_last"),
+        next_date(keys).alias("_next"),
+    )
+
+
+def _value_of_day_before() -> Column:
+    """Value of the calendar day before; NULL when that day has no row."""
+    return F.when(F.col("_last_date") == F.date_sub(C.DATE, 1), F.col("_last"))
 
 
 def persistence_predictions(
@@ -27,20 +36,16 @@ def persistence_predictions(
 ) -> DataFrame:
     """For every calendar day of the series, the value of the day before."""
     require_series(anomaly, keys, value)
-    days = F.sequence(C.DATE, F.coalesce(F.date_sub("_next", 1), F.col(C.DATE)))
     prediction = F.when(F.col("_offset") == 0, F.col("_before")).when(
         F.col("_offset") == 1, F.col("_own")
     )
     return (
-        anomaly.select(
-            *keys,
-            C.DATE,
-            number(value).alias("_own"),
-            _value_of_day_before(value, keys).alias("_before"),
-            next_date(keys).alias("_next"),
+        _with_neighbours(anomaly, keys, value)
+        .withColumn("_before", _value_of_day_before())
+        .select(
+            *keys, "_own", "_before", F.posexplode(days_up_to("_next")).alias("_offset", "day")
         )
-        .select(*keys, "_own", "_before", F.posexplode(days).alias("_offset", C.DATE))
-        .select(*keys, C.DATE, prediction.alias(C.PREDICTED))
+        .select(*keys, F.col("day").alias(C.DATE), prediction.alias(C.PREDICTED))
     )
 
 
@@ -87,15 +92,11 @@ def evaluate_persistence(
     """
     check_test_fraction(test_fraction)
     require_series(anomaly, keys, value)
-    follows = F.lag(C.DATE).over(by_date(keys))
-    paired = anomaly.select(
+    paired = _with_neighbours(anomaly, keys, value).select(
         *keys,
-        raise_if(
-            follows == F.col(C.DATE), "series contains duplicate dates", F.col(C.DATE)
-        ).alias("_day"),
-        C.DATE,
-        number(value).alias(C.OBSERVED),
-        _value_of_day_before(value, keys).alias(C.PREDICTED),
+        unrepeated("_last_date", F.col(C.DATE)).alias(C.DATE),
+        F.col("_own").alias(C.OBSERVED),
+        _value_of_day_before().alias(C.PREDICTED),
     )
     test = (
         chronological_split(paired, keys=keys, test_fraction=test_fraction, strict=strict)
@@ -103,7 +104,7 @@ def evaluate_persistence(
         .dropna(subset=[C.OBSERVED, C.PREDICTED])
         .select(
             *keys,
-            F.col("_day").alias(C.DATE),
+            C.DATE,
             C.OBSERVED,
             C.PREDICTED,
             (F.col(C.PREDICTED) - F.col(C.OBSERVED)).alias(C.ERROR),

@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseries import constants as C
-from gridseries.checks import assert_unique_cells
 from gridseries.operators import (
     Region,
     area_weighted_mean_sst,
-    grid_convention,
     regularize_and_fill,
     select_region,
     with_climatology,
@@ -81,22 +79,22 @@ def load_regional_sst(
     format: str = "parquet",
     start: str | dt.date | None = None,
     end: str | dt.date | None = None,
+    cells: DataFrame | None = None,
     strict: bool = True,
 ) -> DataFrame:
     """Read grid files and reduce them to the daily series of one region.
 
-    ``strict`` first rejects several depth levels, a region off the grid and
-    repeated cells; the last of these shuffles the rows of the region once.
+    ``strict`` first rejects several depth levels and a region off the grid. A
+    day with more rows than the region has cells, as from a file stored twice,
+    fails while the plan runs. For a table that lacks cells on some days,
+    ``checks.assert_unique_cells`` looks for repeated rows one by one.
     """
     grid = read_grid(spark, path, format=format, start=start, end=end, strict=strict)
-    nonnegative_lon = grid_convention(grid)
-    if strict:
-        assert_unique_cells(select_region(grid, region, nonnegative_lon=nonnegative_lon))
     return regional_series(
         grid,
         region,
         min_valid_fraction=min_valid_fraction,
-        nonnegative_lon=nonnegative_lon,
+        cells=cells,
         strict=strict,
     )
 

@@ -64,9 +64,8 @@ def read_grid(
         raise FileNotFoundError("no grid files were given")
     reader = spark.read.format(format)
     if format == "csv":
-        reader = reader.option("header", True).schema(
-            T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *_CSV_GRID])
-        ).option("enforceSchema", False)
+        # No schema: columns are found by name and cast by prepare_grid.
+        reader = reader.option("header", True)
     raw = reader.load(paths)
     when = C.DATE if C.DATE in raw.columns else "time"
     require_columns(raw, [when], "grid")
@@ -82,10 +81,3 @@ def read_grid(
         raw = raw.filter(F.col(when) >= edge if is_start else F.col(when) < edge)
     return prepare_grid(raw, keys=keys, strict=strict)
 
-
-_CSV_GRID = [
-    T.StructField(C.DATE, T.DateType()),
-    T.StructField(C.LAT, T.DoubleType()),
-    T.StructField(C.LON, T.DoubleType()),
-    T.StructField(C.GRID_VALUE, T.DoubleType()),
-]
