@@ -14,6 +14,8 @@ from gridseries.operators._keyed import attach, by_date, unrepeated
 
 # exp(-u*u/2) is exactly 0.0 in double precision beyond this distance.
 KERNEL_REACH = 38.7
+# Neighbouring places whose kernels are summed side by side.
+KERNEL_BLOCK = 10
 # Observations per block of the autocorrelation; a block also sees max_lags more.
 ACF_BLOCK = 8192
 
@@ -125,9 +127,10 @@ def density_curve(
     """Gaussian kernel density on the scale of :func:`histogram` counts.
 
     Scott bandwidth, evaluated at ``points`` places from the smallest to the
-    largest value; a constant series has no curve. Each observation meets only the places where its kernel is
-    not exactly zero: the bandwidth shrinks as data grow, so a long table visits
-    ever fewer places per row. Sums are formed before anything is shuffled.
+    largest value; a constant series has no curve. Each observation meets only
+    the places where its kernel is not exactly zero: the bandwidth shrinks as
+    data grow, so a long table visits ever fewer places per row. Sums are formed
+    before anything is shuffled.
     """
     require_columns(series, [*keys, value], "series")
     if points < 2:
@@ -139,37 +142,47 @@ def density_curve(
         *keys,
         "_lo",
         "_hi",
-        F.when(bandwidth > 0, bandwidth).alias("_h"),
+        F.when((bandwidth > 0) & (F.col("_lo") < F.col("_hi")), bandwidth).alias("_h"),
         ((F.col("_hi") - F.col("_lo")) / (points - 1)).alias("_step"),
     )
     reach = F.col("_h") * KERNEL_REACH
-    nearest = F.greatest(
-        F.ceil((F.col("_x") - reach - F.col("_lo")) / F.col("_step")).cast("int"), F.lit(0)
-    )
+    offset, step = F.col("_x") - F.col("_lo"), F.col("_step")
+    nearest = F.greatest(F.ceil(F.try_divide(offset - reach, step)).cast("int"), F.lit(0))
     farthest = F.least(
-        F.floor((F.col("_x") + reach - F.col("_lo")) / F.col("_step")).cast("int"),
-        F.lit(points - 1),
+        F.floor(F.try_divide(offset + reach, step)).cast("int"), F.lit(points - 1)
     )
     met = attach(present, shape, keys).filter("_h is not null")
     met = met.withColumns({"_from": nearest, "_to": farthest}).filter("_from <= _to")
-    met = met.withColumn("point", F.explode(F.sequence("_from", "_to")))
+
+    def block(place: str) -> Column:
+        return F.floor(F.col(place) / KERNEL_BLOCK).cast("int")
+
+    # One row per block of places it reaches, and the block's kernels side by
+    # side: a tenth of the rows, and a tenth of the lookups in the aggregate.
+    met = met.withColumn("_block", F.explode(F.sequence(block("_from"), block("_to"))))
+    start = F.col("_block") * KERNEL_BLOCK * F.col("_step") + F.col("_lo")
+    met = met.withColumns(
+        {"_u": (start - F.col("_x")) / F.col("_h"), "_du": F.col("_step") / F.col("_h")}
+    )
+    kernels = []
+    for i in range(KERNEL_BLOCK):
+        u = F.col("_u") + F.col("_du") * i
+        kernels.append(F.sum(F.exp(u * u * -0.5)))
+    shape_columns = ["_lo", "_hi", "_h", "_step"]
+    sums = (
+        met.groupBy(*keys, "_block")
+        .agg(F.array(*kernels).alias("_sums"), *_carried(*shape_columns))
+        .select(*keys, "_block", *shape_columns, F.posexplode("_sums").alias("_at", "_y"))
+        .withColumn("point", F.col("_block") * KERNEL_BLOCK + F.col("_at"))
+        .filter(F.col("point") < points)
+    )
+    curve = _by_place(sums, keys, "point", points, shape_columns)
 
     def place(i: Column) -> Column:
         return F.when(i == points - 1, F.col("_hi")).otherwise(
             i * F.col("_step") + F.col("_lo")
         )
 
-    distance = (place(F.col("point")) - F.col("_x")) / F.col("_h")
-    curve = _by_place(
-        met.groupBy(*keys, "point").agg(
-            F.sum(F.exp(distance * distance * -0.5)).alias("_y"),
-            *_carried("_lo", "_hi", "_h", "_step"),
-        ),
-        keys,
-        "point",
-        points,
-        ["_lo", "_hi", "_h", "_step"],
-    )
     bin_width = (F.col("_hi") - F.col("_lo")) / bins
     scale = bin_width / (F.col("_h") * math.sqrt(2 * math.pi))
     return curve.select(
