@@ -29,10 +29,14 @@ def unrepeated(neighbour: str, value: Column) -> Column:
     return raise_if(same, "series contains duplicate dates", value)
 
 
-def days_up_to(following: str) -> Column:
-    """The row's date and the days after it, up to the following row."""
-    last = F.coalesce(F.date_sub(following, 1), F.col(C.DATE))
-    return F.sequence(F.col(C.DATE), unrepeated(following, last))
+def days_until(following: str) -> Column:
+    """Offsets of the row's date and of the days after it, up to the next row.
+
+    Whole numbers rather than dates: a sequence of dates is computed by way of
+    time stamps, which takes several times as long.
+    """
+    last = F.coalesce(F.datediff(following, C.DATE) - 1, F.lit(0))
+    return F.explode(F.sequence(F.lit(0), unrepeated(following, last)))
 
 
 def next_not_null(column: str, keys: Sequence[str]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridseries import constants as C
 from gridseries.checks import require_columns, require_series
 from gridseries.functions import number, parse_date
-from gridseries.operators._keyed import days_up_to, next_date
+from gridseries.operators._keyed import days_until, next_date
 
 
 def check_date_range(
@@ -52,14 +52,10 @@ def regularize(
     require_series(series, keys, value)
     return (
         series.select(*keys, C.DATE, value, next_date(keys).alias("_next"))
+        .select(*keys, C.DATE, value, days_until("_next").alias("_offset"))
         .select(
             *keys,
-            value,
-            F.posexplode(days_up_to("_next")).alias("_offset", C.DATE),
-        )
-        .select(
-            *keys,
-            C.DATE,
+            F.date_add(C.DATE, F.col("_offset")).alias(C.DATE),
             F.when(F.col("_offset") == 0, number(value)).alias(value),
         )
     )

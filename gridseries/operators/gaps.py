@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridseries import constants as C
 from gridseries.checks import check_max_gap_days, require_series
 from gridseries.functions import line_through, number
-from gridseries.operators._keyed import by_date, days_up_to, next_date, next_not_null
+from gridseries.operators._keyed import by_date, days_until, next_date, next_not_null
 from gridseries.operators.calendar import regularize
 
 
@@ -17,22 +17,25 @@ def bracket_valid(
 ) -> DataFrame:
     """Each row with the valid observation at or before it and the one after it.
 
-    Adds ``previous`` and ``following``, structs of ``date`` and ``value``, and
-    ``next_date``, the date of the row that comes next. One shuffle on the keys
-    and one sort serve all three.
+    Adds ``previous_date``, ``previous_value``, ``following_date`` and
+    ``following_value``, and ``next_date``, the date of the row that comes next.
+    One shuffle on the keys and one sort serve all of them.
     """
     require_series(series, keys, value)
-    measured = number(value)
-    observation = F.when(
-        measured.isNotNull(), F.struct(F.col(C.DATE), measured.alias("value"))
+    # The date of an observation is NULL where its value is, so the nearest
+    # date and the nearest value always belong to the same row.
+    flat = series.select(*keys, C.DATE, number(value).alias(value)).withColumn(
+        "_seen", F.when(F.col(value).isNotNull(), F.col(C.DATE))
     )
     up_to_here = by_date(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return series.select(*keys, C.DATE, measured.alias(value), observation.alias("_seen")).select(
+    return flat.select(
         *keys,
         C.DATE,
         value,
-        F.last("_seen", ignorenulls=True).over(up_to_here).alias("previous"),
-        next_not_null("_seen", keys).alias("following"),
+        F.last("_seen", ignorenulls=True).over(up_to_here).alias("previous_date"),
+        F.last(value, ignorenulls=True).over(up_to_here).alias("previous_value"),
+        next_not_null("_seen", keys).alias("following_date"),
+        next_not_null(value, keys).alias("following_value"),
         next_date(keys).alias("next_date"),
     )
 
@@ -55,25 +58,29 @@ def regularize_and_fill(
         return regularize(series, keys=keys, value=value).withColumn(
             C.INTERPOLATED, F.lit(False)
         )
-    left, right = F.col("previous"), F.col("following")
-    since_valid = F.datediff("day", left["date"])
-    gap = F.datediff(right["date"], left["date"])
+    since_valid = F.datediff(C.DATE, "previous_date") + F.col("_offset")
     line = line_through(
-        since_valid.cast("double"), left["value"], gap.cast("double"), right["value"]
+        since_valid.cast("double"),
+        F.col("previous_value"),
+        F.datediff("following_date", "previous_date").cast("double"),
+        F.col("following_value"),
     )
     present = (F.col("_offset") == 0) & F.col("_own").isNotNull()
     return (
         bracket_valid(series, keys=keys, value=value)
         .select(
             *keys,
+            C.DATE,
             F.col(value).alias("_own"),
-            "previous",
-            "following",
-            F.posexplode(days_up_to("next_date")).alias("_offset", "day"),
+            "previous_date",
+            "previous_value",
+            "following_date",
+            "following_value",
+            days_until("next_date").alias("_offset"),
         )
         .select(
             *keys,
-            F.col("day").alias(C.DATE),
+            F.date_add(C.DATE, F.col("_offset")).alias(C.DATE),
             present.alias("_present"),
             F.when(present, F.col("_own"))
             .when(since_valid <= max_gap_days, line)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridseries import constants as C
 from gridseries.checks import check_test_fraction, raise_if, require_columns, require_series
 from gridseries.functions import number
-from gridseries.operators._keyed import by_date, days_up_to, next_date, unrepeated
+from gridseries.operators._keyed import by_date, days_until, next_date, unrepeated
 from gridseries.operators.metrics import metric_columns
 
 TOO_SHORT = "at least two daily rows are required"
@@ -42,10 +42,8 @@ def persistence_predictions(
     return (
         _with_neighbours(anomaly, keys, value)
         .withColumn("_before", _value_of_day_before())
-        .select(
-            *keys, "_own", "_before", F.posexplode(days_up_to("_next")).alias("_offset", "day")
-        )
-        .select(*keys, F.col("day").alias(C.DATE), prediction.alias(C.PREDICTED))
+        .select(*keys, C.DATE, "_own", "_before", days_until("_next").alias("_offset"))
+        .select(*keys, F.date_add(C.DATE, F.col("_offset")).alias(C.DATE), prediction.alias(C.PREDICTED))
     )
 
 

@@ -5,6 +5,7 @@ from gridseries.plans.anomaly import (
     load_regional_sst,
     preprocess_job,
     regional_series,
+    series_of_regions,
 )
 from gridseries.plans.exploration import exploration_tables
 from gridseries.plans.forecast import persistence_job
@@ -16,4 +17,5 @@ __all__ = [
     "persistence_job",
     "preprocess_job",
     "regional_series",
+    "series_of_regions",
 ]

@@ -11,6 +11,8 @@ from gridseries import constants as C
 from gridseries.operators import (
     Region,
     area_weighted_mean_sst,
+    assign_regions,
+    grid_convention,
     regularize_and_fill,
     select_region,
     with_climatology,
@@ -70,6 +72,34 @@ def regional_series(
     )
 
 
+def series_of_regions(
+    grid: DataFrame,
+    regions: DataFrame,
+    *,
+    name: str = "region",
+    min_valid_fraction: float = C.MIN_VALID_FRACTION,
+    cells: DataFrame | None = None,
+    nonnegative_lon: bool | None = None,
+) -> DataFrame:
+    """Daily area-weighted mean of every region of a table, in one pass.
+
+    ``name`` is the column that names the regions and the key of the result.
+    """
+    if nonnegative_lon is None:
+        nonnegative_lon = grid_convention(cells if cells is not None else grid)
+
+    def of_regions(frame):
+        return assign_regions(frame, regions, name=name, nonnegative_lon=nonnegative_lon)
+
+    return area_weighted_mean_sst(
+        of_regions(grid),
+        keys=[name],
+        min_valid_fraction=min_valid_fraction,
+        output=C.SERIES_VALUE,
+        cells=None if cells is None else of_regions(cells),
+    )
+
+
 def load_regional_sst(
     spark: SparkSession,
     path: str | Sequence[str],

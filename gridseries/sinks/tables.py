@@ -60,16 +60,20 @@ def write_csv(
 ) -> int:
     """Write a table as CSV in date order with a header; returns the row count.
 
-    Rows are range-partitioned on keys and date, so the part files follow one
-    another in order and no task sees the whole table. The count is taken while
-    the rows are written.
+    The part files of a single series follow one another in date order. With
+    ``keys`` the series are spread over files of even size and each file is in
+    order of keys and date; a global order would cost a sampling pass over the
+    whole plan. The count is taken while the rows are written.
     """
     require_columns(table, [*keys, C.DATE], "table")
     written = Observation("written")
+    columns = table.select(*[_csv_column(f) for f in table.schema.fields])
+    if keys:
+        ordered = columns.hint("rebalance", *map(F.col, keys)).sortWithinPartitions(*keys, C.DATE)
+    else:
+        ordered = columns.orderBy(C.DATE)
     (
-        table.select(*[_csv_column(f) for f in table.schema.fields])
-        .orderBy(*keys, C.DATE)
-        .observe(written, F.count(F.lit(1)).alias("rows"))
+        ordered.observe(written, F.count(F.lit(1)).alias("rows"))
         .write.option("header", True)
         .option("dateFormat", "yyyy-MM-dd")
         .mode(mode)

@@ -8,7 +8,8 @@ from gridseries import constants as C
 def list_files(
     spark: SparkSession, root: str, pattern: str = C.FILE_PATTERN, *, strict: bool = True
 ) -> DataFrame:
-    """Path and size of every file below ``root`` whose name fits ``pattern``.
+    """Path and size of every file below ``root`` whose name fits ``pattern``,
+    in path order.
 
     Only the listing is read, never the content. ``strict`` runs one small job
     and fails when nothing is found.
@@ -22,4 +23,4 @@ def list_files(
     )
     if strict and files.isEmpty():
         raise FileNotFoundError(f"no files named {pattern} below {root}")
-    return files
+    return files.orderBy("path")

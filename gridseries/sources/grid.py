@@ -50,11 +50,16 @@ def read_grid(
     format: str = "parquet",
     start: str | dt.date | None = None,
     end: str | dt.date | None = None,
+    pattern: str | None = None,
+    recursive: bool = False,
     keys: Sequence[str] = (),
     strict: bool = False,
 ) -> DataFrame:
     """Read the grid files below ``path`` as one table.
 
+    ``pattern`` restricts the file names. ``recursive`` also looks into plain
+    folders such as ``YYYYMM``, in place of ``name=value`` partition folders.
+
     ``start`` and ``end`` bound the dates. On a table written by
     ``sinks.write_grid`` they also become a filter on its month partitions, so
     files of other months are not opened.
@@ -62,7 +67,9 @@ def read_grid(
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
         raise FileNotFoundError("no grid files were given")
-    reader = spark.read.format(format)
+    reader = spark.read.format(format).option("recursiveFileLookup", recursive)
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
     if format == "csv":
         # No schema: columns are found by name and cast by prepare_grid.
         reader = reader.option("header", True)

@@ -67,6 +67,16 @@ def test_csv_grid(spark, small_grid, tmp_path):
     assert back.exceptAll(small_grid).isEmpty() and back.count() == small_grid.count()
 
 
+def test_files_in_plain_folders(spark, small_grid, tmp_path):
+    for month in ("199912", "200001"):
+        part = small_grid.filter(F.date_format("date", "yyyyMM") == month)
+        part.coalesce(1).write.parquet(str(tmp_path / "raw" / month))
+    back = sources.read_grid(spark, str(tmp_path / "raw"), pattern="*.parquet", recursive=True)
+    assert back.count() == 62 * 6
+    with pytest.raises(FileNotFoundError):
+        sources.read_grid(spark, [])
+
+
 def test_jobs_end_to_end(spark, small_grid, tmp_path):
     grid_path, table_path = str(tmp_path / "grid"), str(tmp_path / "deep" / "table")
     sinks.write_grid(small_grid, grid_path)

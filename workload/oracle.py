@@ -14,10 +14,10 @@ PRIORITY = ORDERS + """, series AS (
 NATION = ORDERS + """, series AS (
     SELECT CAST(c_nationkey AS BIGINT) AS k, d, avg(v) AS v
     FROM orders_by_day JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
-NATION_GRID = NATION + """, grid AS (
-    SELECT d AS date, CAST(25 + 5 * floor(k / 5) AS DOUBLE) AS lat,
-           CAST(110 + 5 * (k % 5) AS DOUBLE) AS lon, v AS sst
-    FROM series)"""
+NATION_GRID = ORDERS + """, grid AS (
+    SELECT d AS date, CAST(25 + 5 * floor(c_nationkey / 5) AS DOUBLE) AS lat,
+           CAST(110 + 5 * (c_nationkey % 5) AS DOUBLE) AS lon, avg(v) AS sst
+    FROM orders_by_day JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"""
 SUPPLIER_GRID = """grid AS (
     SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey % 25 * CAST(0.5 AS DOUBLE) + 30 AS lat,
            floor(l_suppkey / 25) % 40 * CAST(0.5 AS DOUBLE) + 115 AS lon,
@@ -39,6 +39,25 @@ REGION_TABLE = """boxes AS (
     SELECT r_name AS region, 3 * r_regionkey + 24 AS s, 3 * r_regionkey + 36 AS n,
            2 * r_regionkey + 109 AS w, 2 * r_regionkey + 120 AS e
     FROM region)"""
+REGIONS_DAILY = NATION_GRID + ", " + REGION_TABLE + """, cells AS (
+    SELECT DISTINCT region, lat, lon FROM (
+        SELECT DISTINCT CAST(25 + 5 * floor(c_nationkey / 5) AS DOUBLE) AS lat,
+               CAST(110 + 5 * (c_nationkey % 5) AS DOUBLE) AS lon FROM customer)
+    JOIN boxes ON lat BETWEEN s AND n AND lon BETWEEN w AND e),
+total AS (
+    SELECT a.region, sw * nlon AS fw
+    FROM (SELECT region, sum(cos(radians(lat))) AS sw
+          FROM (SELECT DISTINCT region, lat FROM cells) GROUP BY region) a
+    JOIN (SELECT region, count(DISTINCT lon) AS nlon FROM cells GROUP BY region) b
+      ON a.region = b.region),
+summed AS (
+    SELECT region, date, sum(cos(radians(lat)) * sst) AS t,
+           sum(CASE WHEN sst IS NOT NULL THEN cos(radians(lat)) END) AS vw
+    FROM grid JOIN boxes ON lat BETWEEN s AND n AND lon BETWEEN w AND e
+    GROUP BY region, date),
+regions_daily AS (
+    SELECT d.region, d.date, CASE WHEN vw / fw >= 0.2 THEN t / vw END AS mean
+    FROM summed d JOIN total ON total.region = d.region)"""
 PAIRS = """pairs AS (
     SELECT event_type,
            CASE WHEN hour(ts) = 1 THEN NULL WHEN hour(ts) = 2 THEN CAST('Infinity' AS DOUBLE)
@@ -237,25 +256,8 @@ def oracle_sql() -> dict[str, str]:
         "regions_join": _with(NATION_GRID, REGION_TABLE) + """
             SELECT region, date, lat, lon, round(sst, 6) AS sst
             FROM grid JOIN boxes ON lat BETWEEN s AND n AND lon BETWEEN w AND e""",
-        "regions_mean": _with(NATION_GRID, REGION_TABLE) + """, cells AS (
-                SELECT DISTINCT region, lat, lon FROM (
-                    SELECT DISTINCT CAST(25 + 5 * floor(c_nationkey / 5) AS DOUBLE) AS lat,
-                        CAST(110 + 5 * (c_nationkey % 5) AS DOUBLE) AS lon FROM customer)
-                JOIN boxes ON lat BETWEEN s AND n AND lon BETWEEN w AND e),
-            total AS (
-                SELECT a.region, sw * nlon AS fw
-                FROM (SELECT region, sum(cos(radians(lat))) AS sw
-                      FROM (SELECT DISTINCT region, lat FROM cells) GROUP BY region) a
-                JOIN (SELECT region, count(DISTINCT lon) AS nlon FROM cells GROUP BY region) b
-                  ON a.region = b.region),
-            daily AS (
-                SELECT region, date, sum(cos(radians(lat)) * sst) AS t,
-                       sum(CASE WHEN sst IS NOT NULL THEN cos(radians(lat)) END) AS vw
-                FROM grid JOIN boxes ON lat BETWEEN s AND n AND lon BETWEEN w AND e
-                GROUP BY region, date)
-            SELECT d.region, d.date,
-                   CASE WHEN vw / fw >= 0.2 THEN round(t / vw, 6) END AS sst
-            FROM daily d JOIN total ON total.region = d.region""",
+        "regions_mean": _with(REGIONS_DAILY) + """SELECT region, date, round(mean, 6) AS sst
+            FROM regions_daily""",
         "weighted_mean": _with(SUPPLIER_BOX) + """SELECT date,
             CASE WHEN vw / fw >= 0.001 THEN round(mean, 6) END AS sst FROM coverage""",
         "valid_fraction": _with(SUPPLIER_BOX) + """SELECT date, round(vw, 6) AS valid_weight,
@@ -321,6 +323,13 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT k AS nation, {META} FROM meta",
         "grid_to_forecast": _with(BOX_SERIES, anomalies(1), forecast())
         + f"SELECT {META} FROM meta",
+        "regions_to_forecast": _with(
+            REGIONS_DAILY,
+            "series AS (SELECT region AS k, date AS d, mean AS v FROM regions_daily)",
+            anomalies(),
+            forecast(),
+        )
+        + f"SELECT k AS region, {META} FROM meta",
         "finite_pairs": _with(PAIRS) + """SELECT event_type, round(observed, 6) AS observed,
             round(predicted, 6) AS predicted FROM finite""",
         "metrics": _with(PAIRS) + """SELECT count(*) AS n,

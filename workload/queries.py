@@ -186,6 +186,16 @@ def _in_regions(spark, sf_dir):
     )
 
 
+def _regions_series(spark, sf_dir):
+    return plans.series_of_regions(
+        views.nation_grid(spark, sf_dir),
+        views.region_table(spark, sf_dir),
+        min_valid_fraction=0.2,
+        cells=views.nation_cells(spark, sf_dir),
+        nonnegative_lon=True,
+    )
+
+
 @query
 def regions_join(spark, sf_dir):
     """Grid rows of five overlapping boxes from a table."""
@@ -195,12 +205,7 @@ def regions_join(spark, sf_dir):
 @query
 def regions_mean(spark, sf_dir):
     """Weighted daily mean of each of the five boxes."""
-    cells = ops.assign_regions(
-        views.nation_cells(spark, sf_dir), views.region_table(spark, sf_dir), nonnegative_lon=True
-    )
-    return ops.area_weighted_mean_sst(
-        _in_regions(spark, sf_dir), keys=["region"], min_valid_fraction=0.2, cells=cells
-    )
+    return _regions_series(spark, sf_dir).withColumnRenamed("sst_celsius", "sst")
 
 
 # --- Spatial means ------------------------------------------------------------
@@ -250,14 +255,7 @@ def regularize(spark, sf_dir):
 def asof_valid(spark, sf_dir):
     """Nearest valid day before and after each row."""
     around = ops.bracket_valid(views.priority_series(spark, sf_dir), keys=["series_id"])
-    return around.select(
-        "series_id",
-        "date",
-        F.col("previous.date").alias("previous_date"),
-        F.col("previous.value").alias("previous_value"),
-        F.col("following.date").alias("following_date"),
-        F.col("following.value").alias("following_value"),
-    )
+    return around.drop("sst_celsius", "next_date")
 
 
 def _filled(spark, sf_dir, limit):
@@ -450,6 +448,15 @@ def grid_to_forecast(spark, sf_dir):
     return _flat(ops.evaluate_persistence(_grid_anomaly(spark, sf_dir))[1])
 
 
+@query
+def regions_to_forecast(spark, sf_dir):
+    """The whole chain for every region of a table at once."""
+    table = plans.build_anomaly_table(
+        _regions_series(spark, sf_dir), keys=["region"], **REFERENCE
+    )
+    return _flat(ops.evaluate_persistence(table, keys=["region"])[1])
+
+
 @query
 def finite_pairs(spark, sf_dir):
     """Pairs where both values are finite."""
