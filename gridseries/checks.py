@@ -76,9 +76,9 @@ def duplicate_cells(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def assert_unique_dates(series: DataFrame, keys: Sequence[str] = ()) -> None:
     if not duplicate_dates(series, keys).isEmpty():
-        raise ValueError("series contains duplicate dates")
+        raise ValueError("a date occurs twice in a series")
 
 
 def assert_unique_cells(grid: DataFrame, keys: Sequence[str] = ()) -> None:
     if not duplicate_cells(grid, keys).isEmpty():
-        raise ValueError("grid contains duplicate (date, lat, lon) rows")
+        raise ValueError("a cell occurs twice on a date")

@@ -26,7 +26,7 @@ def unrepeated(neighbour: str, value: Column) -> Column:
     pass that is made anyway.
     """
     same = F.col(neighbour) == F.col(C.DATE)
-    return raise_if(same, "series contains duplicate dates", value)
+    return raise_if(same, "a date occurs twice in a series", value)
 
 
 def days_until(following: str) -> Column:

@@ -11,7 +11,7 @@ from gridseries import constants as C
 from gridseries.checks import check_frequency, raise_if, require_columns, require_series
 from gridseries.functions import day_key, number, parse_date
 
-EMPTY_REFERENCE = "no valid values fall inside the climatology reference period"
+EMPTY_REFERENCE = "the reference period holds no valid value"
 
 
 def _season(frequency: str) -> list[Column]:

@@ -218,7 +218,7 @@ def autocorrelation(
     order, whole = by_date(keys), Window.partitionBy(*keys)
     n = F.count(F.lit(1)).over(whole)
     if strict:
-        n = raise_if(n < 3, "at least three observations are required", n)
+        n = raise_if(n < 3, "autocorrelation needs three observations or more", n)
     observed = (
         series.select(*keys, C.DATE, number(value).alias("_x"))
         .dropna(subset=["_x"])

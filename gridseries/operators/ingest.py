@@ -1,6 +1,7 @@
 """Which daily files to fetch: keys, plan and counts. Nothing is fetched here."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def with_file_keys(
 def dates_of_files(files: DataFrame) -> DataFrame:
     """Dates carried by the names of listed files (see ``sources.list_files``)."""
     require_columns(files, ["path"], "files")
-    stamp = F.regexp_extract("path", r"oisst-avhrr-v02r01\.([0-9]{8})\.[^/]*$", 1)
+    stamp = F.regexp_extract("path", re.escape(C.FILE_PREFIX) + r"([0-9]{8})\.[^/]*$", 1)
     return (
         files.select(F.try_to_date(F.nullif(stamp, F.lit("")), "yyyyMMdd").alias(C.DATE))
         .filter(F.col(C.DATE).isNotNull())

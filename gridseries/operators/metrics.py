@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridseries.checks import raise_if, require_columns
 from gridseries.functions import is_finite, root_mean_square
 
-NO_PAIRS = "no finite observed/predicted pairs are available"
+NO_PAIRS = "there is no pair of finite values to score"
 
 
 def finite_pairs(

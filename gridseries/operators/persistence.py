@@ -11,8 +11,8 @@ from gridseries.functions import number
 from gridseries.operators._keyed import by_date, days_until, next_date, unrepeated
 from gridseries.operators.metrics import metric_columns
 
-TOO_SHORT = "at least two daily rows are required"
-NO_TEST_PAIRS = "the chronological test segment has no valid pairs"
+TOO_SHORT = "a forecast needs a record of two days or more"
+NO_TEST_PAIRS = "the test segment holds no pair of values"
 
 
 def _with_neighbours(anomaly: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

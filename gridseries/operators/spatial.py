@@ -68,7 +68,7 @@ def coverage_by_day(
         "full_weight",
         raise_if(
             F.col("_rows") > F.col("cell_count"),
-            "grid contains duplicate (date, lat, lon) rows",
+            "a cell occurs twice on a date",
             share,
         ).alias("valid_fraction"),
     )

@@ -118,7 +118,7 @@ def test_boxes_over_the_antimeridian_are_rejected(spark, bounds, nonnegative):
 def test_box_off_the_grid(spark):
     cells = spark.createDataFrame([(0.0, 0.0)], "lat double, lon double")
     assert ops.select_region(cells, ops.Region()).isEmpty()
-    with pytest.raises(ValueError, match="does not overlap"):
+    with pytest.raises(ValueError, match="no cell"):
         ops.select_region(cells, ops.Region(), strict=True)
     with pytest.raises(ValueError):
         ops.select_region(cells.drop("lon"), ops.Region())
@@ -188,9 +188,9 @@ def test_grid_labels_come_from_all_dates_or_from_cells(spark):
 
 def test_repeated_cells_are_found(spark):
     frame = grid(spark, [("2000-01-01", 0, 10, 4), ("2000-01-01", 0, 10, 5), ("2000-01-02", 0, 10, 5)])
-    with pytest.raises(PySparkException, match="duplicate"):
+    with pytest.raises(PySparkException, match="occurs twice"):
         ops.area_weighted_mean_sst(frame).collect()
-    with pytest.raises(ValueError, match="duplicate"):
+    with pytest.raises(ValueError, match="occurs twice"):
         checks.assert_unique_cells(frame)
     checks.assert_unique_cells(frame.filter("date = '2000-01-02'"))
 
@@ -237,15 +237,15 @@ def test_infinite_values_are_values(spark):
 def test_repeated_dates_fail(spark, limit):
     frame = series(spark, {"2000-01-01": 1, "2000-01-03": 2})
     twice = frame.union(frame.filter("date = '2000-01-03'").withColumn("sst_celsius", F.lit(None)))
-    with pytest.raises(PySparkException, match="duplicate dates"):
+    with pytest.raises(PySparkException, match="occurs twice"):
         ops.regularize_and_fill(twice, max_gap_days=limit).collect()
     for plan in (
         ops.persistence_predictions(twice, value="sst_celsius"),
         ops.evaluate_persistence(twice, value="sst_celsius")[0],
     ):
-        with pytest.raises(PySparkException, match="duplicate dates"):
+        with pytest.raises(PySparkException, match="occurs twice"):
             plan.collect()
-    with pytest.raises(ValueError, match="duplicate dates"):
+    with pytest.raises(ValueError, match="occurs twice"):
         checks.assert_unique_dates(twice)
     checks.assert_unique_dates(frame)
 
@@ -293,12 +293,12 @@ def test_empty_reference_period(spark):
 
 def test_short_and_empty_records(spark):
     one = series(spark, {"2020-01-01": 1}, "anomaly_celsius")
-    with pytest.raises(PySparkException, match="at least two"):
+    with pytest.raises(PySparkException, match="two days or more"):
         ops.evaluate_persistence(one, strict=True)[0].collect()
     gap = series(spark, {"2020-01-01": 1, "2020-01-02": 2, "2020-01-05": 3}, "anomaly_celsius")
     test, metadata = ops.evaluate_persistence(gap, strict=True)
     assert test.isEmpty()
-    with pytest.raises(PySparkException, match="no valid pairs"):
+    with pytest.raises(PySparkException, match="no pair"):
         metadata.collect()
 
 
@@ -320,7 +320,7 @@ def test_split_truncates_in_double_arithmetic(spark):
 def test_no_finite_pairs(spark):
     frame = spark.createDataFrame([(None, 1.0)], "observed double, predicted double")
     assert ops.regression_metrics(frame).first().n == 0
-    with pytest.raises(PySparkException, match="no finite"):
+    with pytest.raises(PySparkException, match="no pair of finite"):
         ops.regression_metrics(frame, strict=True).collect()
 
 
