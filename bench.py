@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) names the tables, BENCH_CPUS the
 local cores. Each query runs to its last row into a sink that discards them;
-the best of BENCH_RUNS (default 2) runs counts.
+the best of BENCH_RUNS (default 3) runs counts.
 """
 
 import json
@@ -32,6 +32,7 @@ HEADLINE = [
     "persistence_eval",
     "persistence_meta_by_nation",
     "grid_to_forecast",
+    "regions_to_forecast",
     "metrics_by_type",
     "histogram_orders",
     "kde_orders",
@@ -44,7 +45,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "*")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(cores, memory=os.environ.get("BENCH_MEMORY", "16g"))
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").write.format("noop").mode("overwrite").save()

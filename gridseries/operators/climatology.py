@@ -93,14 +93,14 @@ def map_seasonal_cycle(
 ) -> DataFrame:
     """Add ``climatology_celsius`` from a cycle; NULL for a season it lacks.
 
-    A cycle without keys has at most 366 rows and is broadcast; with keys its
-    size grows with the number of series and Spark picks the join.
+    The cycle grows with the number of series, so the join carries no hint:
+    Spark sees its size and picks the strategy.
     """
     require_columns(cycle, [*keys, "season", value], "cycle")
     means = cycle.select(*keys, "season", F.col(value).alias(C.CLIMATOLOGY))
     return (
         series.withColumn("season", season_key(frequency))
-        .join(means if keys else F.broadcast(means), [*keys, "season"], "left")
+        .join(means, [*keys, "season"], "left")
         .select(*series.columns, C.CLIMATOLOGY)
     )
 

@@ -141,6 +141,7 @@ def preprocess_job(
     climatology_start: str | dt.date = C.REFERENCE_START,
     climatology_end: str | dt.date = C.REFERENCE_END,
     format: str = "parquet",
+    cells: DataFrame | None = None,
     strict: bool = True,
 ) -> int:
     """Grid files in, anomaly table out as CSV; returns the number of days."""
@@ -150,6 +151,7 @@ def preprocess_job(
         region,
         min_valid_fraction=min_valid_fraction,
         format=format,
+        cells=cells,
         strict=strict,
     )
     table = build_anomaly_table(
