@@ -109,7 +109,7 @@ def assign_regions(
     name: str = "region",
     cells: DataFrame | None = None,
     nonnegative_lon: bool | None = None,
-    bin_degrees: float = 5.0,
+    bin_degrees: float = 2.0,
     extra: Sequence[str] = (),
 ) -> DataFrame:
     """Pair every grid row with each region of a table that contains its cell.
@@ -117,8 +117,9 @@ def assign_regions(
     A range join stated as an equi-join: a region is listed under every
     ``bin_degrees`` square it touches, a grid row looks up the square it lies in
     and the exact bounds are tested on the match. A region has at most
-    ``(180 / bin_degrees + 1) * (360 / bin_degrees + 1)`` squares. Invalid
-    regions fail the query. A grid row in several regions appears once for each.
+    ``(180 / bin_degrees + 1) * (360 / bin_degrees + 1)`` squares; smaller
+    squares mean fewer false matches, larger ones a shorter list for wide
+    regions. Invalid regions fail the query. A grid row in several regions appears once for each.
     """
     require_columns(grid, [C.LAT, C.LON], "grid")
     require_columns(regions, [name, "lat_min", "lat_max", "lon_min", "lon_max", *extra], "regions")
