@@ -43,28 +43,44 @@ def ship(spark: SparkSession) -> None:
 def with_results(frame: DataFrame, column: str, function: Callable, schema: str) -> DataFrame:
     """Add the columns of ``schema``, which ``function`` makes from ``column``.
 
-    ``function`` maps an Arrow array of texts to an Arrow struct array. Only the
-    one column travels to Python. Columns of the frame that have the name of a
-    new one are replaced.
+    ``function`` maps an Arrow array to an Arrow struct array; it gets the
+    column in slices of bounded size. Columns of the frame that have the name of
+    a new one are replaced.
     """
     ship(frame.sparkSession)
-    kind = T.StructType.fromDDL(schema)
-    out = fresh(frame, "_results")
-    added = frame.withColumn(out, F.arrow_udf(function, kind)(F.col(f"`{column}`")))
-    new = {f.name: F.col(out)[f.name] for f in kind.fields}
-    lowered = {n.lower() for n in new}
-    kept = [F.col(f"`{c}`") for c in frame.columns if c.lower() not in lowered]
-    return added.select(*kept, *[c.alias(n) for n, c in new.items()])
+    new = T.StructType.fromDDL(schema)
+    names = {f.name.lower() for f in new.fields}
+    kept = [f for f in frame.schema.fields if f.name.lower() not in names]
+    # By place, as names may occur twice or be odd.
+    given = fresh(frame, "_given")
+    at = len(kept)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, count in _bounds(batch.column(at)):
+                part = batch.slice(start, count)
+                results = function(part.column(at)).flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:at], *results], [*part.schema.names[:at], *new.names]
+                )
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str | None]]:
-    """The texts as Python lists of bounded total size, in order."""
+    source = frame.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").alias(given))
+    return source.mapInArrow(work, T.StructType([*kept, *new.fields]))
+
+
+def _bounds(values: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Start and length of the slices of a column of texts or bytes."""
     start, held = 0, 0
-    sizes = pa.compute.binary_length(texts).to_pylist()
-    for end, size in enumerate(sizes):
+    for end, size in enumerate(pa.compute.binary_length(values).to_pylist()):
         if end > start and held + (size or 0) > most:
-            yield texts.slice(start, end - start).to_pylist()
+            yield start, end - start
             start, held = end, 0
         held += size or 0
-    if start < len(texts):
-        yield texts.slice(start).to_pylist()
+    if start < len(values):
+        yield start, len(values) - start
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str | None]]:
+    """The texts as Python lists of bounded total size, in order."""
+    for start, count in _bounds(texts, most):
+        yield texts.slice(start, count).to_pylist()

@@ -3,8 +3,8 @@
 A merge joins two neighbouring symbols into a token of the vocabulary, so where
 a pair of bytes occurs inside no token, no merge ever crosses it: the place is a
 certain cut. Each word is split at its certain cuts, the fragments are encoded
-one by one (each fragment once per worker, while it is remembered) and the
-identifiers are put together.
+one by one and the identifiers are put together. A worker remembers words and
+pieces of words it has met.
 """
 
 import hashlib
@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import fresh, slices, with_results
+from gridseries.llm._columns import fresh, with_results
 
-# Words and fragments that a worker remembers; of words, as many older ones too.
-REMEMBERED = 500_000
+# Words and pieces that a worker remembers; of words, as many older ones too.
+REMEMBERED = 300_000
 # Largest vocabulary file that is sent to the executors.
 LARGEST_FILE = 64 << 20
 
@@ -98,7 +98,7 @@ class WordEncoder:
             if special and self.special
             else None
         )
-        self._fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self._pieces: dict[str, tuple[int, ...]] = {}
         # Words met lately, and those met before them.
         self._words: dict[str, tuple[int, bytes, bytes]] = {}
         self._old: dict[str, tuple[int, bytes, bytes]] = {}
@@ -108,24 +108,22 @@ class WordEncoder:
         inside = self.inside
         return [i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in inside]
 
-    def _fragment(self, fragment: str, last: bool) -> tuple[int, ...]:
-        found = self._fragments.get((fragment, last))
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Identifiers of one piece, whose characters stand for bytes."""
+        found = self._pieces.get(piece)
         if found is None:
-            model = self._closing if last else self._inner
-            found = tuple([t.id for t in model.tokenize(fragment)])
-            if len(self._fragments) >= REMEMBERED:
-                self._fragments.clear()
-            self._fragments[fragment, last] = found
+            bounds = [0, *self.cuts(piece), len(piece)]
+            ids = []
+            for a, b in zip(bounds, bounds[1:]):
+                model = self._closing if b == len(piece) else self._inner
+                ids += [t.id for t in model.tokenize(piece[a:b])]
+            found = tuple(ids)
+            if len(piece) < 64:
+                if len(self._pieces) >= REMEMBERED:
+                    self._pieces.clear()
+                self._pieces[piece] = found
         return found
 
-    def _piece(self, piece: str) -> list[int]:
-        """Identifiers of one piece, whose characters stand for bytes."""
-        bounds = [0, *self.cuts(piece), len(piece)]
-        out: list[int] = []
-        for a, b in zip(bounds, bounds[1:]):
-            out += self._fragment(piece[a:b], b == len(piece))
-        return out
-
     def word(self, word: str) -> list[int]:
         """Identifiers of a word: a run without ASCII white space."""
         out: list[int] = []
@@ -217,13 +215,8 @@ def encode_texts(
 
     def encode(texts: pa.Array) -> pa.Array:
         encoder = encoder_of(sent.value, special)
-        counts, ids, decoded = [], [], []
-        for part in slices(texts):
-            rows = [encoder.text(t) if t else (0, b"", b"") for t in part]
-            for n, i, d in rows:
-                counts.append(n)
-                ids.append(i)
-                decoded.append(d)
+        rows = [encoder.text(t) if t else (0, b"", b"") for t in texts.to_pylist()]
+        counts, ids, decoded = zip(*rows) if rows else ((), (), ())
         ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(ids), np.int32))
         return pa.StructArray.from_arrays(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridseries.llm._columns import ship, slices, with_results
 from gridseries.llm.bpe import encoder_of, read_vocabulary
+from gridseries.session import scratch_path
 
 # Tokens of a block.
 BLOCK_TOKENS = 1 << 17
@@ -148,7 +149,10 @@ def count_tokens(
         _searcher(end_of_document, width),
         "n_in_block bigint, ends array<int>",
     )
-    return _stitched(found.drop("content"), carried)
+    # The search is not repeated for the two levels of the scan.
+    path = scratch_path(blocks.sparkSession, "token_blocks")
+    found.drop("content").write.parquet(path)
+    return _stitched(blocks.sparkSession.read.parquet(path), carried)
 
 
 def _stitched(found: DataFrame, carried: Sequence[str]) -> DataFrame:
