@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, suffix_dedup, token_counts
+from gridseries.llm import bpe, near_dup, suffix_dedup, token_counts
 
 # The public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -29,6 +29,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of the documents by shingles of four words."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files of the documents."""
     documents = _table(spark, sf_dir, "documents")
@@ -55,6 +60,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_near_dup": op3_near_dup,
     "op4_token_counts": op4_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -30,10 +30,10 @@ from gridseries.llm._columns import fresh, ship
 
 GRAM = 24
 # Bytes of text that a task works on at once; places in them need 24 bits.
-SLICE = 8 << 20
+SLICE = 2 << 20
 PLACE_BITS = 24
 # Different runs of one anchor within a slice from which it counts as frequent.
-FREQUENT = 64
+FREQUENT = 32
 REMOVED, COMPARE, SPREAD = 1, 2, 3
 
 _RNG = np.random.default_rng(20)
@@ -195,19 +195,20 @@ def _blocks(records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     yield _rows(bucket[at].astype(np.int32), None, None, None, [p.tobytes() for p in parts])
 
 
-def _text_rows(batches, columns=3):
+def _text_rows(batches, columns):
+    """Rows of the named columns, the last of them as bytes."""
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(columns - 1)]
-        texts = batch.column(columns - 1)
+        *cols, texts = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+        cols = [c.to_pylist() for c in cols]
         for i, t in enumerate(texts):
             yield *(c[i] for c in cols), t.as_buffer() if t.is_valid else b""
 
 
-def _first_digits(width: int, buckets: int):
+def _first_digits(width: int, buckets: int, columns: list[str]):
     """Texts in; runs out, packed by anchor."""
 
     def work(batches):
-        for rows, data, ends in _slices(_text_rows(batches)):
+        for rows, data, ends in _slices(_text_rows(batches, columns)):
             ids = np.array([r[0] for r in rows], np.int64)
             sums = np.array([r[1] for r in rows], np.int64)
             began = np.concatenate([[0], ends[:-1]])
@@ -280,11 +281,11 @@ def _second_digit(batches):
             yield _codes(x["d"], x["x"], x["a"], x["n"], kind)
 
 
-def _bytes_of_runs(width: int, buckets: int):
+def _bytes_of_runs(width: int, buckets: int, columns: list[str]):
     """Texts with their requests in; bytes of the runs out, packed by anchor."""
 
     def work(batches):
-        for rows, data, ends in _slices(_text_rows(batches, 4)):
+        for rows, data, ends in _slices(_text_rows(batches, columns)):
             began = np.concatenate([[0], ends[:-1]])
             codes = [np.array(r[2], np.int64) for r in rows]
             which = np.repeat(np.arange(len(rows)), [len(c) for c in codes])
@@ -532,19 +533,18 @@ def remove_repeats(
             .agg(F.collect_list("code").alias(codes))
         )
 
-    texts = keyed.select(F.col(d).alias("d"), F.col(x).alias("x"), body.alias("t"))
     dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("d", "x"), F.lit(n)))
 
     def dealt_out(rows: DataFrame) -> DataFrame:
         return rows.repartition(n, dealt)
 
-    runs = dealt_out(texts.mapInArrow(_first_digits(width, n), ROWS)).mapInArrow(_second_digit, ROWS)
-    asked = keyed.join(by_document(runs).hint("shuffle_hash"), [d, x]).select(
-        F.col(d).alias("d"), F.col(x).alias("x"), F.col(codes).alias("c"), body.alias("t")
-    )
-    last = dealt_out(asked.mapInArrow(_bytes_of_runs(width, n), ROWS)).mapInArrow(
-        _last_digits(width), ROWS
-    )
+    # All three readers of the texts take the same columns, so that they share
+    # one exchange.
+    runs = dealt_out(keyed.mapInArrow(_first_digits(width, n, [d, x, text]), ROWS))
+    runs = runs.mapInArrow(_second_digit, ROWS)
+    asked = keyed.join(by_document(runs).hint("shuffle_hash"), [d, x])
+    last = dealt_out(asked.mapInArrow(_bytes_of_runs(width, n, [d, x, codes, text]), ROWS))
+    last = last.mapInArrow(_last_digits(width), ROWS)
     found = keyed.join(by_document(last).hint("shuffle_hash"), [d, x], "left")
     out = fresh(found, "_out")
     result = F.arrow_udf(
