@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Texts of one Arrow batch are worked on in slices of about this many bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def fresh(frame: DataFrame, name: str) -> str:

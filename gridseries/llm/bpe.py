@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gridseries.llm._columns import fresh, with_results
 
 # Words and pieces that a worker remembers; of words, as many older ones too.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 # Largest vocabulary file that is sent to the executors.
 LARGEST_FILE = 64 << 20
 
