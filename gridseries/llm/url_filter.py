@@ -19,7 +19,7 @@ from gridseries.llm._columns import fresh, with_results
 RULES = 1000
 LABELLED = 10_000
 TABLE = 1 << 16
-GRAMS = (3, 4, 5)
+GRAMS = (4, 5, 6)
 
 # Words that make up the table of labelled URLs.
 BLOCKED = (
@@ -34,7 +34,12 @@ ALLOWED = (
     "cooking recipes gardening travel-guide music-review film-archive sports-report "
     "health-advice medicine-journal docs developer manual forum community blog notes "
     "encyclopedia dictionary maps city-council parliament court-records open-data "
-    "statistics astronomy biology chemistry physics math-lessons language-course"
+    "statistics astronomy biology chemistry physics math-lessons language-course "
+    "river mountain forest harbor bridge station market garden kitchen window "
+    "painter writer teacher doctor engineer farmer sailor baker carpenter nurse "
+    "theatre orchestra festival exhibition workshop seminar lecture conference "
+    "winter summer morning evening northern southern eastern western central "
+    "anderson martin thomson henderson rivera moreno fischer schneider dubois laurent"
 ).split()
 SHAPES = (
     "https://www.{}.example.com/en/1",
@@ -89,9 +94,19 @@ def matching_rule(rules: Sequence[tuple[str, str]], host: Column, path: Column)
 
 @dataclass(frozen=True)
 class Model:
+    """Weights of the hashed n-grams, and how telling each one is: 0 for those
+    that the labelled URLs do not have, little for those that most of them have."""
+
     weights: np.ndarray
+    telling: np.ndarray
     bias: float
 
+    def log_odds(self, texts: list[str]) -> np.ndarray:
+        feature, owner = _features(texts)
+        value = self.telling[feature]
+        size = np.sqrt(np.bincount(owner, value**2, len(texts)) + 1)
+        return self.bias + np.bincount(owner, self.weights[feature] * value, len(texts)) / size
+
 
 def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams (as bytes) of each text, and their number."""
@@ -114,18 +129,22 @@ def fit(urls: Sequence[tuple[str, int]], *, rounds: int = 300, penalty: float =
     if len(urls) > LABELLED:
         raise ValueError(f"more than {LABELLED} labelled URLs")
     if not urls:
-        return Model(np.zeros(TABLE), 0.0)
+        return Model(np.zeros(TABLE), np.zeros(TABLE), 0.0)
     texts = [host + path for host, path in (_parts(u) for u, _ in urls)]
     y = np.array([label for _, label in urls], float)
     feature, owner = _features(texts)
-    scale = 1 / np.sqrt(np.bincount(owner, minlength=len(y)))[owner]
+    pairs = np.unique(np.stack([feature, owner]), axis=1)
+    times = np.bincount(pairs[0], minlength=TABLE)
+    telling = np.where(times > 0, np.log((len(y) + 1) / np.maximum(times, 1)), 0.0)
+    value = telling[feature]
+    scale = value / np.sqrt(np.bincount(owner, value**2, len(y)) + 1)[owner]
     w, bias = np.zeros(TABLE), 0.0
     for _ in range(rounds):
         z = bias + np.bincount(owner, w[feature] * scale, len(y))
         slope = (1 / (1 + np.exp(-z)) - y) / len(y)
         w -= 20.0 * (np.bincount(feature, slope[owner] * scale, TABLE) + penalty * w)
         bias -= 2.0 * slope.sum()
-    return Model(w, float(bias))
+    return Model(w, telling, float(bias))
 
 
 def judge(
@@ -148,11 +167,7 @@ def judge(
     link = F.col(f"`{url}`").cast("string")
 
     def work(texts: pa.Array) -> pa.Array:
-        values = texts.to_pylist()
-        feature, owner = _features(values)
-        z = np.bincount(owner, sent.value.weights[feature], len(values))
-        n = np.maximum(np.bincount(owner, minlength=len(values)), 1)
-        p = 1 / (1 + np.exp(-(sent.value.bias + z / np.sqrt(n))))
+        p = 1 / (1 + np.exp(-sent.value.log_odds(texts.to_pylist())))
         return pa.StructArray.from_arrays([pa.array(p)], ["probability"])
 
     joined, match = fresh(pages, "_joined"), fresh(pages, "_match")
