@@ -15,11 +15,12 @@
    out the links that join parts, never all pairs.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseries.llm._columns import fresh, ship, with_results
@@ -246,17 +247,26 @@ def _prefixes(reps: DataFrame, matches: int) -> DataFrame:
     )
 
 
-def _chunked(members: DataFrame) -> DataFrame:
+def _chunked(members: DataFrame, percent: int) -> DataFrame:
     """Number the chunks of each cluster; a chunk is small enough for one task.
 
-    Clusters are dealt by size class first, so that a window over one class of
-    one cluster is all that runs in order.
+    A cluster that fits is one chunk. The others are dealt by class of size,
+    so that only neighbouring classes can link, and within a class by a hash
+    into as many parts as its totals ask for. No task sees a whole cluster.
     """
-    over = Window.partitionBy("cluster").orderBy("n_shingles", "rep")
-    before = F.sum("n_shingles").over(over) - F.col("n_shingles")
-    rank = F.row_number().over(over) - 1
-    chunk = F.floor(before / CHUNK_SHINGLES) + F.floor(rank / CHUNK_DOCUMENTS)
-    return members.withColumn("chunk", chunk)
+    grade = F.floor(F.ln(F.col("n_shingles").cast("double")) / math.log(100 / percent))
+    graded = members.withColumn("grade", grade)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")]
+    classes = graded.groupBy("cluster", "grade").agg(*sums)
+    whole = classes.groupBy("cluster").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    fits = (F.col("all_n") <= CHUNK_DOCUMENTS) & (F.col("all_s") <= CHUNK_SHINGLES)
+    parts = F.ceil(F.greatest(F.col("n") / CHUNK_DOCUMENTS, F.col("s") / CHUNK_SHINGLES))
+    plan = classes.join(whole, "cluster").select(
+        "cluster", "grade", F.when(~fits, parts).alias("parts")
+    )
+    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    chunk = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.col("grade") * (1 << 24) + part + 1)
+    return graded.join(plan, ["cluster", "grade"]).withColumn("chunk", chunk).drop("grade", "parts")
 
 
 def near_duplicates(
@@ -313,7 +323,7 @@ def near_duplicates(
     stars = prefixes.join(leaders.filter("n > 1"), "key").select("a", F.col("rep").alias("b"))
     clusters = connected(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     members = _written(
-        _chunked(reps.join(clusters, "rep").select("cluster", "rep", *same, "keys")), "members"
+        _chunked(reps.join(clusters, "rep").select("cluster", "rep", *same, "keys"), percent), "members"
     )
     texts = with_results(
         rows.join(

@@ -463,11 +463,12 @@ def _kept(width: int):
     """Texts and ranges of removed windows in; removed spans and kept bytes out."""
 
     def work(texts: pa.Array, codes: pa.Array) -> pa.Array:
-        spans, kept = [], []
+        spans, kept, left = [], [], []
         for t, c in zip(texts, codes):
             if not c.is_valid or not t.is_valid:
                 spans.append(None)
                 kept.append(None)
+                left.append(None)
                 continue
             data = t.as_buffer().to_pybytes()
             code = c.values.to_numpy()
@@ -480,10 +481,13 @@ def _kept(width: int):
             begin, stop = lo[at], hi[np.append(at[1:], len(lo)) - 1]
             spans.append([{"start": int(b), "stop": int(e)} for b, e in zip(begin, stop)])
             edges = [0, *np.stack([begin, stop], 1).ravel().tolist(), len(data)]
-            kept.append(b"".join([data[b:e] for b, e in zip(edges[::2], edges[1::2])]))
+            parts = [data[b:e] for b, e in zip(edges[::2], edges[1::2])]
+            kept.append(b"".join(parts))
+            left.append("".join([p.decode("utf-8", "ignore") for p in parts]))
         span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
         return pa.StructArray.from_arrays(
-            [pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["spans", "kept"]
+            [pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary()), pa.array(left, pa.string())],
+            ["spans", "kept", "kept_text"],
         )
 
     return work
@@ -497,13 +501,14 @@ def remove_repeats(
     width: int = 100,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``spans`` (removed byte ranges, array of ``start``, ``stop``) and
-    ``kept`` (the remaining bytes): each byte goes that lies in a string of
+    """Add ``spans`` (removed byte ranges, array of ``start``, ``stop``), ``kept``
+    (the remaining bytes) and ``kept_text`` (the same as text, without the parts
+    of characters that a range has cut): each byte goes that lies in a string of
     ``width`` bytes which also starts earlier, in a document of smaller id or
     before in the same document.
 
     A NULL or empty text, and one shorter than ``width``, loses nothing; a NULL
-    text has no bytes. A NULL ``doc_id`` comes before all others. Rows of one
+    text has no bytes, and its ``kept_text`` is NULL. A NULL ``doc_id`` comes before all others. Rows of one
     ``doc_id`` are one document of several texts: of two equal strings at the
     same place in them neither is the earlier, so repeated rows give equal
     results. Columns named like a result are replaced, all others are kept. An
@@ -548,12 +553,14 @@ def remove_repeats(
     found = keyed.join(by_document(last).hint("shuffle_hash"), [d, x], "left")
     out = fresh(found, "_out")
     result = F.arrow_udf(
-        _kept(width), "struct<spans: array<struct<start: bigint, stop: bigint>>, kept: binary>"
+        _kept(width),
+        "struct<spans: array<struct<start: bigint, stop: bigint>>, kept: binary, kept_text: string>",
     )(F.when(F.col(codes).isNotNull(), body), F.col(codes))
-    names = {"spans", "kept"}
+    names = {"spans", "kept", "kept_text"}
     none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
     return found.withColumn(out, result).select(
         *[F.col(f"`{c}`") for c in documents.columns if c.lower() not in names],
         F.coalesce(F.col(out).spans, none).alias("spans"),
         F.coalesce(F.col(out).kept, body, F.lit(b"")).alias("kept"),
+        F.coalesce(F.col(out).kept_text, F.col(f"`{text}`")).alias("kept_text"),
     )
