@@ -51,9 +51,9 @@ def with_results(frame: DataFrame, column: str, function: Callable, schema: str)
     new = T.StructType.fromDDL(schema)
     names = {f.name.lower() for f in new.fields}
     kept = [f for f in frame.schema.fields if f.name.lower() not in names]
-    # By place, as names may occur twice or be odd.
-    given = fresh(frame, "_given")
+    # Under numbers while they pass through Python, as names may be odd.
     at = len(kept)
+    plain = [f"c{i}" for i in range(at + 1)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,11 +61,13 @@ def with_results(frame: DataFrame, column: str, function: Callable, schema: str)
                 part = batch.slice(start, count)
                 results = function(part.column(at)).flatten()
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:at], *results], [*part.schema.names[:at], *new.names]
+                    [*part.columns[:at], *results], [*plain[:at], *new.names]
                 )
 
-    source = frame.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").alias(given))
-    return source.mapInArrow(work, T.StructType([*kept, *new.fields]))
+    source = frame.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`")).toDF(*plain)
+    passed = [T.StructField(n, f.dataType) for n, f in zip(plain, kept)]
+    out = source.mapInArrow(work, T.StructType([*passed, *new.fields]))
+    return out.toDF(*[f.name for f in kept], *new.names)
 
 
 def _bounds(values: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

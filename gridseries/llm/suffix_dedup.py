@@ -192,7 +192,17 @@ def _blocks(records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     bucket = bucket[order]
     at = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
     parts = np.split(records[order], at[1:])
-    yield _rows(bucket[at].astype(np.int32), None, None, None, [p.tobytes() for p in parts])
+    yield _rows(bucket[at].astype(np.int32), None, None, None, [_planes(p) for p in parts])
+
+
+def _planes(records: np.ndarray) -> bytes:
+    """Records byte place by byte place, so that the shuffle can compress them."""
+    return records.view(np.uint8).reshape(len(records), -1).T.tobytes()
+
+
+def _records(data: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _text_rows(batches, columns):
@@ -259,7 +269,7 @@ def _second_digit(batches):
     yield from passed
     if not held:
         return
-    rec = np.frombuffer(b"".join(held), _RUN)
+    rec = np.concatenate([_records(b, _RUN) for b in held])
     order, new = _earliest([rec["g"], rec["r"], rec["d"], rec["a"]], [rec["g"], rec["r"], rec["n"]])
     mark = rec["n"] == 0
     late = _not_first(order, new, rec["d"], rec["a"])
@@ -293,9 +303,6 @@ def _bytes_of_runs(width: int, buckets: int, columns: list[str]):
             d = np.array([r[0] for r in rows], np.int64)[which]
             x = np.array([r[1] for r in rows], np.int64)[which]
             kind, n, a = code & 3, (code >> 2) & 127, code >> 9
-            done = kind == REMOVED
-            if done.any():
-                yield _codes(d[done], x[done], a[done], n[done], REMOVED)
             at = began[which] + a
             todo = np.flatnonzero(kind == COMPARE)
             if len(todo):
@@ -340,7 +347,7 @@ def _packed_bytes(data, at, n, d, x, a, width, buckets):
         texts = b"".join(
             [data[s : s + c - 1 + width].tobytes() for s, c in zip(at[part].tolist(), n[part].tolist())]
         )
-        blocks.append(b"R" + len(part).to_bytes(4, "little") + head.tobytes() + texts)
+        blocks.append(b"R" + len(part).to_bytes(4, "little") + _planes(head) + texts)
     yield _rows(bucket[order][cuts], None, None, None, blocks)
 
 
@@ -400,7 +407,7 @@ def _last_digits(width: int):
         for b in blocks:
             count = int.from_bytes(b[1:5], "little")
             stop = 5 + count * _HEAD.itemsize
-            heads.append(np.frombuffer(b[5:stop], _HEAD))
+            heads.append(_records(b[5:stop], _HEAD))
             texts.append(b[stop:])
         head = np.concatenate(heads)
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -450,7 +457,7 @@ def _last_digits(width: int):
         if runs := [b for b in held if b[:1] == b"R"]:
             yield from compare(runs)
         if single := [b[1:] for b in held if b[:1] == b"W"]:
-            rec = np.frombuffer(b"".join(single), _WINDOW)
+            rec = np.concatenate([_records(b, _WINDOW) for b in single])
             order, new = _earliest([rec["g"], rec["r"], rec["d"], rec["a"]], [rec["g"], rec["r"]])
             x = rec[_not_first(order, new, rec["d"], rec["a"])]
             if len(x):
@@ -472,13 +479,14 @@ def _kept(width: int):
                 continue
             data = t.as_buffer().to_pybytes()
             code = c.values.to_numpy()
+            code = code[code & 3 == REMOVED]
             lo = np.sort(code >> 9)
             order = np.argsort(code >> 9, kind="stable")
             hi = np.maximum.accumulate((lo + ((code >> 2) & 127)[order]) - 1 + width)
             new = np.ones(len(lo), bool)
             new[1:] = lo[1:] > hi[:-1]
             at = np.flatnonzero(new)
-            begin, stop = lo[at], hi[np.append(at[1:], len(lo)) - 1]
+            begin, stop = lo[at], hi[np.append(at[1:], len(lo)) - 1] if len(lo) else lo
             spans.append([{"start": int(b), "stop": int(e)} for b, e in zip(begin, stop)])
             edges = [0, *np.stack([begin, stop], 1).ravel().tolist(), len(data)]
             parts = [data[b:e] for b, e in zip(edges[::2], edges[1::2])]
@@ -521,21 +529,25 @@ def remove_repeats(
     """
     if not 48 <= width <= 150:
         raise ValueError("width must lie between 48 and 150")
-    spark = documents.sparkSession
-    ship(spark)
+    ship(documents.sparkSession)
+    # Under numbers while the rows pass through Python, as names may be odd.
+    original = documents.columns
+    places = {c.lower(): f"c{i}" for i, c in enumerate(original)}
+    documents = documents.toDF(*places.values())
+    doc_id, text = places[doc_id.lower()], places[text.lower()]
     n = partitions or max(8, 2 * documents.rdd.getNumPartitions())
-    d, x, codes = (fresh(documents, c) for c in ("_d", "_x", "_codes"))
+    d, x, codes, late = (fresh(documents, c) for c in ("_d", "_x", "_codes", "_late"))
     lowest = F.lit(-(2**63)).cast("bigint")
-    keyed = documents.withColumn(d, F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), lowest))
-    body = F.col(f"`{text}`").cast("binary")
+    keyed = documents.withColumn(d, F.coalesce(F.col(doc_id).cast("bigint"), lowest))
+    body = F.col(text).cast("binary")
     keyed = keyed.withColumn(x, F.coalesce(F.crc32(body), F.lit(0).cast("bigint")))
     keyed = keyed.repartition(n, d, x)
 
-    def by_document(rows: DataFrame) -> DataFrame:
+    def by_document(rows: DataFrame, name: str) -> DataFrame:
         return (
             rows.filter("d IS NOT NULL")
             .groupBy(F.col("d").alias(d), F.col("x").alias(x))
-            .agg(F.collect_list("code").alias(codes))
+            .agg(F.collect_list("code").alias(name))
         )
 
     dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("d", "x"), F.lit(n)))
@@ -547,10 +559,16 @@ def remove_repeats(
     # one exchange.
     runs = dealt_out(keyed.mapInArrow(_first_digits(width, n, [d, x, text]), ROWS))
     runs = runs.mapInArrow(_second_digit, ROWS)
-    asked = keyed.join(by_document(runs).hint("shuffle_hash"), [d, x])
+    # Read for the bytes of the runs to compare, and for what is removed already.
+    settled = by_document(runs, codes).hint("shuffle_hash")
+    asked = keyed.join(settled, [d, x])
     last = dealt_out(asked.mapInArrow(_bytes_of_runs(width, n, [d, x, codes, text]), ROWS))
-    last = last.mapInArrow(_last_digits(width), ROWS)
-    found = keyed.join(by_document(last).hint("shuffle_hash"), [d, x], "left")
+    last = by_document(last.mapInArrow(_last_digits(width), ROWS), late).hint("shuffle_hash")
+    found = keyed.join(settled, [d, x], "left").join(last, [d, x], "left")
+    none = F.array().cast("array<bigint>")
+    found = found.withColumn(
+        codes, F.when(F.col(codes).isNotNull(), F.concat(codes, F.coalesce(late, none)))
+    )
     out = fresh(found, "_out")
     result = F.arrow_udf(
         _kept(width),
@@ -559,8 +577,8 @@ def remove_repeats(
     names = {"spans", "kept", "kept_text"}
     none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
     return found.withColumn(out, result).select(
-        *[F.col(f"`{c}`") for c in documents.columns if c.lower() not in names],
+        *[F.col(c).alias(o) for o, c in zip(original, documents.columns) if o.lower() not in names],
         F.coalesce(F.col(out).spans, none).alias("spans"),
         F.coalesce(F.col(out).kept, body, F.lit(b"")).alias("kept"),
-        F.coalesce(F.col(out).kept_text, F.col(f"`{text}`")).alias("kept_text"),
+        F.coalesce(F.col(out).kept_text, F.col(text)).alias("kept_text"),
     )
