@@ -11,6 +11,7 @@ from gridseries.operators.calendar import (
     align_series,
     date_range,
     regularize,
+    spanned_dates,
     union_frames,
 )
 from gridseries.operators.climatology import (
@@ -32,6 +33,7 @@ from gridseries.operators.ingest import (
     count_actions,
     dates_of_files,
     missing_dates,
+    plan_days,
     plan_downloads,
     with_file_keys,
 )
@@ -40,12 +42,16 @@ from gridseries.operators.persistence import (
     chronological_split,
     evaluate_persistence,
     forecast_metadata,
+    metadata_of,
     persistence_predictions,
+    predictions_of,
+    scored_days,
 )
 from gridseries.operators.region import (
     Region,
     assign_regions,
     grid_convention,
+    region_cells,
     select_region,
     valid_region,
 )
@@ -53,6 +59,7 @@ from gridseries.operators.gaps import bracket_valid, regularize_and_fill
 from gridseries.operators.spatial import (
     area_weighted_mean_sst,
     coverage_by_day,
+    coverage_quality,
     grid_weight,
 )
 
@@ -68,6 +75,7 @@ __all__ = [
     "chronological_split",
     "count_actions",
     "coverage_by_day",
+    "coverage_quality",
     "date_range",
     "dates_of_files",
     "density_curve",
@@ -78,17 +86,23 @@ __all__ = [
     "grid_weight",
     "histogram",
     "map_seasonal_cycle",
+    "metadata_of",
     "missing_dates",
     "monthly_means",
     "persistence_predictions",
+    "plan_days",
     "plan_downloads",
+    "predictions_of",
     "profile",
     "reference_period",
+    "region_cells",
     "regression_metrics",
     "regularize",
     "regularize_and_fill",
+    "scored_days",
     "seasonal_cycle",
     "select_region",
+    "spanned_dates",
     "union_frames",
     "valid_region",
     "with_climatology",

@@ -117,7 +117,8 @@ def calculate_climatology(
 ) -> tuple[DataFrame, DataFrame]:
     """The cycle mapped onto every date, and the cycle itself.
 
-    ``strict`` runs one job that rejects an empty reference period.
+    ``strict`` runs one job that rejects a series without any valid value in
+    the reference period.
     """
     cycle = seasonal_cycle(
         series,
@@ -127,8 +128,11 @@ def calculate_climatology(
         reference_end=reference_end,
         value=value,
     )
-    if strict and cycle.isEmpty():
-        raise ValueError(EMPTY_REFERENCE)
+    if strict:
+        in_reference = _in_reference(reference_start, reference_end, value)
+        usable = series.groupBy(*keys).agg(F.count_if(in_reference).alias("_usable"))
+        if not usable.filter("_usable = 0").isEmpty():
+            raise ValueError(EMPTY_REFERENCE)
     mapped = map_seasonal_cycle(
         series.select(*keys, C.DATE), cycle, keys=keys, frequency=frequency, value=value
     )

@@ -11,6 +11,7 @@ from gridseries import constants as C
 from gridseries.checks import raise_if, require_columns, require_series
 from gridseries.functions import number
 from gridseries.operators._keyed import attach, by_date, unrepeated
+from gridseries.session import stored
 
 # exp(-u*u/2) is exactly 0.0 in double precision beyond this distance.
 KERNEL_REACH = 38.7
@@ -40,6 +41,16 @@ def _value_range(value: str) -> list[Column]:
     ]
 
 
+def _known(per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A table of one row per key, written down when there are keys.
+
+    Spark then plans the join by the table's true size: one that is small goes
+    to the values, which stay where they are. An aggregate is taken for as large
+    as its input, and the values would be dealt out by a handful of keys.
+    """
+    return stored(per_key, "per_key") if keys else per_key
+
+
 def _carried(*columns: str) -> list[Column]:
     """Values that are the same in every row of a group."""
     return [F.any_value(c).alias(c) for c in columns]
@@ -91,7 +102,7 @@ def histogram(
     # The quotient may miss an edge by rounding; the edges decide.
     position = (F.col("_x") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)
     guess = F.least(F.floor(position), F.lit(bins - 1))
-    placed = attach(present, ends, keys).withColumn("_guess", guess)
+    placed = attach(present, _known(ends, keys), keys).withColumn("_guess", guess)
     at = F.col("_guess")
     settled = (
         at
@@ -151,7 +162,7 @@ def density_curve(
     farthest = F.least(
         F.floor(F.try_divide(offset + reach, step)).cast("int"), F.lit(points - 1)
     )
-    met = attach(present, shape, keys).filter("_h is not null")
+    met = attach(present, _known(shape, keys), keys).filter("_h is not null")
     met = met.withColumns({"_from": nearest, "_to": farthest}).filter("_from <= _to")
 
     def block(place: str) -> Column:

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from gridseries import constants as C
 from gridseries.checks import check_max_gap_days, require_series
 from gridseries.functions import line_through, number
-from gridseries.operators._keyed import by_date, days_until, next_date, next_not_null
+from gridseries.operators._keyed import (
+    by_date,
+    days_until,
+    next_date,
+    next_not_null,
+    unrepeated,
+)
 from gridseries.operators.calendar import regularize
 
 
@@ -19,7 +25,8 @@ def bracket_valid(
 
     Adds ``previous_date``, ``previous_value``, ``following_date`` and
     ``following_value``, and ``next_date``, the date of the row that comes next.
-    One shuffle on the keys and one sort serve all of them.
+    One shuffle on the keys and one sort serve all of them. A repeated date
+    fails the query.
     """
     require_series(series, keys, value)
     # The date of an observation is NULL where its value is, so the nearest
@@ -37,7 +44,7 @@ def bracket_valid(
         next_not_null("_seen", keys).alias("following_date"),
         next_not_null(value, keys).alias("following_value"),
         next_date(keys).alias("next_date"),
-    )
+    ).withColumn(C.DATE, unrepeated("next_date", F.col(C.DATE)))
 
 
 def regularize_and_fill(

@@ -60,6 +60,23 @@ def plan_downloads(
     ``existing``.
     """
     wanted = date_range(spark, start, end, first_available=first_available)
+    return plan_days(
+        wanted, existing,
+        output_dir=output_dir, overwrite=overwrite, dry_run=dry_run, base_url=base_url,
+    )
+
+
+def plan_days(
+    wanted: DataFrame,
+    existing: DataFrame | None = None,
+    *,
+    output_dir: str,
+    overwrite: bool = False,
+    dry_run: bool = False,
+    base_url: str = C.BASE_URL,
+) -> DataFrame:
+    """As :func:`plan_downloads`, for days that a table lists."""
+    require_columns(wanted, [C.DATE], "days")
     if dry_run or overwrite or existing is None:
         action = F.lit("planned" if dry_run else "downloaded")
         plan = wanted.withColumn("action", action)

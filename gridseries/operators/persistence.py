@@ -58,7 +58,8 @@ def chronological_split(
 
     Positions count calendar days from the first date, so a series with absent
     days splits at the same date as the full calendar. The test segment starts
-    at ``days * (1 - test_fraction)`` rounded down, at 1 at the earliest.
+    at ``days * (1 - test_fraction)`` rounded down, at 1 at the earliest. A
+    repeated date fails the query.
     """
     check_test_fraction(test_fraction)
     require_columns(series, [*keys, C.DATE], "series")
@@ -70,9 +71,19 @@ def chronological_split(
     split = F.greatest(
         F.lit(1), F.floor(F.col("days").cast("double") * F.lit(1 - test_fraction))
     )
-    return series.withColumns(
-        {"position": F.datediff(C.DATE, first), "days": days}
-    ).withColumn("is_test", F.col("position") >= split)
+    placed = series.withColumns(
+        {
+            "_before": F.lag(C.DATE).over(by_date(keys)),
+            "position": F.datediff(C.DATE, first),
+            "days": days,
+        }
+    )
+    return placed.withColumns(
+        {
+            "position": unrepeated("_before", F.col("position")),
+            "is_test": unrepeated("_before", F.col("position") >= split),
+        }
+    ).drop("_before")
 
 
 def evaluate_persistence(
@@ -88,6 +99,24 @@ def evaluate_persistence(
     A day counts when it and the day before it have a value, so the calendar is
     never filled out here: one shuffle on the keys and one sort are enough.
     """
+    scored = scored_days(
+        anomaly, keys=keys, test_fraction=test_fraction, value=value, strict=strict
+    )
+    return predictions_of(scored, keys=keys), metadata_of(
+        scored, keys=keys, test_fraction=test_fraction, strict=strict
+    )
+
+
+def scored_days(
+    anomaly: DataFrame,
+    *,
+    keys: Sequence[str] = (),
+    test_fraction: float = C.TEST_FRACTION,
+    value: str = C.ANOMALY,
+    strict: bool = False,
+) -> DataFrame:
+    """Every day with its value, the forecast of it, and whether it counts:
+    ``is_scored`` on days of the test segment that have both."""
     check_test_fraction(test_fraction)
     require_series(anomaly, keys, value)
     paired = _with_neighbours(anomaly, keys, value).select(
@@ -96,23 +125,19 @@ def evaluate_persistence(
         F.col("_own").alias(C.OBSERVED),
         _value_of_day_before().alias(C.PREDICTED),
     )
-    test = (
-        chronological_split(paired, keys=keys, test_fraction=test_fraction, strict=strict)
-        .filter("is_test")
-        .dropna(subset=[C.OBSERVED, C.PREDICTED])
-        .select(
-            *keys,
-            C.DATE,
-            C.OBSERVED,
-            C.PREDICTED,
-            (F.col(C.PREDICTED) - F.col(C.OBSERVED)).alias(C.ERROR),
-        )
-    )
-    return test, forecast_metadata(
-        test, keys=keys, test_fraction=test_fraction, strict=strict
+    split = chronological_split(paired, keys=keys, test_fraction=test_fraction, strict=strict)
+    both = F.col(C.OBSERVED).isNotNull() & F.col(C.PREDICTED).isNotNull()
+    return split.select(
+        *keys, C.DATE, C.OBSERVED, C.PREDICTED, (F.col("is_test") & both).alias("is_scored")
     )
 
 
+def predictions_of(scored: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """The scored days with their error."""
+    error = (F.col(C.PREDICTED) - F.col(C.OBSERVED)).alias(C.ERROR)
+    return scored.filter("is_scored").select(*keys, C.DATE, C.OBSERVED, C.PREDICTED, error)
+
+
 def forecast_metadata(
     predictions: DataFrame,
     *,
@@ -120,13 +145,37 @@ def forecast_metadata(
     test_fraction: float = C.TEST_FRACTION,
     strict: bool = False,
 ) -> DataFrame:
-    """One row per series that describes a prediction table."""
+    """One row per series that describes a prediction table.
+
+    The table holds scored days only, so a series without any is not in it; see
+    :func:`metadata_of` for the series of a whole table.
+    """
     require_columns(predictions, [*keys, C.DATE, C.OBSERVED, C.PREDICTED], "predictions")
+    return metadata_of(
+        predictions.withColumn("is_scored", F.lit(True)),
+        keys=keys, test_fraction=test_fraction, strict=strict,
+    )
+
+
+def metadata_of(
+    scored: DataFrame,
+    *,
+    keys: Sequence[str] = (),
+    test_fraction: float = C.TEST_FRACTION,
+    strict: bool = False,
+) -> DataFrame:
+    """One row per series of :func:`scored_days`, also for a series of which no
+    day is scored: its ``n`` is 0 and its metrics are NULL. ``strict`` fails the
+    query for such a series."""
+    counts = F.col("is_scored")
+    marked = scored.withColumns(
+        {c: F.when(counts, F.col(c)) for c in (C.DATE, C.OBSERVED, C.PREDICTED)}
+    )
     first = F.min(C.DATE)
     if strict:
-        first = raise_if(F.count(F.lit(1)) == 0, NO_TEST_PAIRS, first)
+        first = raise_if(F.count_if("is_scored") == 0, NO_TEST_PAIRS, first)
     metrics = metric_columns(C.OBSERVED, C.PREDICTED, strict=strict)
-    return predictions.groupBy(*keys).agg(
+    return marked.groupBy(*keys).agg(
         F.lit(C.BASELINE_NAME).alias("baseline"),
         F.lit(C.TARGET_NAME).alias("target"),
         F.lit(C.SPLIT_NAME).alias("split_method"),

@@ -1,7 +1,7 @@
 """Bounding boxes on a long-form grid."""
 
 from collections.abc import Sequence
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,8 @@ from gridseries.functions import longitude_column, longitude_value
 
 ANTIMERIDIAN = "the box wraps around at the antimeridian, which is not possible"
 NO_OVERLAP = "no cell of the grid lies in the box"
-LATITUDES = "lat_min must lie below lat_max, both within -90 to 90"
-LONGITUDES = "lon_min must lie below lon_max, both within -180 to 360"
+# Which bounds belong together, and the range of degrees each pair must keep to.
+LIMITS = [("lat_min", "lat_max", -90.0, 90.0), ("lon_min", "lon_max", -180.0, 360.0)]
 
 
 @dataclass(frozen=True)
@@ -26,11 +26,11 @@ class Region:
     lon_max: float = 127.0
 
     def validate(self) -> None:
-        south, north, west, east = astuple(self)
-        if not (south >= -90 and south < north and north <= 90):
-            raise ValueError(LATITUDES)
-        if not (west >= -180 and west < east and east <= 360):
-            raise ValueError(LONGITUDES)
+        for lower, upper, least, greatest in LIMITS:
+            if not least <= getattr(self, lower) < getattr(self, upper) <= greatest:
+                raise ValueError(
+                    f"{lower} must lie below {upper}, both within {least:g} to {greatest:g}"
+                )
 
     def longitudes(self, nonnegative: bool) -> tuple[float, float]:
         """West and east edge in the grid's longitude convention."""
@@ -41,18 +41,13 @@ class Region:
         return west, east
 
 
-def _ordered(low: float, lower: str, upper: str, high: float) -> Column:
-    """``low <= lower < upper <= high``; false when a bound is NULL or NaN."""
-    a, b = F.col(lower), F.col(upper)
-    holds = (a >= low) & (a < b) & (b <= high) & ~F.isnan(a) & ~F.isnan(b)
-    return F.coalesce(holds, F.lit(False))
-
-
 def valid_region() -> Column:
-    """Whether a row of a regions table has usable bounds."""
-    return _ordered(-90.0, "lat_min", "lat_max", 90.0) & _ordered(
-        -180.0, "lon_min", "lon_max", 360.0
-    )
+    """Whether a row of a regions table has usable bounds; NULL and NaN are not."""
+    found = F.lit(True)
+    for lower, upper, least, greatest in LIMITS:
+        a, b = (F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in (lower, upper))
+        found = found & a.between(least, greatest) & b.between(least, greatest) & (a < b)
+    return F.coalesce(found, F.lit(False))
 
 
 def grid_convention(cells: DataFrame) -> bool:
@@ -102,32 +97,15 @@ def _bins(lower: Column, upper: Column, width: float) -> Column:
     )
 
 
-def assign_regions(
-    grid: DataFrame,
-    regions: DataFrame,
-    *,
-    name: str = "region",
-    cells: DataFrame | None = None,
-    nonnegative_lon: bool | None = None,
-    bin_degrees: float = 2.0,
-    extra: Sequence[str] = (),
+def _boxes(
+    regions: DataFrame, name: str, extra: Sequence[str], nonnegative_lon: bool
 ) -> DataFrame:
-    """Pair every grid row with each region of a table that contains its cell.
-
-    A range join stated as an equi-join: a region is listed under every
-    ``bin_degrees`` square it touches, a grid row looks up the square it lies in
-    and the exact bounds are tested on the match. A region has at most
-    ``(180 / bin_degrees + 1) * (360 / bin_degrees + 1)`` squares; smaller
-    squares mean fewer false matches, larger ones a shorter list for wide
-    regions. Invalid regions fail the query. A grid row in several regions appears once for each.
-    """
-    require_columns(grid, [C.LAT, C.LON], "grid")
-    require_columns(regions, [name, "lat_min", "lat_max", "lon_min", "lon_max", *extra], "regions")
-    if nonnegative_lon is None:
-        nonnegative_lon = grid_convention(cells if cells is not None else grid)
+    """Regions with bounds in the grid's convention; unusable ones fail the query."""
+    bounds = [c for limits in LIMITS for c in limits[:2]]
+    require_columns(regions, [name, *bounds, *extra], "regions")
     west = longitude_column("lon_min", nonnegative_lon)
     east = longitude_column("lon_max", nonnegative_lon)
-    boxes = regions.select(
+    return regions.select(
         name,
         *extra,
         raise_if(
@@ -139,24 +117,78 @@ def assign_regions(
         raise_if(west >= east, ANTIMERIDIAN, west).alias("_west"),
         east.alias("_east"),
     )
+
+
+def _in_boxes(places: DataFrame, boxes: DataFrame, bin_degrees: float) -> DataFrame:
+    """Rows of ``places`` with every box that holds them, by squares of the globe."""
     bins = boxes.withColumn("_row", _bins(F.col("_south"), F.col("_north"), bin_degrees))
     bins = bins.withColumn("_col", _bins(F.col("_west"), F.col("_east"), bin_degrees))
-    # The area all regions span is known before the grid is read: its bounds
-    # reach the file scan, which the join conditions cannot.
-    span = boxes.agg(
-        F.min("_south").alias("s"), F.max("_north").alias("n"),
-        F.min("_west").alias("w"), F.max("_east").alias("e"),
-    )
-    south, north, left, right = [span.select(c).scalar() for c in ("s", "n", "w", "e")]
-    near = grid.filter(F.col(C.LAT).between(south, north) & F.col(C.LON).between(left, right))
-    placed = near.withColumns(
+    placed = places.withColumns(
         {
             "_row": F.floor(F.col(C.LAT) / bin_degrees).cast("int"),
             "_col": F.floor(F.col(C.LON) / bin_degrees).cast("int"),
         }
     )
-    matched = placed.join(bins, ["_row", "_col"]).filter(
+    return placed.join(bins, ["_row", "_col"]).filter(
         F.col(C.LAT).between(F.col("_south"), F.col("_north"))
         & F.col(C.LON).between(F.col("_west"), F.col("_east"))
     )
+
+
+def assign_regions(
+    grid: DataFrame,
+    regions: DataFrame,
+    *,
+    name: str = "region",
+    cells: DataFrame | None = None,
+    nonnegative_lon: bool | None = None,
+    bin_degrees: float = 2.0,
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """Pair every grid row with each region of a table that contains its cell.
+
+    With ``cells`` (distinct ``lat``/``lon`` of the whole grid) the regions are
+    matched to that small table, and grid rows meet them by cell: as many keys
+    as there are cells, and no false matches. Without it the rows themselves are
+    matched: a region is listed under every ``bin_degrees`` square it touches
+    (at most ``(180 / bin_degrees + 1) * (360 / bin_degrees + 1)``), a row looks
+    up the square it lies in, and the exact bounds are tested. Invalid regions
+    fail the query. A grid row in several regions appears once for each.
+    """
+    require_columns(grid, [C.LAT, C.LON], "grid")
+    if nonnegative_lon is None:
+        nonnegative_lon = grid_convention(cells if cells is not None else grid)
+    boxes = _boxes(regions, name, extra, nonnegative_lon)
+    # The area all regions span is known before the grid is read: its bounds
+    # reach the file scan, which the join conditions cannot.
+    span = boxes.agg(
+        F.min("_south").alias("s"), F.max("_north").alias("n"),
+        F.min("_west").alias("w"), F.max("_east").alias("e"),
+    )
+    south, north, left, right = [span.select(c).scalar() for c in ("s", "n", "w", "e")]
+    near = grid.filter(F.col(C.LAT).between(south, north) & F.col(C.LON).between(left, right))
+    if cells is None:
+        matched = _in_boxes(near, boxes, bin_degrees)
+    else:
+        places = _in_boxes(cells.select(C.LAT, C.LON).distinct(), boxes, bin_degrees)
+        matched = near.join(places.select(C.LAT, C.LON, name, *extra), [C.LAT, C.LON])
     return matched.select(name, *extra, *grid.columns)
+
+
+def region_cells(
+    regions: DataFrame,
+    cells: DataFrame,
+    *,
+    name: str = "region",
+    nonnegative_lon: bool | None = None,
+    bin_degrees: float = 2.0,
+) -> DataFrame:
+    """Number of grid cells in every region, 0 for one that lies off the grid."""
+    if nonnegative_lon is None:
+        nonnegative_lon = grid_convention(cells)
+    boxes = _boxes(regions, name, (), nonnegative_lon)
+    places = _in_boxes(cells.select(C.LAT, C.LON).distinct(), boxes, bin_degrees)
+    counted = places.groupBy(name).agg(F.count(F.lit(1)).alias("cells"))
+    return boxes.join(counted, name, "left").select(
+        name, F.coalesce("cells", F.lit(0)).alias("cells")
+    )

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridseries import constants as C
@@ -33,6 +33,34 @@ def grid_weight(cells: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _cells_by_day(grid: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per day and cell, with its value and the number of its rows."""
+    require_columns(grid, [*keys, C.DATE, C.LAT, C.LON, value], "grid")
+    return grid.groupBy(*keys, C.DATE, C.LAT, C.LON).agg(
+        F.max(number(value)).alias("_value"), F.count(F.lit(1)).alias("_rows")
+    )
+
+
+def _summed(cells_by_day: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per day: weighted total, weight and number of valid cells, and row counts."""
+    weight = F.when(F.col("_value").isNotNull(), cosine_weight(C.LAT))
+    return cells_by_day.groupBy(*keys, C.DATE).agg(
+        F.sum(weight * F.col("_value")).alias("_total"),
+        F.coalesce(F.sum(weight), F.lit(0.0)).alias("valid_weight"),
+        F.count("_value").alias("_valid"),
+        F.count(F.lit(1)).alias("cells"),
+        F.sum("_rows").alias("rows"),
+        F.max("_rows").alias("_most"),
+    )
+
+
+def _share() -> Column:
+    """Share of the area with a value: exactly one if every cell has one."""
+    return F.when(F.col("_valid") == F.col("cell_count"), 1.0).otherwise(
+        F.try_divide("valid_weight", "full_weight")
+    )
+
+
 def coverage_by_day(
     grid: DataFrame,
     *,
@@ -44,33 +72,36 @@ def coverage_by_day(
 
     ``cells`` names the cells of the grid (with ``keys``) when the grid table
     holds only some of them; by default they are taken from the grid itself. A
-    day with every cell valid has a share of exactly one. A day with more rows
-    than the grid has cells fails the query, as rows must be repeated then.
+    day with every cell valid has a share of exactly one. A cell that occurs
+    twice on a date fails the query, however few of the day's cells there are.
     """
-    require_columns(grid, [*keys, C.DATE, C.LAT, C.LON, value], "grid")
-    measured = number(value)
-    weight = F.when(measured.isNotNull(), cosine_weight(C.LAT))
-    daily = grid.groupBy(*keys, C.DATE).agg(
-        F.sum(weight * measured).alias("_total"),
-        F.coalesce(F.sum(weight), F.lit(0.0)).alias("valid_weight"),
-        F.count(measured).alias("_valid"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
+    daily = _summed(_cells_by_day(grid, keys, value), keys)
     full = grid_weight(cells if cells is not None else grid, keys=keys)
-    share = F.when(F.col("_valid") == F.col("cell_count"), 1.0).otherwise(
-        F.try_divide("valid_weight", "full_weight")
-    )
     return attach(daily, full, keys).select(
         *keys,
         C.DATE,
         F.try_divide("_total", "valid_weight").alias("mean"),
         "valid_weight",
         "full_weight",
-        raise_if(
-            F.col("_rows") > F.col("cell_count"),
-            "a cell occurs twice on a date",
-            share,
-        ).alias("valid_fraction"),
+        raise_if(F.col("_most") > 1, "a cell occurs twice on a date", _share()).alias(
+            "valid_fraction"
+        ),
+    )
+
+
+def coverage_quality(
+    grid: DataFrame,
+    *,
+    keys: Sequence[str] = (),
+    value: str = C.GRID_VALUE,
+    cells: DataFrame | None = None,
+) -> DataFrame:
+    """Per day: rows, distinct cells, and the share of area that cells with a
+    value cover. Repeated cells are counted here and fail nothing."""
+    daily = _summed(_cells_by_day(grid, keys, value), keys)
+    full = grid_weight(cells if cells is not None else grid, keys=keys)
+    return attach(daily, full, keys).select(
+        *keys, C.DATE, "rows", "cells", _share().alias("valid_fraction")
     )
 
 

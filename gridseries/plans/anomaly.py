@@ -13,10 +13,13 @@ from gridseries.operators import (
     area_weighted_mean_sst,
     assign_regions,
     grid_convention,
+    region_cells,
     regularize_and_fill,
     select_region,
     with_climatology,
 )
+from gridseries.operators.region import NO_OVERLAP
+from gridseries.session import stored
 from gridseries.sinks import write_csv
 from gridseries.sources import read_grid
 
@@ -80,19 +83,29 @@ def series_of_regions(
     min_valid_fraction: float = C.MIN_VALID_FRACTION,
     cells: DataFrame | None = None,
     nonnegative_lon: bool | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Daily area-weighted mean of every region of a table, in one pass.
 
-    ``name`` is the column that names the regions and the key of the result.
+    ``name`` is the column that names the regions and the key of the result. A
+    region off the grid has no days in it; ``strict`` runs one job over the
+    cells and fails if there is one. ``operators.region_cells`` lists them all.
     """
     if nonnegative_lon is None:
         nonnegative_lon = grid_convention(cells if cells is not None else grid)
+    if strict:
+        labels = cells if cells is not None else grid
+        counted = region_cells(regions, labels, name=name, nonnegative_lon=nonnegative_lon)
+        if not counted.filter("cells = 0").isEmpty():
+            raise ValueError(NO_OVERLAP)
 
-    def of_regions(frame):
-        return assign_regions(frame, regions, name=name, nonnegative_lon=nonnegative_lon)
+    def of_regions(frame, cells=None):
+        return assign_regions(
+            frame, regions, name=name, cells=cells, nonnegative_lon=nonnegative_lon
+        )
 
     return area_weighted_mean_sst(
-        of_regions(grid),
+        of_regions(grid, cells),
         keys=[name],
         min_valid_fraction=min_valid_fraction,
         output=C.SERIES_VALUE,
@@ -109,22 +122,30 @@ def load_regional_sst(
     format: str = "parquet",
     start: str | dt.date | None = None,
     end: str | dt.date | None = None,
+    pattern: str | None = None,
+    recursive: bool = False,
     cells: DataFrame | None = None,
     strict: bool = True,
 ) -> DataFrame:
     """Read grid files and reduce them to the daily series of one region.
 
     ``strict`` first rejects several depth levels and a region off the grid. A
-    day with more rows than the region has cells, as from a file stored twice,
-    fails while the plan runs. For a table that lacks cells on some days,
-    ``checks.assert_unique_cells`` looks for repeated rows one by one.
+    cell that occurs twice on a date fails while the plan runs. Without
+    ``cells`` one pass over two columns finds them and stores them in the
+    scratch folder, so that nothing else looks at the grid's labels.
     """
-    grid = read_grid(spark, path, format=format, start=start, end=end, strict=strict)
+    grid = read_grid(
+        spark, path, format=format, start=start, end=end,
+        pattern=pattern, recursive=recursive, strict=strict,
+    )
+    if cells is None:
+        cells = stored(grid.select(C.LAT, C.LON).distinct(), "cells")
     return regional_series(
         grid,
         region,
         min_valid_fraction=min_valid_fraction,
         cells=cells,
+        nonnegative_lon=grid_convention(cells),
         strict=strict,
     )
 
@@ -141,16 +162,28 @@ def preprocess_job(
     climatology_start: str | dt.date = C.REFERENCE_START,
     climatology_end: str | dt.date = C.REFERENCE_END,
     format: str = "parquet",
+    start: str | dt.date | None = None,
+    end: str | dt.date | None = None,
+    pattern: str | None = None,
+    recursive: bool = False,
     cells: DataFrame | None = None,
     strict: bool = True,
 ) -> int:
-    """Grid files in, anomaly table out as CSV; returns the number of days."""
+    """Grid files in, anomaly table out as CSV; returns the number of days.
+
+    The table is made in the scratch folder first, so that a check that fails
+    leaves the output of an earlier run as it is.
+    """
     series = load_regional_sst(
         spark,
         input_path,
         region,
         min_valid_fraction=min_valid_fraction,
         format=format,
+        start=start,
+        end=end,
+        pattern=pattern,
+        recursive=recursive,
         cells=cells,
         strict=strict,
     )
@@ -162,6 +195,6 @@ def preprocess_job(
         reference_end=climatology_end,
         strict=True,
     )
-    rows = write_csv(table, output_path)
+    rows = write_csv(stored(table, "anomaly"), output_path)
     LOGGER.info("wrote %d daily rows to %s", rows, output_path)
     return rows

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridseries import constants as C
 from gridseries import schemas
-from gridseries.operators import evaluate_persistence, forecast_metadata
+from gridseries.operators import metadata_of, predictions_of, scored_days
+from gridseries.session import stored
 from gridseries.sinks import write_csv, write_metadata
 from gridseries.sources import read_anomaly_table
 
@@ -29,22 +30,19 @@ def persistence_job(
     keys: Sequence[str] = (),
     test_fraction: float = C.TEST_FRACTION,
     format: str = "csv",
+    strict: bool = True,
 ) -> DataFrame:
     """Anomaly table in, predictions and metadata out; returns the metadata.
 
-    The forecast runs once: the metadata is computed from the predictions as
-    written, which hold every digit of the values.
+    The forecast runs once, into the scratch folder. All checks have been passed
+    before the tables of an earlier run are touched: with ``strict``, that every
+    series has a day to score. Without it, one that has none is in the metadata
+    with ``n`` 0.
     """
     table = read_anomaly_table(spark, input_path, keys=keys, format=format)
-    predictions, _ = evaluate_persistence(
-        table, keys=keys, test_fraction=test_fraction, strict=True
-    )
-    write_csv(predictions, predictions_path, keys=keys)
-    metadata = forecast_metadata(
-        read_predictions(spark, predictions_path, keys=keys),
-        keys=keys,
-        test_fraction=test_fraction,
-        strict=True,
-    )
+    options = {"keys": keys, "test_fraction": test_fraction, "strict": strict}
+    scored = stored(scored_days(table, **options), "scored")
+    metadata = stored(metadata_of(scored, **options), "metadata")
+    write_csv(predictions_of(scored, keys=keys), predictions_path, keys=keys)
     write_metadata(metadata, metrics_path, keys=keys)
     return metadata

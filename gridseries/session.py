@@ -1,10 +1,11 @@
 """Spark session settings for local runs, and the shared scratch folder."""
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -28,11 +29,26 @@ def local_session(cores: int | str = "*", *, memory: str = "8g", partitions: int
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table.
 
-    On a cluster it lies in the shared folder that ``spark.checkpoint.dir``
-    names, so the table outlives the executors that wrote it. Only where that
-    is unset, as in tests, is a folder of this machine used.
+    It lies in the shared folder that ``spark.checkpoint.dir`` names or that
+    ``SparkContext.setCheckpointDir`` was given, so the table outlives the
+    executors that wrote it. Where neither is set, a session on this machine
+    alone, as in tests, takes a temporary folder; a cluster is refused.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame, written to the scratch folder and read back.
+
+    What the plan computes is computed once, its checks have fired, and Spark
+    knows the table's true size.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

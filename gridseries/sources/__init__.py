@@ -2,7 +2,6 @@
 
 from gridseries.sources.files import list_files
 from gridseries.sources.grid import prepare_grid, read_grid
-from gridseries.sources.netcdf import read_netcdf_grid
 from gridseries.sources.tables import read_anomaly_table, read_exploration_table
 
 __all__ = [
@@ -11,5 +10,4 @@ __all__ = [
     "read_anomaly_table",
     "read_exploration_table",
     "read_grid",
-    "read_netcdf_grid",
 ]

@@ -369,3 +369,91 @@ def test_exploration_tables(spark):
     band = sorted(tables["autocorrelation"].collect(), key=lambda r: r.lag)
     assert [r.lag for r in band] == list(range(1, 30))
     assert band[0].half_width == pytest.approx(1.959963984540054 / math.sqrt(60))
+
+
+def test_a_repeated_cell_fails_on_an_incomplete_day(spark):
+    """One cell three times and another once, of a grid of four cells."""
+    rows = [("2000-01-01", 0, 10, 1.0)] * 3 + [("2000-01-01", 0, 11, 5.0)]
+    cells = grid(spark, [("2000-01-01", a, o, None) for a in (0, 1) for o in (10, 11)])
+    with pytest.raises(Exception, match="occurs twice"):
+        ops.area_weighted_mean_sst(grid(spark, rows), cells=cells).collect()
+    found = ops.coverage_quality(grid(spark, rows), cells=cells).collect()
+    assert [(r["rows"], r["cells"]) for r in found] == [(4, 2)]
+    assert found[0]["valid_fraction"] == pytest.approx(0.5, abs=1e-4)
+
+
+def _two_series(spark):
+    """One complete series, and one whose last part has no values."""
+    days = [(k, day(f"2000-01-{d:02d}"), float(d * d % 7)) for k in ("a", "b") for d in range(1, 31)]
+    rows = [(k, d, None if k == "b" and d.day > 15 else v) for k, d, v in days]
+    return spark.createDataFrame(rows, "k string, date date, anomaly_celsius double")
+
+
+def test_no_series_vanishes_from_the_metadata(spark):
+    table = _two_series(spark)
+    _, metadata = ops.evaluate_persistence(table, keys=["k"])
+    assert {r["k"]: r["metrics"]["n"] for r in metadata.collect()} == {"a": 6, "b": 0}
+    _, strict = ops.evaluate_persistence(table, keys=["k"], strict=True)
+    with pytest.raises(Exception, match="no pair"):
+        strict.collect()
+
+
+def test_every_series_needs_reference_values(spark):
+    table = _two_series(spark).withColumnRenamed("anomaly_celsius", "sst_celsius")
+    period = {"reference_start": "2000-01-16", "reference_end": "2000-01-31", "keys": ["k"]}
+    with pytest.raises(ValueError, match="reference period"):
+        ops.calculate_climatology(table, strict=True, **period)
+    mapped, _ = ops.calculate_climatology(table, **period)
+    assert mapped.count() == 60
+
+
+def test_a_region_off_the_grid_is_told(spark):
+    cells = grid(spark, [("2000-01-01", a, o, 1.0) for a in (0, 1, 2) for o in (10, 11)])
+    schema = "region string, lat_min double, lat_max double, lon_min double, lon_max double"
+    regions = spark.createDataFrame([("on", 0.0, 1.0, 10.0, 11.0), ("off", 50.0, 60.0, 10.0, 11.0)], schema)
+    counted = ops.region_cells(regions, cells)
+    assert {r["region"]: r["cells"] for r in counted.collect()} == {"on": 4, "off": 0}
+    assert plans.series_of_regions(cells, regions, cells=cells).count() == 1
+    with pytest.raises(ValueError, match="no cell"):
+        plans.series_of_regions(cells, regions, cells=cells, strict=True)
+
+
+def test_regions_by_cells_and_by_rows_agree(spark):
+    rows = grid(spark, [("2000-01-01", a / 2, o / 2, 1.0) for a in range(20) for o in range(20, 40)])
+    schema = "region string, lat_min double, lat_max double, lon_min double, lon_max double"
+    regions = spark.createDataFrame(
+        [("a", 0.0, 3.0, 10.0, 14.5), ("b", 2.5, 9.0, 12.0, 13.0), ("c", 0.25, 0.3, 10.0, 19.0)], schema
+    )
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    found = []
+    for limit in (before, "-1"):
+        spark.conf.set(threshold, limit)
+        for cells in (None, rows):
+            out = ops.assign_regions(rows, regions, cells=cells, nonnegative_lon=True)
+            found.append(sorted(map(tuple, out.collect())))
+    spark.conf.set(threshold, before)
+    assert found[0] and all(f == found[0] for f in found)
+
+
+def test_repeated_dates_fail_in_every_series_operator(spark):
+    twice = series(spark, {"2000-01-01": 1, "2000-01-02": 2, "2000-01-03": 3})
+    twice = twice.union(twice.filter("date = '2000-01-02'"))
+    once = series(spark, {"2000-01-01": 1}).withColumnRenamed("sst_celsius", "other")
+    for frame in (
+        ops.bracket_valid(twice),
+        ops.chronological_split(twice),
+        ops.align_series(twice, once),
+        ops.align_series(once, twice),
+    ):
+        with pytest.raises(Exception, match="occurs twice"):
+            frame.collect()
+
+
+def test_spanned_dates(spark):
+    days = series(spark, {"2000-02-27": 1, "2000-03-01": 2})
+    found = sorted(str(r["date"]) for r in ops.spanned_dates(days).collect())
+    assert found == ["2000-02-27", "2000-02-28", "2000-02-29", "2000-03-01"]
+    assert ops.spanned_dates(days.limit(0)).count() == 0
+    with pytest.raises(Exception, match="record begins"):
+        ops.spanned_dates(series(spark, {"1970-01-01": 1})).collect()

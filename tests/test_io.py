@@ -1,7 +1,6 @@
 """Sources, sinks, jobs and ingestion planning."""
 
 import glob
-import io
 import json
 import math
 import types
@@ -140,33 +139,6 @@ def test_cells_table(spark, small_grid, tmp_path):
     assert by_day(with_cells, "sst_celsius") == pytest.approx(by_day(without, "sst_celsius"))
 
 
-def test_decoded_files(spark, tmp_path):
-    """The file reader, with a decoder for NumPy archives in place of NetCDF."""
-    lats, lons = np.array([30.0, 35.0, 38.0], "float32"), np.array([118.0, 122.0, 200.0])
-    for i in range(3):
-        folder = tmp_path / "raw" / "200001"
-        folder.mkdir(parents=True, exist_ok=True)
-        values = np.arange(9, dtype="float32").reshape(1, 3, 3) + i
-        values[0, 2, 0] = np.nan
-        buffer = io.BytesIO()
-        np.savez(buffer, date=np.array([f"2000-01-0{i + 1}"], "datetime64[D]"), sst=values, lat=lats, lon=lons)
-        (folder / f"oisst-avhrr-v02r01.2000010{i + 1}.nc").write_bytes(buffer.getvalue())
-
-    def decode(content):
-        data = np.load(io.BytesIO(content))
-        return data["date"], data["lat"], data["lon"], data["sst"]
-
-    root = str(tmp_path / "raw")
-    everything = sources.read_netcdf_grid(spark, root, decode=decode)
-    assert everything.count() == 27
-    assert everything.filter("sst is null").count() == 3
-    boxed = sources.read_netcdf_grid(spark, root, region=ops.Region(), decode=decode)
-    expected = ops.select_region(everything, ops.Region())
-    assert boxed.count() == 12 and boxed.exceptAll(expected).isEmpty()
-    found = ops.dates_of_files(sources.list_files(spark, root))
-    assert sorted(str(r.date) for r in found.collect()) == ["2000-01-01", "2000-01-02", "2000-01-03"]
-
-
 def test_download_plan(spark):
     existing = spark.createDataFrame([(day("2000-01-02"),), (day("1999-01-01"),)], "date date")
 
@@ -193,5 +165,43 @@ def test_download_plan(spark):
 
 def test_scratch_folder_follows_the_session(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-    conf = types.SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": "/shared/"}[key])
-    assert scratch_path(types.SimpleNamespace(conf=conf), "x").startswith("/shared/x-")
+
+    def session(master, set_in_conf=None, set_in_context=None):
+        conf = types.SimpleNamespace(get=lambda key, default: set_in_conf)
+        context = types.SimpleNamespace(master=master, getCheckpointDir=lambda: set_in_context)
+        return types.SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert scratch_path(session("yarn", "/shared/"), "x").startswith("/shared/x-")
+    assert scratch_path(session("yarn", None, "/other"), "x").startswith("/other/x-")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_path(session(master), "x")
+
+
+def test_a_rejected_run_keeps_earlier_tables(spark, small_grid, tmp_path):
+    paths = {n: str(tmp_path / n) for n in ("anomaly", "predictions", "metrics", "grid", "table")}
+    rows = run_of_days("2000-01-01", [1.0, 2.0, 4.0, 3.0, 5.0, 6.0, 2.0, 1.0, 4.0, 3.0])
+    good = plans.build_anomaly_table(
+        series(spark, rows), reference_start="2000-01-01", reference_end="2000-01-31"
+    )
+    sinks.write_csv(good, paths["anomaly"])
+    plans.persistence_job(spark, paths["anomaly"], paths["predictions"], paths["metrics"])
+    before = sorted(spark.read.text(paths["predictions"]).collect())
+    assert len(before) >= 2
+    late = F.col("date") < "2000-01-08"
+    sinks.write_csv(
+        good.withColumn("anomaly_celsius", F.when(late, F.col("anomaly_celsius"))), paths["anomaly"]
+    )
+    with pytest.raises(Exception, match="no pair"):
+        plans.persistence_job(spark, paths["anomaly"], paths["predictions"], paths["metrics"])
+    assert sorted(spark.read.text(paths["predictions"]).collect()) == before
+    # The other job: a repeated cell is found before the output is touched.
+    sinks.write_csv(good, paths["table"])
+    kept = sorted(spark.read.text(paths["table"]).collect())
+    sinks.write_grid(small_grid.union(small_grid), paths["grid"])
+    with pytest.raises(Exception, match="occurs twice"):
+        plans.preprocess_job(
+            spark, paths["grid"], paths["table"],
+            climatology_start="1981-01-01", climatology_end="2030-12-31",
+        )
+    assert sorted(spark.read.text(paths["table"]).collect()) == kept

@@ -143,10 +143,15 @@ def test_forecast(spark, fraction):
         for r in test.collect()
     }
     assert got == expected
-    for row in metadata.collect():
+    described = metadata.collect()
+    assert {row.k for row in described} == {k for k, rows in made.items() if rows}
+    for row in described:
         pairs = {d: v for (k, d), v in expected.items() if k == row.k}
         errors = [p - o for o, p in pairs.values()]
         assert row.metrics.n == len(errors)
+        if not errors:
+            assert row.metrics.mae is row.metrics.rmse is row.test_start is row.test_end is None
+            continue
         assert math.isclose(row.metrics.mae, sum(map(abs, errors)) / len(errors))
         assert math.isclose(row.metrics.rmse, math.sqrt(sum(e * e for e in errors) / len(errors)))
         assert (row.test_start, row.test_end) == (str(min(pairs)), str(max(pairs)))

@@ -112,18 +112,21 @@ def forecast(fraction: str = "0.2") -> str:
            row_number() OVER (PARTITION BY k ORDER BY d) - 1 AS pos,
            count(*) OVER (PARTITION BY k) AS n
     FROM anomaly),
-test AS (
-    SELECT k, d, a, p, p - a AS e FROM ordered
-    WHERE pos >= greatest(1, floor(n * (1 - CAST({fraction} AS DOUBLE))))
-      AND a IS NOT NULL AND p IS NOT NULL),
+marked AS (
+    SELECT k, d, a, p, p - a AS e,
+           pos >= greatest(1, floor(n * (1 - CAST({fraction} AS DOUBLE))))
+           AND a IS NOT NULL AND p IS NOT NULL AS scored FROM ordered),
+test AS (SELECT * FROM marked WHERE scored),
 meta AS (
     SELECT k, 'one-day persistence' AS baseline, 'sst anomaly (degrees Celsius)' AS target,
            'final chronological fraction' AS split_method,
            CAST({fraction} AS DOUBLE) AS test_fraction,
-           strftime(min(d), '%Y-%m-%d') AS test_start, strftime(max(d), '%Y-%m-%d') AS test_end,
-           CAST(42 AS BIGINT) AS random_seed, count(*) AS n,
-           round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse
-    FROM test GROUP BY k)"""
+           strftime(min(d) FILTER (scored), '%Y-%m-%d') AS test_start,
+           strftime(max(d) FILTER (scored), '%Y-%m-%d') AS test_end,
+           CAST(42 AS BIGINT) AS random_seed, count(*) FILTER (scored) AS n,
+           round(avg(abs(e)) FILTER (scored), 6) AS mae,
+           round(sqrt(avg(e * e) FILTER (scored)), 6) AS rmse
+    FROM marked GROUP BY k)"""
 
 
 META = (
@@ -330,6 +333,76 @@ def oracle_sql() -> dict[str, str]:
             forecast(),
         )
         + f"SELECT k AS region, {META} FROM meta",
+        "regions_supplier": _with(SUPPLIER_GRID, """boxes AS (
+                SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS nation, 30 + c_nationkey % 7 AS s,
+                       33 + c_nationkey % 7 AS n, 115 + c_nationkey % 12 AS w,
+                       119 + c_nationkey % 12 AS e FROM customer),
+            inside AS (
+                SELECT nation, date, lat, lon, sst, cos(radians(lat)) AS c
+                FROM grid JOIN boxes ON lat BETWEEN s AND n AND lon BETWEEN w AND e),
+            total AS (
+                SELECT nation, sum(c) * any_value(lons) AS fw FROM (
+                    SELECT DISTINCT nation, lat, c FROM inside)
+                JOIN (SELECT nation, count(DISTINCT lon) AS lons FROM inside GROUP BY nation)
+                USING (nation) GROUP BY nation)""") + """
+            SELECT nation, date, CASE WHEN coalesce(sum(c) FILTER (sst IS NOT NULL), 0) / any_value(fw) >= 0.2
+                THEN round(sum(c * sst) / sum(c) FILTER (sst IS NOT NULL), 6) END AS sst_celsius
+            FROM inside JOIN total USING (nation) GROUP BY nation, date""",
+        "region_cells": _with(REGION_TABLE) + """
+            SELECT b.region, count(lat) AS cells
+            FROM (SELECT * FROM boxes UNION ALL
+                  SELECT region || ' SOUTH', s - 100, n - 100, w, e FROM boxes) b
+            LEFT JOIN (SELECT DISTINCT CAST(25 + 5 * floor(c_nationkey / 5) AS DOUBLE) AS lat,
+                              CAST(110 + 5 * (c_nationkey % 5) AS DOUBLE) AS lon FROM customer)
+              ON lat BETWEEN s AND n AND lon BETWEEN w AND e
+            GROUP BY b.region""",
+        "coverage_quality": """
+            WITH measured AS (
+                SELECT CAST(l_shipdate AS DATE) AS date,
+                       l_suppkey % 25 * CAST(0.5 AS DOUBLE) + 30 AS lat,
+                       floor(l_suppkey / 25) % 40 * CAST(0.5 AS DOUBLE) + 115 AS lon,
+                       l_quantity <= 40 AS valid FROM lineitem),
+            per_cell AS (
+                SELECT date, lat, lon, count(*) AS n, bool_or(valid) AS valid
+                FROM measured GROUP BY ALL)
+            SELECT date, CAST(sum(n) AS BIGINT) AS rows, count(*) AS cells,
+                round(coalesce(sum(cos(radians(lat))) FILTER (valid), 0) / (
+                    (SELECT sum(cos(radians(lat))) FROM (SELECT DISTINCT lat FROM measured))
+                    * (SELECT count(DISTINCT lon) FROM measured)), 6) AS valid_fraction
+            FROM per_cell GROUP BY date""",
+        "forecast_status_by_key": _with(ORDERS) + """, s AS (
+                SELECT o_custkey AS k, d, avg(v) AS v FROM orders_by_day GROUP BY 1, 2),
+            placed AS (
+                SELECT s.k, s.d, s.v, y.v AS p, s.d - min(s.d) OVER w AS pos,
+                       max(s.d) OVER w - min(s.d) OVER w + 1 AS n
+                FROM s LEFT JOIN s y ON y.k = s.k AND y.d = s.d - 1
+                WINDOW w AS (PARTITION BY s.k)),
+            marked AS (
+                SELECT *, v IS NOT NULL AND p IS NOT NULL
+                    AND pos >= greatest(1, floor(n * CAST(0.8 AS DOUBLE))) AS scored FROM placed)
+            SELECT CAST(k AS BIGINT) AS custkey, count(*) FILTER (scored) AS n,
+                round(avg(abs(p - v)) FILTER (scored), 6) AS mae,
+                strftime(min(d) FILTER (scored), '%Y-%m-%d') AS test_start,
+                strftime(max(d) FILTER (scored), '%Y-%m-%d') AS test_end
+            FROM marked GROUP BY k""",
+        "exploration_tables": _with(
+            DAILY, anomalies(), "vals AS (SELECT k, a AS x FROM anomaly)", histogram("vals", 50),
+            density("vals"), autocorrelation(365),
+        ) + """
+            SELECT 'profile' AS view, unnest([1, 2, 3, 4])::BIGINT AS place,
+                   unnest([count(v), count(interpolated), count(c), count(a)])::DOUBLE AS value
+            FROM anomaly
+            UNION ALL SELECT 'sst', date_diff('day', DATE '1970-01-01', d), round(v, 6) FROM anomaly
+            UNION ALL SELECT 'anomaly', date_diff('day', DATE '1970-01-01', d), round(a, 6) FROM anomaly
+            UNION ALL SELECT 'monthly_means', month(d), round(avg(v), 6) FROM anomaly GROUP BY 2
+            UNION ALL SELECT 'histogram', bin, n FROM bars
+            UNION ALL SELECT 'density', point, round(y, 6) FROM curve
+            UNION ALL SELECT 'autocorrelation', lag, round(r, 6) FROM acf""",
+        "grid_listing": _with(NATION_GRID) + """
+            SELECT ym, row_number() OVER (ORDER BY ym) AS position
+            FROM (SELECT DISTINCT strftime(date, '%Y%m') AS ym FROM grid)""",
+        "grid_time_column": _with(NATION_GRID)
+        + "SELECT date, lat, lon, round(sst, 6) AS sst FROM grid",
         "finite_pairs": _with(PAIRS) + """SELECT event_type, round(observed, 6) AS observed,
             round(predicted, 6) AS predicted FROM finite""",
         "metrics": _with(PAIRS) + """SELECT count(*) AS n,
@@ -364,7 +437,7 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT lag, round(r, 6) AS acf, n FROM acf",
         "acf_band": _with(DAILY, anomalies(), autocorrelation(365))
         + f"SELECT lag, round(r, 6) AS acf, n, {BAND} FROM acf",
-        "acf_by_nation": _with(NATION, anomalies(), autocorrelation(60))
+        "acf_by_nation": _with(NATION, anomalies(), autocorrelation(365))
         + f"SELECT k AS nation, lag, round(r, 6) AS acf, n, {BAND} FROM acf",
         "profile": _with(DAILY, anomalies()) + """, one AS (
                 SELECT count(*) AS row_count, min(d) AS first_date, max(d) AS last_date,

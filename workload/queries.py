@@ -6,7 +6,7 @@ with those of the SQL in ``workload.oracle``.
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +55,6 @@ def all_queries() -> dict[str, Query]:
 # --- Calendar and ingestion ---------------------------------------------------
 
 
-def _order_period(spark: SparkSession, sf_dir: str) -> tuple:
-    days = views.orders_by_day(spark, sf_dir)
-    return tuple(days.agg(F.min("date"), F.max("date")).first())
-
-
 def _stored_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.orders_by_day(spark, sf_dir).select("date")
 
@@ -67,7 +62,7 @@ def _stored_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gen_calendar(spark, sf_dir):
     """Every date of the period the orders span."""
-    return ops.date_range(spark, *_order_period(spark, sf_dir))
+    return ops.spanned_dates(_stored_dates(spark, sf_dir))
 
 
 @query
@@ -86,9 +81,7 @@ def gen_parse_dates(spark, sf_dir):
 
 def _plan(spark, sf_dir, **options):
     stored = _stored_dates(spark, sf_dir)
-    return ops.plan_downloads(
-        spark, *_order_period(spark, sf_dir), stored, output_dir="raw", **options
-    )
+    return ops.plan_days(ops.spanned_dates(stored), stored, output_dir="raw", **options)
 
 
 @query
@@ -118,7 +111,7 @@ def ingest_counts_dry_run(spark, sf_dir):
 @query
 def ingest_missing(spark, sf_dir):
     """Days of the period without orders."""
-    wanted = ops.date_range(spark, *_order_period(spark, sf_dir))
+    wanted = ops.spanned_dates(_stored_dates(spark, sf_dir))
     return ops.missing_dates(wanted, _stored_dates(spark, sf_dir))
 
 
@@ -208,9 +201,38 @@ def regions_mean(spark, sf_dir):
     return _regions_series(spark, sf_dir).withColumnRenamed("sst_celsius", "sst")
 
 
+@query
+def regions_supplier(spark, sf_dir):
+    """Weighted daily mean of a box for each nation, matched by way of the cells."""
+    return plans.series_of_regions(
+        views.supplier_grid(spark, sf_dir),
+        views.customer_regions(spark, sf_dir),
+        name="nation",
+        min_valid_fraction=0.2,
+        cells=views.supplier_cells(spark, sf_dir),
+        nonnegative_lon=True,
+    )
+
+
+@query
+def region_cells(spark, sf_dir):
+    """Grid cells of every box, those off the grid with none."""
+    return ops.region_cells(
+        views.regions_and_others(spark, sf_dir),
+        views.nation_cells(spark, sf_dir),
+        nonnegative_lon=True,
+    )
+
+
 # --- Spatial means ------------------------------------------------------------
 
 
+@query
+def coverage_quality(spark, sf_dir):
+    """Rows, distinct cells and covered share per day of rows whose cells repeat."""
+    return ops.coverage_quality(views.supplier_rows(spark, sf_dir))
+
+
 def _supplier_box(spark, sf_dir):
     cells = views.supplier_cells(spark, sf_dir)
     inside = ops.select_region(
@@ -442,6 +464,16 @@ def persistence_meta_by_nation(spark, sf_dir):
     return _flat(ops.evaluate_persistence(_nation_anomaly(spark, sf_dir), keys=["nation"])[1])
 
 
+@query
+def forecast_status_by_key(spark, sf_dir):
+    """Scored days of every customer's series, also where there are none."""
+    series = views.customer_series(spark, sf_dir)
+    scored = ops.scored_days(series, keys=["custkey"], value="sst_celsius")
+    return _flat(ops.metadata_of(scored, keys=["custkey"])).select(
+        "custkey", "n", "mae", "test_start", "test_end"
+    )
+
+
 @query
 def grid_to_forecast(spark, sf_dir):
     """The whole chain from the grid to the forecast's metadata."""
@@ -523,7 +555,7 @@ def acf(spark, sf_dir):
 @query
 def acf_by_nation(spark, sf_dir):
     """Autocorrelation and its band for every nation."""
-    found = ops.autocorrelation(_nation_anomaly(spark, sf_dir), keys=["nation"], max_lags=60)
+    found = ops.autocorrelation(_nation_anomaly(spark, sf_dir), keys=["nation"])
     return ops.acf_band(found, keys=["nation"])
 
 
@@ -539,6 +571,33 @@ def profile(spark, sf_dir):
     return ops.profile(_anomaly(spark, sf_dir))
 
 
+@query
+def exploration_tables(spark, sf_dir):
+    """All exploratory tables of one series, one below the other."""
+    tables = plans.exploration_tables(_anomaly(spark, sf_dir))
+    names = ["sst_celsius", "is_interpolated", "climatology_celsius", "anomaly_celsius"]
+    column = F.array_position(F.array(*map(F.lit, names)), F.col("column"))
+    places = {
+        "profile": (column, "non_null"),
+        "sst": (F.unix_date("date"), "sst_celsius"),
+        "anomaly": (F.unix_date("date"), "anomaly_celsius"),
+        "monthly_means": (F.col("month"), "sst_celsius"),
+        "histogram": (F.col("bin"), "count"),
+        "density": (F.col("point"), "density"),
+        "autocorrelation": (F.col("lag"), "acf"),
+    }
+    return ops.union_frames(
+        [
+            tables[view].select(
+                F.lit(view).alias("view"),
+                place.cast("bigint").alias("place"),
+                F.col(value).cast("double").alias("value"),
+            )
+            for view, (place, value) in places.items()
+        ]
+    )
+
+
 @query
 def dup_dates(spark, sf_dir):
     """Dates that repeat within a priority of the raw orders."""
@@ -575,11 +634,39 @@ def grid_file_months(spark, sf_dir):
     return files.select(month.alias("ym")).distinct()
 
 
+@query
+def grid_listing(spark, sf_dir):
+    """Months in the order in which the listing of a written grid shows them."""
+    path = scratch_path(spark, "grid")
+    sinks.write_grid(views.nation_grid(spark, sf_dir), path)
+    listed = sources.list_files(spark, path, "*.parquet").select(
+        F.regexp_extract("path", r"/ym=([0-9]{6})/", 1).alias("ym"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    months = listed.groupBy("ym").agg(F.min("place").alias("place"))
+    return months.select("ym", F.row_number().over(Window.orderBy("place")).alias("position"))
+
+
+@query
+def grid_time_column(spark, sf_dir):
+    """A grid whose days come as time stamps, brought to the common columns."""
+    raw = views.nation_grid(spark, sf_dir).select(
+        F.timestamp_seconds(F.unix_date("date") * 86400 + 43200).alias("time"),
+        F.col("lat").cast("float").alias("lat"),
+        F.col("lon").cast("float").alias("lon"),
+        F.lit(0.0).alias("zlev"),
+        "sst",
+    )
+    return sources.prepare_grid(raw, strict=True)
+
+
 @query
 def anomaly_csv(spark, sf_dir):
     """Grid files to anomaly CSV by the job, read back."""
     grid_path, table_path = scratch_path(spark, "grid"), scratch_path(spark, "anomaly")
+    cells_path = scratch_path(spark, "cells")
     sinks.write_grid(views.supplier_grid(spark, sf_dir), grid_path)
+    sinks.write_cells(spark.read.parquet(grid_path), cells_path)
     plans.preprocess_job(
         spark,
         grid_path,
@@ -587,6 +674,7 @@ def anomaly_csv(spark, sf_dir):
         region=SUPPLIER_BOX,
         max_gap_days=1,
         min_valid_fraction=0.15,
+        cells=spark.read.parquet(cells_path),
         climatology_start=REFERENCE["reference_start"],
         climatology_end=REFERENCE["reference_end"],
     )
@@ -597,7 +685,7 @@ def _forecast_files(spark, sf_dir):
     table_path = scratch_path(spark, "anomaly")
     sinks.write_csv(_nation_anomaly(spark, sf_dir), table_path, keys=["nation"])
     paths = scratch_path(spark, "predictions"), scratch_path(spark, "metadata")
-    plans.persistence_job(spark, table_path, *paths, keys=["nation"])
+    plans.persistence_job(spark, table_path, *paths, keys=["nation"], strict=False)
     return paths
 
 

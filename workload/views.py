@@ -96,15 +96,21 @@ def _supplier_cell() -> list:
     ]
 
 
-def supplier_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid with 25 latitudes and up to 40 longitudes, one row per cell and
-    ship date; a cell whose line items all exceed 40 pieces has no value."""
-    cell = table(spark, sf_dir, "lineitem").select(
+def supplier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as measurements of supplier cells, of which many repeat; those
+    of more than 40 pieces have no value."""
+    return table(spark, sf_dir, "lineitem").select(
         F.to_date("l_shipdate").alias("date"),
         *_supplier_cell(),
-        F.when(F.col("l_quantity") <= 40, F.ln("l_extendedprice")).alias("price"),
+        F.when(F.col("l_quantity") <= 40, F.ln("l_extendedprice")).alias("sst"),
     )
-    return cell.groupBy("date", "lat", "lon").agg(F.avg("price").alias("sst"))
+
+
+def supplier_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid with 25 latitudes and up to 40 longitudes, one row per cell and
+    ship date; a cell whose line items all exceed 40 pieces has no value."""
+    rows = supplier_rows(spark, sf_dir)
+    return rows.groupBy("date", "lat", "lon").agg(F.avg("sst").alias("sst"))
 
 
 def supplier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +132,39 @@ def region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def regions_and_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of :func:`region_table`, and each again far off the grid."""
+    boxes = region_table(spark, sf_dir)
+    south = boxes.withColumns(
+        {
+            "region": F.concat("region", F.lit(" SOUTH")),
+            "lat_min": F.col("lat_min") - 100,
+            "lat_max": F.col("lat_max") - 100,
+        }
+    )
+    return boxes.union(south)
+
+
+def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box for each nation that customers live in."""
+    nation = F.col("c_nationkey").cast("double")
+    boxes = table(spark, sf_dir, "customer").select("c_nationkey").distinct()
+    return boxes.select(
+        F.col("c_nationkey").cast("bigint").alias("nation"),
+        (30 + nation % 7).alias("lat_min"),
+        (33 + nation % 7).alias("lat_max"),
+        (115 + nation % 12).alias("lon_min"),
+        (119 + nation % 12).alias("lon_max"),
+    )
+
+
+def customer_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One short series per customer; many have no two days in a row."""
+    return orders_by_day(spark, sf_dir).groupBy("custkey", "date").agg(
+        F.avg("sst_celsius").alias("sst_celsius")
+    )
+
+
 def forecast_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs from the events, with missing and infinite values among them."""
     value = F.col("value")
