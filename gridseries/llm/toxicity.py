@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridseries.llm._columns import with_results
 
 # Bounds of the training sample: labelled texts, and bytes of a text in it.
-TEXTS = 8000
+TEXTS = 4000
 TEXT_BYTES = 32_000
 # Texts of the sample that must have a word for it to get a weight.
 LEAST_TEXTS = 3
