@@ -319,11 +319,11 @@ def learn(
         share = F.when(F.col("l") == name, passages / n).otherwise(share)
     drawn = rows.withColumn("h", F.xxhash64("i"))
     drawn = drawn.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    # The same bound for a table whose ids are all alike.
-    drawn = drawn.orderBy("h", "t").limit(2 * passages * len(counts))
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("t") - PASSAGE_CHARS + 1)) + 1
-    found = drawn.select("l", F.substring("t", start.cast("int"), F.lit(PASSAGE_CHARS)).alias("t"))
-    sample = sorted((r["l"], r["t"]) for r in found.collect())
+    passage = F.substring("t", start.cast("int"), F.lit(PASSAGE_CHARS)).alias("p")
+    # The same bound for a table whose ids are all alike.
+    found = drawn.select("h", "l", passage).orderBy("h", "l", "p").limit(2 * passages * len(counts))
+    sample = sorted((r["l"], r["p"]) for r in found.collect())
     known = [(a, b) for a, b in sample if any(map(_core, b.lower().split()))]
     if not known:
         return Model([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0)))

@@ -213,12 +213,13 @@ def learn(
     labelled: int = LABELLED,
 ) -> list[Rule]:
     """Rules from at most ``labelled`` labelled rows, drawn by a hash of
-    ``doc_id``. Rows without label or document take no part; without rejected
-    rows the list is empty."""
+    ``doc_id``. Rows without label or document take no part, of several labels
+    of one id the lowest counts; without rejected rows the list is empty."""
     drawn = (
         labels.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y"))
         .filter("i IS NOT NULL AND y IN (0, 1)")
-        .dropDuplicates(["i"])
+        .groupBy("i")
+        .agg(F.min("y").alias("y"))
         .orderBy(F.xxhash64("i"), "i")
         .limit(labelled)
     )

@@ -135,11 +135,12 @@ def learn(
 ) -> Model:
     """Fit a model on at most ``texts`` labelled rows (and of those the texts
     of up to 32,000 bytes), drawn by a hash of ``doc_id``. Rows without text or
-    label take no part."""
+    label take no part; of several labels of one id the highest counts."""
     drawn = (
         labels.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y"))
         .filter("i IS NOT NULL AND y IN (0, 1)")
-        .dropDuplicates(["i"])
+        .groupBy("i")
+        .agg(F.max("y").alias("y"))
         .withColumn("h", F.xxhash64("i"))
         .orderBy("h", "i")
         .limit(texts)
