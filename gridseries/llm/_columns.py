@@ -1,5 +1,6 @@
 """Helpers that put Python results beside the columns of a DataFrame."""
 
+import gc
 import pathlib
 import shutil
 import tempfile
@@ -40,11 +41,30 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def with_results(frame: DataFrame, column: str, function: Callable, schema: str) -> DataFrame:
+_TURN: list = [None, None]
+
+
+def turn(name: str, forget: Callable[[], None]) -> None:
+    """Say in a worker that an operator works there, and how to empty its memory.
+
+    Workers outlive tasks and serve one operator after another; what the one
+    before has remembered is given up first, so that memories do not add up.
+    """
+    if _TURN[0] != name:
+        if _TURN[1] is not None:
+            _TURN[1]()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _TURN[:] = [name, forget]
+
+
+def with_results(
+    frame: DataFrame, column: str, function: Callable, schema: str, most: int = SLICE_BYTES
+) -> DataFrame:
     """Add the columns of ``schema``, which ``function`` makes from ``column``.
 
     ``function`` maps an Arrow array to an Arrow struct array; it gets the
-    column in slices of bounded size. Columns of the frame that have the name of
+    column in slices of about ``most`` bytes. Columns of the frame that have the name of
     a new one are replaced.
     """
     ship(frame.sparkSession)
@@ -57,7 +77,7 @@ def with_results(frame: DataFrame, column: str, function: Callable, schema: str)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, count in _bounds(batch.column(at)):
+            for start, count in _bounds(batch.column(at), most):
                 part = batch.slice(start, count)
                 results = function(part.column(at)).flatten()
                 yield pa.RecordBatch.from_arrays(

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import fresh, with_results
+from gridseries.llm._columns import fresh, turn, with_results
 
 # Words and pieces that a worker remembers; of words, as many older ones too.
 REMEMBERED = 200_000
@@ -184,6 +184,7 @@ _ENCODERS: dict[tuple[bytes, bool], WordEncoder] = {}
 
 def encoder_of(content: bytes, special: bool = True) -> WordEncoder:
     """One encoder a worker process for each vocabulary."""
+    turn("bpe", _ENCODERS.clear)
     key = hashlib.sha256(content).digest(), special
     if key not in _ENCODERS:
         _ENCODERS.clear()

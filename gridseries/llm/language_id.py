@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import with_results
+from gridseries.llm._columns import turn, with_results
 
 UNKNOWN = "und"
 # Bounds of the training sample: passages of a language, characters of a passage, languages.
-PASSAGES = 500
+PASSAGES = 300
 PASSAGE_CHARS = 1500
 LANGUAGES = 200
 # Times a word must occur in the training passages to be in the lexicon.
@@ -29,7 +29,9 @@ LEXICON = 5
 TABLE = 1 << 18
 SEQUENCE = 64
 BLOCK = 32
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+# The words of a slice take some thirty times its size.
+SLICE_BYTES = 2 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,8 +112,8 @@ def fit(passages: list[tuple[str, str]], *, rounds: int = 60, seed: int = 9) ->
     last = np.cumsum(counts) - 1
     keep = np.ones(len(features), bool)
     keep[last[~often]] = False
-    owner = np.repeat(np.arange(len(names)), counts)[keep]
-    features = features[keep]
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), counts)[keep]
+    features = features[keep].astype(np.int32)
     starts = np.flatnonzero(np.diff(owner, prepend=-1))
     weights = np.zeros((TABLE, k))
     transitions = np.zeros((k, k))
@@ -121,7 +123,9 @@ def fit(passages: list[tuple[str, str]], *, rounds: int = 60, seed: int = 9) ->
     np.add.at(pairs, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), 1)
     n_words = words.size
     for step in range(1, rounds + 1):
-        scores = np.add.reduceat(weights[features], starts, axis=0)
+        scores = np.stack(
+            [np.add.reduceat(weights[:, c][features], starts) for c in range(k)], 1
+        )
         e = scores[words]
         e = np.exp(e - e.max(2, keepdims=True))
         t = np.exp(transitions)
@@ -145,8 +149,9 @@ def fit(passages: list[tuple[str, str]], *, rounds: int = 60, seed: int = 9) ->
         by_word = np.stack(
             [np.bincount(words.ravel(), slope[:, c], len(names)) for c in range(k)], 1
         )
-        rows = by_word[owner]
-        gradient = np.stack([np.bincount(features, rows[:, c], TABLE) for c in range(k)], 1) / n_words
+        gradient = np.stack(
+            [np.bincount(features, by_word[:, c][owner], TABLE) for c in range(k)], 1
+        ) / n_words
         gradient += 1e-6 * weights
         moves = (expected - pairs) / n_words + 1e-5 * transitions
         for value, grad, m, v in ((weights, gradient, *moments[:2]), (transitions, moves, *moments[2:])):
@@ -272,6 +277,7 @@ _LABELLERS: dict[str, _Labeller] = {}
 
 
 def _labeller(sent) -> _Labeller:
+    turn("language", _LABELLERS.clear)
     if sent.id not in _LABELLERS:
         _LABELLERS.clear()
         _LABELLERS[sent.id] = _Labeller(sent.value)
@@ -375,7 +381,7 @@ def identify(documents: DataFrame, model: Model, *, text: str = "text", spans: b
     schema = "lang_pred string, score double"
     if spans:
         schema += ", spans array<struct<lang: string, first: int, stop: int>>"
-    return with_results(documents, text, work, schema)
+    return with_results(documents, text, work, schema, SLICE_BYTES)
 
 
 def _struct(columns, spans) -> pa.Array:

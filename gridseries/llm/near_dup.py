@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import fresh, ship, with_results
+from gridseries.llm._columns import ship, turn, with_results
 from gridseries.llm._components import connected
 from gridseries.session import scratch_path
 
@@ -33,7 +33,7 @@ MATCHES = 34
 # Shingles that a chunk of a cluster holds, beyond its first document, and documents.
 CHUNK_SHINGLES = 1 << 19
 CHUNK_DOCUMENTS = 512
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _RNG = np.random.default_rng(3)
 _ODD = _RNG.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
@@ -92,6 +92,7 @@ def _signature(found: np.ndarray, coordinates: int) -> np.ndarray:
 
 def _sketch(size: int, coordinates: int):
     def work(texts: pa.Array) -> pa.Array:
+        turn("near_dup", _WORDS.clear)
         counts, first, second, keys = [], [], [], []
         for t in texts:
             found = shingles(t.as_buffer().to_pybytes() if t.is_valid else None, size)
@@ -121,6 +122,7 @@ def _sketch(size: int, coordinates: int):
 
 def _sets(size: int):
     def work(texts: pa.Array) -> pa.Array:
+        turn("near_dup", _WORDS.clear)
         found = [
             shingles(t.as_buffer().to_pybytes() if t.is_valid else None, size).tobytes()
             for t in texts
@@ -205,6 +207,7 @@ def _link_groups(percent: int, matches: int):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def work(batches):
+        turn("near_dup", _WORDS.clear)
         now, rows = None, []
         for batch in batches:
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}

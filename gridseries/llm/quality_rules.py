@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import with_results
+from gridseries.llm._columns import turn, with_results
 
 # Labelled rows that rules are learned from at most.
 LABELLED = 20_000
@@ -91,6 +91,7 @@ def with_counts(documents: DataFrame, *, text: str = "text") -> DataFrame:
     independent; columns named like a count are replaced."""
 
     def work(texts: pa.Array) -> pa.Array:
+        turn("quality", lambda: None)
         rows = [text_counts(t.as_buffer().to_pybytes()) if t.is_valid else (0,) * 10 for t in texts]
         columns = np.array(rows, np.int64).reshape(-1, 10).T
         return pa.StructArray.from_arrays(

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import fresh, ship
+from gridseries.llm._columns import fresh, ship, turn
 
 GRAM = 24
 # Bytes of text that a task works on at once; places in them need 24 bits.
@@ -42,8 +42,13 @@ _BASE = _RNG.integers(0, 2**64, 2, dtype=np.uint64) | np.uint64(1)
 _POWERS: list = [None, None]
 
 
+def _forget() -> None:
+    _POWERS[:] = [None, None]
+
+
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse, modulo 2**64."""
+    turn("suffix", _forget)
     if _POWERS[which] is None or len(_POWERS[which][0]) < n:
         size = max(n, SLICE + (1 << 16))
         out = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import with_results
+from gridseries.llm._columns import turn, with_results
 
 # Bounds of the training sample: labelled texts, and bytes of a text in it.
 TEXTS = 4000
@@ -169,6 +169,7 @@ def score(
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(texts: pa.Array) -> pa.Array:
+        turn("toxicity", lambda: None)
         weights, bias = _Weights(sent.value.weights), sent.value.bias
         plain = float(_softplus(bias))
         scores, where = [], []
