@@ -221,7 +221,9 @@ def top_products(
     )
     # The local threshold of a bucket for the block's easiest query.
     of_block = asked.groupBy("dims", "q_block").agg(
-        F.min((F.col("floor") - 0.5) / F.col("length")).alias("least")
+        F.min(
+            F.coalesce(F.try_divide(F.col("floor") - 0.5, "length"), F.lit(float("-inf")))
+        ).alias("least")
     )
     last = first.select("dims", F.col("bucket").alias("first"))
     pairs = (

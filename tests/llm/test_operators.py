@@ -251,6 +251,9 @@ def test_search_edges(spark):
     out = topk.top_products(frame.union(frame), frame.filter("vec_id % 50 = 0"))
     assert [tuple(r) for r in out.orderBy("rank").collect()] == [(0, 1, 1, 65536), (0, 2, 2, 65536)]
     assert topk.top_products(frame.limit(0), frame.limit(0)).count() == 0
+    flat = spark.createDataFrame([(i, [0.0, 0.001]) for i in range(0, 140, 10)], "vec_id int, embedding array<double>")
+    out = topk.top_products(flat, flat.filter("vec_id % 50 = 0"))
+    assert {(r["rank"], r["score"]) for r in out.collect()} == {(r, 0) for r in range(1, 6)}
     large = spark.createDataFrame([(0, [1e15]), (50, [1e15])], "vec_id int, embedding array<double>")
     assert {r["score"] for r in topk.top_products(large, large).collect()} == {2**63 - 1}
 
