@@ -21,6 +21,8 @@ HEADLINE = [
     "region_box",
     "regions_join",
     "regions_mean",
+    "regions_supplier",
+    "coverage_quality",
     "weighted_mean",
     "fill_gap_3",
     "fill_multi",
