@@ -24,7 +24,9 @@ def connected(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         return spark.read.parquet(path)
 
     def least(links: DataFrame) -> DataFrame:
-        return links.groupBy("u").agg(F.min("v").alias("m"))
+        # Written, so that the join with it reads nothing but two exchanges, of
+        # which Spark can split the rows of one node.
+        return written(links.groupBy("u").agg(F.min("v").alias("m")))
 
     # Edges run from a node u to a smaller or equal node v.
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -34,13 +36,9 @@ def connected(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         # Larger neighbours of each node move to the least node near it.
         both = down.union(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least(both).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(low, "u")
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter("u <> v")
-            .distinct()
-        )
+        large = both.filter("v > u").join(low, "u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.filter("u <> v").distinct())
         # Smaller neighbours of each node, and the node, move to the least of them.
         low = least(large)
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
