@@ -666,7 +666,7 @@ def anomaly_csv(spark, sf_dir):
     grid_path, table_path = scratch_path(spark, "grid"), scratch_path(spark, "anomaly")
     cells_path = scratch_path(spark, "cells")
     sinks.write_grid(views.supplier_grid(spark, sf_dir), grid_path)
-    sinks.write_cells(spark.read.parquet(grid_path), cells_path)
+    sinks.write_cells(views.supplier_cells(spark, sf_dir), cells_path)
     plans.preprocess_job(
         spark,
         grid_path,
