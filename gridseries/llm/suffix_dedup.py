@@ -529,8 +529,9 @@ def remove_repeats(
 
     The texts cross the network once, by document. Records of runs follow, then
     the bytes of those runs only that share an anchor without being equal. A
-    task holds its share of the records, which ``partitions`` divides: by
-    default twice the number of partitions of the input.
+    task holds its share of the records, which ``partitions`` divides; it had
+    better be ``spark.sql.shuffle.partitions``, the default, as the texts are
+    then dealt out once for all steps.
     """
     if not 48 <= width <= 150:
         raise ValueError("width must lie between 48 and 150")
@@ -540,7 +541,7 @@ def remove_repeats(
     places = {c.lower(): f"c{i}" for i, c in enumerate(original)}
     documents = documents.toDF(*places.values())
     doc_id, text = places[doc_id.lower()], places[text.lower()]
-    n = partitions or max(8, 2 * documents.rdd.getNumPartitions())
+    n = partitions or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d, x, codes, late = (fresh(documents, c) for c in ("_d", "_x", "_codes", "_late"))
     lowest = F.lit(-(2**63)).cast("bigint")
     keyed = documents.withColumn(d, F.coalesce(F.col(doc_id).cast("bigint"), lowest))
