@@ -1,5 +1,6 @@
 """Helpers that put Python results beside the columns of a DataFrame."""
 
+import ctypes
 import gc
 import pathlib
 import shutil
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Texts of one Arrow batch are worked on in slices of about this many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def fresh(frame: DataFrame, name: str) -> str:
@@ -58,6 +59,25 @@ def turn(name: str, forget: Callable[[], None]) -> None:
         _TURN[:] = [name, forget]
 
 
+def released(work: Callable) -> Callable:
+    """``work`` on a task's batches, which gives free memory back at the end.
+
+    Workers wait for their next task; what they do not use would otherwise
+    count against the executor all the while.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def with_results(
     frame: DataFrame, column: str, function: Callable, schema: str, most: int = SLICE_BYTES
 ) -> DataFrame:
@@ -86,7 +106,7 @@ def with_results(
 
     source = frame.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`")).toDF(*plain)
     passed = [T.StructField(n, f.dataType) for n, f in zip(plain, kept)]
-    out = source.mapInArrow(work, T.StructType([*passed, *new.fields]))
+    out = source.mapInArrow(released(work), T.StructType([*passed, *new.fields]))
     return out.toDF(*[f.name for f in kept], *new.names)
 
 

@@ -31,7 +31,7 @@ SEQUENCE = 64
 BLOCK = 32
 REMEMBERED = 150_000
 # The words of a slice take some thirty times its size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import ship, turn, with_results
+from gridseries.llm._columns import released, ship, turn, with_results
 from gridseries.llm._components import connected
 from gridseries.session import scratch_path
 
@@ -360,7 +360,7 @@ def near_duplicates(
         .repartition("cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j", "rep")
     )
-    links = dealt.mapInArrow(_link_groups(percent, matches), "a bigint, b bigint")
+    links = dealt.mapInArrow(released(_link_groups(percent, matches)), "a bigint, b bigint")
     # One id may stand for several texts.
     own = full.join(classes, same).select("doc_id", "rep")
     shared = own.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

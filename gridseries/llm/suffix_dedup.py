@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import fresh, ship, turn
+from gridseries.llm._columns import fresh, released, ship, turn
 
 GRAM = 24
 # Bytes of text that a task works on at once; places in them need 24 bits.
@@ -563,13 +563,13 @@ def remove_repeats(
 
     # All three readers of the texts take the same columns, so that they share
     # one exchange.
-    runs = dealt_out(keyed.mapInArrow(_first_digits(width, n, [d, x, text]), ROWS))
-    runs = runs.mapInArrow(_second_digit, ROWS)
+    runs = dealt_out(keyed.mapInArrow(released(_first_digits(width, n, [d, x, text])), ROWS))
+    runs = runs.mapInArrow(released(_second_digit), ROWS)
     # Read for the bytes of the runs to compare, and for what is removed already.
     settled = by_document(runs, codes).hint("shuffle_hash")
     asked = keyed.join(settled, [d, x])
-    last = dealt_out(asked.mapInArrow(_bytes_of_runs(width, n, [d, x, codes, text]), ROWS))
-    last = by_document(last.mapInArrow(_last_digits(width), ROWS), late).hint("shuffle_hash")
+    last = dealt_out(asked.mapInArrow(released(_bytes_of_runs(width, n, [d, x, codes, text])), ROWS))
+    last = by_document(last.mapInArrow(released(_last_digits(width)), ROWS), late).hint("shuffle_hash")
     found = keyed.join(settled, [d, x], "left").join(last, [d, x], "left")
     none = F.array().cast("array<bigint>")
     found = found.withColumn(

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import ship, slices, with_results
+from gridseries.llm._columns import released, ship, slices, with_results
 from gridseries.llm.bpe import encoder_of, read_vocabulary
 from gridseries.session import scratch_path
 
@@ -84,7 +84,7 @@ def flat_blocks(
         F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").cast("string").alias("t")
     )
     return rows.mapInArrow(
-        flatten, "file bigint, block bigint, content binary, doc_ids array<bigint>"
+        released(flatten), "file bigint, block bigint, content binary, doc_ids array<bigint>"
     )
 
 

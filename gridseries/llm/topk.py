@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridseries.llm._columns import ship
+from gridseries.llm._columns import released, ship
 from gridseries.session import scratch_path
 
 # Rows of a block of vectors and of a block of queries.
@@ -201,7 +201,7 @@ def top_products(
         return (
             met.repartition(*keys)
             .sortWithinPartitions(*keys)
-            .mapInArrow(_pairs(k), "query_id bigint, vec_id bigint, score bigint")
+            .mapInArrow(released(_pairs(k)), "query_id bigint, vec_id bigint, score bigint")
         )
 
     start = candidates(
