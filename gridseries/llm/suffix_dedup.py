@@ -13,10 +13,10 @@ exactly the repeated windows.
 * Remaining digits: runs with a common anchor but different bytes. The bytes of
   their windows are compared 8 at a time, most significant first.
 
-An anchor met very often within one task with different runs (the border of a
-passage that many documents share) does not gather in one place: its windows
-travel one by one, keyed by the whole window, after equal ones within the task
-have been merged.
+An anchor met very often with different runs (the border of a passage that many
+documents share), within one slice or over all of them, does not gather in one
+place: its windows travel one by one, keyed by the whole window, after equal ones
+within the slice have been merged.
 """
 
 from collections.abc import Iterator
@@ -34,6 +34,8 @@ SLICE = 2 << 20
 PLACE_BITS = 24
 # Different runs of one anchor within a slice from which it counts as frequent.
 FREQUENT = 32
+# Different runs of one anchor over all slices up to which one task compares them.
+COMPARED = 4096
 REMOVED, COMPARE, SPREAD = 1, 2, 3
 
 _RNG = np.random.default_rng(20)
@@ -268,7 +270,9 @@ def _gathered(batches, other):
 
 
 def _second_digit(batches):
-    """Runs of an anchor meet: later equal ones go, different ones are compared."""
+    """Runs of an anchor meet: later equal ones go, different ones are compared, or
+    spread if they are too many for one task. A slice sends fewer than ``FREQUENT``
+    records of an anchor here, so these stay below one part in 2,000 of the text."""
     passed: list = []
     held = _gathered(batches, passed)
     yield from passed
@@ -287,8 +291,9 @@ def _second_digit(batches):
     g = rec["g"][order]
     head = np.diff(g, prepend=~g[:1]) != 0
     group = np.cumsum(head) - 1
-    different = np.bincount(group, weights=new) > 1
-    frequent = np.bincount(group, weights=mark[order]) > 0
+    runs = np.bincount(group, weights=new)
+    different = runs > 1
+    frequent = (np.bincount(group, weights=mark[order]) > 0) | (runs > COMPARED)
     rest = ~is_late[order] & ~mark[order]
     for chosen, kind in ((frequent, SPREAD), (different & ~frequent, COMPARE)):
         x = rec[order[rest & chosen[group]]]
