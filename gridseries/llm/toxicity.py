@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from gridseries.llm._columns import turn, with_results
 
-# Bounds of the training sample: labelled texts, and bytes of a text in it.
+# Bounds of the training sample: labelled texts, bytes of a text in it, and
+# characters of the passage that stands for a longer one.
 TEXTS = 4000
 TEXT_BYTES = 32_000
+PASSAGE_CHARS = TEXT_BYTES // 4
 # Texts of the sample that must have a word for it to get a weight.
 LEAST_TEXTS = 3
 REMEMBERED = 200_000
@@ -114,7 +116,7 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 150, pull: float =
     for step in range(1, rounds + 1):
         z = value[-1] + np.bincount(rows, value[columns], s)
         total = np.bincount(owner, _softplus(z), len(y))
-        slope = np.where(y, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0) / len(y)
+        slope = np.where(y, -1 / np.expm1(np.clip(total, 1e-6, 700)), 1.0) / len(y)
         by_sentence = slope[owner] / (1 + np.exp(-z))
         grad = np.append(np.bincount(columns, by_sentence[rows], len(names)), by_sentence.sum())
         grad[:-1] += pull * (value[:-1] - start)
@@ -133,9 +135,11 @@ def learn(
     label: str = "toxic",
     texts: int = TEXTS,
 ) -> Model:
-    """Fit a model on at most ``texts`` labelled rows (and of those the texts
-    of up to 32,000 bytes), drawn by a hash of ``doc_id``. Rows without text or
-    label take no part; of several labels of one id the highest counts."""
+    """Fit a model on at most ``texts`` labelled rows, drawn by a hash of
+    ``doc_id``. A text of more than 32,000 bytes is learned from one passage of
+    8,000 characters at a place that the hash tells, under the text's label. Rows
+    without text or label take no part; of several labels of one id the highest
+    counts."""
     drawn = (
         labels.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y"))
         .filter("i IS NOT NULL AND y IN (0, 1)")
@@ -147,9 +151,12 @@ def learn(
     )
     rows = documents.select(
         F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")
-    ).filter(F.octet_length("t") <= TEXT_BYTES)
+    ).filter("t IS NOT NULL")
     # The drawn rows are bounded by the parameter, so they may be broadcast.
     found = rows.join(F.broadcast(drawn.select("i", "y", "h")), "i")
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("t") - PASSAGE_CHARS + 1)) + 1
+    passage = F.substring("t", start.cast("int"), F.lit(PASSAGE_CHARS))
+    found = found.withColumn("t", F.when(F.octet_length("t") > TEXT_BYTES, passage).otherwise(F.col("t")))
     sample = found.orderBy("h", "i", "t").select("t", "y").limit(texts).collect()
     return fit([r["t"] for r in sample], [r["y"] for r in sample])
 
@@ -159,7 +166,8 @@ def score(
 ) -> DataFrame:
     """Add ``score`` and ``offending``.
 
-    ``score`` is the probability that some sentence of the whole text is toxic;
+    ``score`` is the probability that some sentence of the whole text is toxic,
+    where those without any weighted word count as one, however many they are;
     ``offending`` lists the sentences whose own probability is at least
     ``offending`` (``start``, ``stop`` in characters, ``score``). A NULL, empty
     or wordless text has no sentence that could be toxic: score 0. Rows are
@@ -174,21 +182,21 @@ def score(
         plain = float(_softplus(bias))
         scores, where = [], []
         for t in texts.to_pylist():
-            total, found = 0.0, []
+            total, found, blank = 0.0, [], 0.0
             for m in _SENTENCE.finditer(t or ""):
                 words = set(_WORD.findall(m[0].lower()))
                 if not words:
                     continue
                 own = math.fsum(map(weights.__getitem__, words))
                 if not own:
-                    total += plain
+                    blank = plain
                     continue
                 z = bias + own
                 total += max(z, 0.0) + math.log1p(math.exp(-abs(z)))
                 p = 1 / (1 + math.exp(-z)) if z > -500 else 0.0
                 if p >= offending:
                     found.append({"start": m.start(), "stop": m.end(), "score": p})
-            scores.append(-math.expm1(-total))
+            scores.append(-math.expm1(-total - blank))
             where.append(found)
         kind = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())])
         return pa.StructArray.from_arrays(

@@ -6,9 +6,36 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from gridseries.llm import suffix_dedup
+from gridseries.llm import suffix_dedup, toxicity
 from tests.llm import helpers as H
 
+# --- 8 -----------------------------------------------------------------------
+
+
+def test_many_plain_sentences_do_not_make_a_text_toxic(spark):
+    clean = "the cat sat on the mat. " * 20_000
+    frame = spark.createDataFrame([(0, clean), (1, clean + "you vile.")], "doc_id bigint, text string")
+    model = toxicity.Model({"vile": 12.0}, -9.0)
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(frame, model).collect()}
+    assert 0 < out[0] < 0.001 and out[1] > 0.9
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+
+    def text(toxic):
+        more = ["vileness"] if toxic else []
+        return " ".join(" ".join([*rng.choices(words, k=8), *more]) + "." for _ in range(800))
+
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(60)]
+    assert min(len(t) for _, t, _ in rows) > toxicity.TEXT_BYTES
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.learn(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert "vileness" in model.weights
+    for r in toxicity.score(frame, model).collect():
+        assert (r["score"] >= 0.3) == bool(r["toxic"])
+
 
 # --- 10 ----------------------------------------------------------------------
 
