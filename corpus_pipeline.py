@@ -16,12 +16,12 @@ from gridseries.session import scratch_path
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without text or letters go.
 
-    Learned from the documents that name their language. ``lang`` keeps what is
-    there and takes the prediction where it is NULL.
+    Learned from the documents that name their language. ``lang`` becomes the
+    prediction on every row, also where a language was named.
     """
     model = language_id.learn(docs)
     found = language_id.identify(docs, model).filter(F.col("lang_pred") != language_id.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

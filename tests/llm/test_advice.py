@@ -6,9 +6,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from gridseries.llm import suffix_dedup, toxicity
+import corpus_pipeline
+from gridseries.llm import language_id, suffix_dedup, toxicity
 from tests.llm import helpers as H
 
+SMALL = "/root/testdata/sf0.001"
+
 # --- 8 -----------------------------------------------------------------------
 
 
@@ -37,6 +40,19 @@ def test_long_labelled_texts_are_learned_from(spark):
         assert (r["score"] >= 0.3) == bool(r["toxic"])
 
 
+# --- pipeline ----------------------------------------------------------------
+
+
+def test_the_prediction_sets_the_language_of_every_row(spark):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    named = corpus_pipeline.F.when(documents["doc_id"].isin(1, 3), "fr").otherwise(documents["lang"])
+    named = documents.withColumn("lang", named)
+    found = language_id.identify(named, language_id.learn(named))
+    out = corpus_pipeline.identify_languages(spark, named, SMALL).collect()
+    assert {r["doc_id"]: r["lang"] for r in out} == {r["doc_id"]: r["lang_pred"] for r in found.collect()}
+    assert {r["lang"] for r in out if r["doc_id"] in (1, 3)} == {"en"}
+
+
 # --- 10 ----------------------------------------------------------------------
 
 
