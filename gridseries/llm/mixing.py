@@ -3,7 +3,8 @@
 A source of target weight w and size s repeats at the mean rate w * total / s.
 Each document draws its number of copies from the Poisson distribution of that
 mean, by inverting its cumulative probabilities at a number that a seed and the
-document's id hash to. Copies are then put in an order that another hash tells.
+document's id hash to; a document without id goes by its source and content.
+Copies are then put in an order that another hash tells.
 Only DataFrame functions are used.
 """
 
@@ -105,8 +106,10 @@ def replicate(
 
     See :func:`target_rates` for the targets. Rows of one ``doc_id`` draw the
     same number, so repeated rows have equally many copies each if their source
-    is the same; NULL ids draw one number together. An empty table gives an
-    empty one. Texts play no part. Columns named like a result are replaced.
+    is the same. Rows with a NULL id draw by their whole content, so only those
+    that are equal in every column draw one number together; the only such row
+    of a source draws by the source. An empty table gives an empty one. Where
+    there is an id, texts play no part. Columns named like a result are replaced.
 
     One row per source is joined to the documents, where Spark picks the join by
     its size. Documents without copies are dropped before anything moves; the
@@ -114,27 +117,42 @@ def replicate(
     of any size is spread evenly, and each task sorts its share.
     """
     names = {"copy", "copies", "shuffle_key"}
-    s, cdf, rate = (fresh(documents, c) for c in ("_source", "_cdf", "_rate"))
+    s, cdf, rate, several, key = (
+        fresh(documents, c) for c in ("_source", "_cdf", "_rate", "_several", "_key")
+    )
     rates = target_rates(documents, targets, source=source, power=power).select(
         F.col("source").alias(s), F.col("rate").alias(rate)
     )
+    i, of = F.col(f"`{doc_id}`"), F.col(f"`{source}`").cast("string")
+    without = (
+        documents.filter(i.isNull())
+        .groupBy(of.alias("_of"))
+        .agg((F.count(F.lit(1)) > 1).alias(several))
+    )
+    rates = rates.join(without, rates[s].eqNullSafe(without["_of"]), "left").drop("_of")
     # Written, so that Spark sees the table's true size before it plans the join.
     path = scratch_path(documents.sparkSession, "rates")
     rates.withColumn(cdf, cumulative(F.col(rate))).drop(rate).write.parquet(path)
     table = documents.sparkSession.read.parquet(path)
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
+    content = F.concat_ws("\x1f", *[F.col(f"`{c}`").cast("string") for c in documents.columns])
+    content = F.when(content != "", F.md5(content))
+    own = F.coalesce(F.when(F.col(several), content).otherwise(of), F.lit(""))
     kept = [c for c in documents.columns if c.lower() not in names]
-    drawn = documents.join(
-        table, documents[f"`{source}`"].cast("string").eqNullSafe(table[s])
-    ).withColumn("copies", F.size(F.filter(cdf, lambda c: c <= uniform(key, seed))))
+    drawn = (
+        documents.join(table, documents[f"`{source}`"].cast("string").eqNullSafe(table[s]))
+        .withColumn(key, F.coalesce(i.cast("string"), own))
+        .withColumn("copies", F.size(F.filter(cdf, lambda c: c <= uniform(F.col(key), seed))))
+    )
     copies = drawn.filter("copies > 0").select(
         *[F.col(f"`{c}`") for c in kept],
+        key,
         "copies",
         F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"),
     )
-    order = uniform(F.concat_ws(":", key, F.col("copy").cast("string")), f"{seed}-order")
+    order = uniform(F.concat_ws(":", F.col(key), F.col("copy").cast("string")), f"{seed}-order")
     return (
         copies.withColumn("shuffle_key", order)
+        .drop(key)
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key", F.col(f"`{doc_id}`"), "copy")
         .select(*[F.col(f"`{c}`") for c in kept], "copy", "copies", "shuffle_key")

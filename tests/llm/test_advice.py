@@ -7,11 +7,34 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from gridseries.llm import language_id, suffix_dedup, toxicity
+from gridseries.llm import language_id, mixing, suffix_dedup, toxicity
 from tests.llm import helpers as H
 
 SMALL = "/root/testdata/sf0.001"
 
+# --- 6 -----------------------------------------------------------------------
+
+
+def test_rows_without_id_draw_each_by_its_content(spark):
+    """Sources without ids keep their share; their copies lie in many tasks."""
+    rows = [(None, f"text {i}", "with" if i % 2 else None) for i in range(4000)]
+    rows += [(i, f"text {i}", "ids") for i in range(4000)]
+    rows += [(None, "alone", f"rare{i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = [("with", 1000.0), (None, 1000.0), ("ids", 2000.0), *((f"rare{i}", 1.0) for i in range(200))]
+    targets = spark.createDataFrame(targets, "source string, weight double")
+    rates = {r["source"]: r["rate"] for r in mixing.target_rates(frame, targets).collect()}
+    out = mixing.replicate(frame, targets).collect()
+    found = Counter(r["source"] for r in out)
+    for s, n in (("with", 2000), (None, 2000), ("ids", 4000)):
+        assert abs(found[s] - n * rates[s]) < 5 * (n * rates[s]) ** 0.5
+    rare = sum(n for s, n in found.items() if (s or "").startswith("rare"))
+    assert abs(rare - 200 * rates["rare0"]) < 5 * (200 * rates["rare0"]) ** 0.5
+    keys = [r["shuffle_key"] for r in out]
+    assert len(set(keys)) == len(keys)
+    assert [c for c in mixing.replicate(frame).columns if c.startswith("_")] == []
+
+
 # --- 8 -----------------------------------------------------------------------
 
 
