@@ -112,9 +112,51 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_remo
 FROM texts LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS p
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang
+), lengths AS (
+  SELECT lang, w, unnest(range(1, least(5, len(w)) + 1)) AS words FROM worded WHERE len(w) > 0
+), starts AS (
+  SELECT lang, w, words, unnest(range(1, len(w) - words + 2)) AS i FROM lengths
+), found AS (
+  SELECT lang, words, array_to_string(w[i:i + words - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM starts GROUP BY 1, 2, 3 HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, words)) AS k
+  FROM found WHERE words > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.k, c.a, x.f AS l, y.f AS r, n, 1000 * c.a * n // (x.f * y.f) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+    JOIN found x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+    JOIN found y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, f, string_split(phrase, ' ') AS w, words, unnest(range(1, words + 1)) AS i FROM found WHERE words > 2
+), parts AS (
+  SELECT lang, f, array_to_string(w[i:j], ' ') AS phrase
+  FROM (SELECT *, unnest(range(i + 1, words + 1)) AS j FROM inside) WHERE j - i + 1 < words
+), left_over AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM parts p WHERE p.lang = b.lang AND p.phrase = b.phrase AND 100 * p.f >= 100 * b.a
+  )
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE_SQL = {
     "op3_near_dup": _NEAR_DUP,
     "op5_topk": _TOP_K,
     "op6_mixing": _MIXING,
     "op10_suffix_dedup": _SUFFIX_DEDUP,
+    "op13_collocations": _COLLOCATIONS,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridseries.llm import (
     bpe,
+    collocations,
     language_id,
     mixing,
     near_dup,
@@ -141,6 +142,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of the documents whose words belong together, by language."""
+    documents = _table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.collocations(documents, longest=5, least=100, top=2000)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
@@ -152,4 +159,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_collocations": op13_collocations,
 }
