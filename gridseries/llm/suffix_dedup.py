@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridseries.llm._columns import fresh, released, ship, turn
+from gridseries.llm._keys import keyed
+from gridseries.session import stored
 
 GRAM = 24
 # Bytes of text that a task works on at once; places in them need 24 bits.
@@ -143,8 +145,8 @@ def _cut(rows, data, ends, width):
         yield rows, part, np.array([len(part)]), at
 
 
-_RUN = np.dtype([("g", "<u8"), ("r", "<u8"), ("d", "<i8"), ("x", "<u4"), ("a", "<u4"), ("n", "u1")])
-_WINDOW = np.dtype([("g", "<u8"), ("r", "<u8"), ("d", "<i8"), ("x", "<u4"), ("a", "<u4")])
+_RUN = np.dtype([("g", "<u8"), ("r", "<u8"), ("d", "<i8"), ("x", "<i8"), ("a", "<u4"), ("n", "u1")])
+_WINDOW = np.dtype([("g", "<u8"), ("r", "<u8"), ("d", "<i8"), ("x", "<i8"), ("a", "<u4")])
 
 
 def _earliest(order_keys, same_keys):
@@ -361,7 +363,7 @@ def _packed_bytes(data, at, n, d, x, a, width, buckets):
     yield _rows(bucket[order][cuts], None, None, None, blocks)
 
 
-_HEAD = np.dtype([("g", "<u8"), ("d", "<i8"), ("x", "<u4"), ("a", "<u4"), ("n", "u1"), ("p", "u1")])
+_HEAD = np.dtype([("g", "<u8"), ("d", "<i8"), ("x", "<i8"), ("a", "<u4"), ("n", "u1"), ("p", "u1")])
 
 
 def _spread(data, at, n, d, x, a, width, buckets):
@@ -536,7 +538,8 @@ def remove_repeats(
     the bytes of those runs only that share an anchor without being equal. A
     task holds its share of the records, which ``partitions`` divides; it had
     better be ``spark.sql.shuffle.partitions``, the default, as the texts are
-    then dealt out once for all steps.
+    then dealt out once for all steps. Rows of one id and one text go through the
+    steps once, and their result is joined back to each of them.
     """
     if not 48 <= width <= 150:
         raise ValueError("width must lie between 48 and 150")
@@ -547,12 +550,26 @@ def remove_repeats(
     documents = documents.toDF(*places.values())
     doc_id, text = places[doc_id.lower()], places[text.lower()]
     n = partitions or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d, x, codes, late = (fresh(documents, c) for c in ("_d", "_x", "_codes", "_late"))
-    lowest = F.lit(-(2**63)).cast("bigint")
-    keyed = documents.withColumn(d, F.coalesce(F.col(doc_id).cast("bigint"), lowest))
+    d, x = fresh(documents, "_d"), fresh(documents, "_x")
+    rows, repeated = keyed(documents, doc_id, text, d, x)
+    if repeated:
+        single = rows.groupBy(d, x).agg(F.any_value(text).alias(text))
+        found = stored(_removed(single, d, x, text, width, n).drop(text), "removed")
+        found = rows.join(found, [d, x])
+    else:
+        found = _removed(rows, d, x, text, width, n)
+    names = {"spans", "kept", "kept_text"}
+    return found.select(
+        *[F.col(c).alias(o) for o, c in zip(original, documents.columns) if o.lower() not in names],
+        *["spans", "kept", "kept_text"],
+    )
+
+
+def _removed(documents: DataFrame, d: str, x: str, text: str, width: int, n: int) -> DataFrame:
+    """Rows that ``d`` and ``x`` tell apart, with ``spans``, ``kept``, ``kept_text``."""
+    codes, late = fresh(documents, "_codes"), fresh(documents, "_late")
     body = F.col(text).cast("binary")
-    keyed = keyed.withColumn(x, F.coalesce(F.crc32(body), F.lit(0).cast("bigint")))
-    keyed = keyed.repartition(n, d, x)
+    dealt_rows = documents.repartition(n, d, x)
 
     def by_document(rows: DataFrame, name: str) -> DataFrame:
         return (
@@ -568,14 +585,14 @@ def remove_repeats(
 
     # All three readers of the texts take the same columns, so that they share
     # one exchange.
-    runs = dealt_out(keyed.mapInArrow(released(_first_digits(width, n, [d, x, text])), ROWS))
+    runs = dealt_out(dealt_rows.mapInArrow(released(_first_digits(width, n, [d, x, text])), ROWS))
     runs = runs.mapInArrow(released(_second_digit), ROWS)
     # Read for the bytes of the runs to compare, and for what is removed already.
     settled = by_document(runs, codes).hint("shuffle_hash")
-    asked = keyed.join(settled, [d, x])
+    asked = dealt_rows.join(settled, [d, x])
     last = dealt_out(asked.mapInArrow(released(_bytes_of_runs(width, n, [d, x, codes, text])), ROWS))
     last = by_document(last.mapInArrow(released(_last_digits(width)), ROWS), late).hint("shuffle_hash")
-    found = keyed.join(settled, [d, x], "left").join(last, [d, x], "left")
+    found = dealt_rows.join(settled, [d, x], "left").join(last, [d, x], "left")
     none = F.array().cast("array<bigint>")
     found = found.withColumn(
         codes, F.when(F.col(codes).isNotNull(), F.concat(codes, F.coalesce(late, none)))
@@ -585,10 +602,9 @@ def remove_repeats(
         _kept(width),
         "struct<spans: array<struct<start: bigint, stop: bigint>>, kept: binary, kept_text: string>",
     )(F.when(F.col(codes).isNotNull(), body), F.col(codes))
-    names = {"spans", "kept", "kept_text"}
     none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
     return found.withColumn(out, result).select(
-        *[F.col(c).alias(o) for o, c in zip(original, documents.columns) if o.lower() not in names],
+        *documents.columns,
         F.coalesce(F.col(out).spans, none).alias("spans"),
         F.coalesce(F.col(out).kept, body, F.lit(b"")).alias("kept"),
         F.coalesce(F.col(out).kept_text, F.col(text)).alias("kept_text"),
