@@ -112,6 +112,30 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_remo
 FROM texts LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_REPEATED_WORDS = """
+WITH worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS t FROM worded WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, t, md5(array_to_string(w[t:t + 49], ' ')) AS h FROM starts
+), late AS (
+  SELECT doc_id, t FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE doc_id > first
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(t, t + 50)) AS i FROM late
+), counted AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded WHERE doc_id IN (SELECT doc_id FROM counted)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k
+  FROM placed p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.i = p.i) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w.w, ' ') ELSE coalesce(k, '') END) AS kept_sha256
+FROM worded w LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 _COLLOCATIONS = f"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS p
@@ -158,5 +182,6 @@ ORACLE_SQL = {
     "op5_topk": _TOP_K,
     "op6_mixing": _MIXING,
     "op10_suffix_dedup": _SUFFIX_DEDUP,
+    "op12_recompression": _REPEATED_WORDS,
     "op13_collocations": _COLLOCATIONS,
 }

@@ -12,6 +12,7 @@ from gridseries.llm import (
     mixing,
     near_dup,
     quality_rules,
+    recompression,
     suffix_dedup,
     token_counts,
     topk,
@@ -142,6 +143,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings of 50 words of earlier ones."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = recompression.remove_repeated_words(documents)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.stop - s.start)
+    return found.select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of the documents whose words belong together, by language."""
     documents = _table(spark, sf_dir, "documents").select("text", "lang")
@@ -159,5 +170,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_recompression": op12_recompression,
     "op13_collocations": op13_collocations,
 }
