@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridseries.llm import (
     bpe,
     collocations,
+    hard_negatives,
     language_id,
     mixing,
     near_dup,
@@ -143,6 +144,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hardest rows of other labels for every fiftieth vector and its positives."""
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), positives=5, negatives=3)
+
+
 def op12_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without strings of 50 words of earlier ones."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -170,6 +176,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_recompression": op12_recompression,
     "op13_collocations": op13_collocations,
 }
