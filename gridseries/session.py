@@ -52,3 +52,17 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove the files of scratch tables that nothing will read any more.
+
+    Only files that were written by :func:`scratch_path` names, thus with a unique
+    suffix, are touched; other tables are left alone.
+    """
+    jvm = spark._jvm
+    for frame in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            if re.fullmatch(r".*-[0-9a-f]{32}", folder):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
