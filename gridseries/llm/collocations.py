@@ -7,12 +7,13 @@ piece. One length follows from the one before:
 1. Merge join: an occurrence whose neighbour stands one place further on is an
    occurrence of a phrase of k + 1 words. Both sides are the same sorted run.
 2. Group and count: every *block* of the relation (the occurrences of one task in
-   one language) counts its groups; the counts of all blocks are added up.
+   one language) counts its groups; the counts of all blocks are added up. Most
+   groups are rare, so the counts are first added up by a short hash of the group:
+   a hash with too few occurrences has no frequent group. The others travel as
+   text, one row for each block that has them, so counts are exact and the most
+   frequent phrase takes no more rows than there are blocks.
 3. Semi-join: the blocks learn which of their groups are frequent; the
    occurrences of the others go before the next length.
-
-Groups travel as text, one row for each block that has them, so counts are exact
-and the most frequent phrase takes no more rows than there are blocks.
 """
 
 from collections.abc import Iterator
@@ -24,13 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.llm._columns import released, ship, slices
-from gridseries.session import scratch_path
+from gridseries.llm.near_dup import _mixed
+from gridseries.session import discard, scratch_path
 
 # Words of a block, beyond its last piece; more texts begin a new one.
 BLOCK_WORDS = 1 << 22
+# Bits of the hash by which groups are counted first.
+HASH_BITS = 40
 # Groups in one row of a level's table.
 ROW_GROUPS = 1 << 16
 UNKNOWN = "und"
+_ODD = np.random.default_rng(13).integers(0, 2**64, 2, dtype=np.uint64) | np.uint64(1)
 
 _BOUNDARY = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
 LEVEL = "block bigint, lang string, start int, phrases array<string>, counts array<int>, places binary, groups binary"
@@ -130,30 +135,138 @@ def _word_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         made += 1
 
 
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with their frequent groups in, blocks of the next length out."""
+PAIRS = "block bigint, lang string, places binary, groups binary, phrases array<string>, bucket int, hashes binary, counts binary"
+PAIRS_SCHEMA = pa.schema(
+    [
+        ("block", pa.int64()),
+        ("lang", pa.string()),
+        ("places", pa.binary()),
+        ("groups", pa.binary()),
+        ("phrases", pa.list_(pa.string())),
+        ("bucket", pa.int32()),
+        ("hashes", pa.binary()),
+        ("counts", pa.binary()),
+    ]
+)
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, as one holds a whole block."""
     for batch in batches:
-        for row in batch.to_pylist():
-            places = np.cumsum(_unpacked(row["places"]).astype(np.int64))
-            groups = _unpacked(row["groups"]).astype(np.int64)
-            frequent = sorted(row["frequent"], key=lambda x: x["group"])
+        for i in range(len(batch)):
+            yield {n: c[i] for n, c in zip(batch.schema.names, batch.columns)}
+
+
+def _neighbours(lang: str, places, groups, phrases: list[str]):
+    """Merge join of a block's occurrences with themselves, one place further on:
+    places, pairs of groups, which pair each place has, counts, hashes."""
+    import xxhash
+
+    at = np.flatnonzero(np.diff(places) == 1)
+    pair = groups[at] * len(phrases) + groups[at + 1]
+    met, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
+    own = np.array([xxhash.xxh3_64_intdigest(f"{lang} {t}") for t in phrases], np.uint64)
+    left, right = met // max(len(phrases), 1), met % max(len(phrases), 1)
+    hashes = _mixed(own[left] * _ODD[0] + _mixed(own[right] * _ODD[1])) >> np.uint64(64 - HASH_BITS)
+    return places[at], left, right, inverse, counts, hashes
+
+
+def _paired(buckets: int):
+    """Blocks with their frequent groups in; out come the occurrences of these, and
+    how often each hash of a pair of neighbours is met."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            block, lang = row["block"].as_py(), row["lang"].as_py()
+            places = np.cumsum(_unpacked(row["places"].as_py()).astype(np.int64))
+            groups = _unpacked(row["groups"].as_py()).astype(np.int64)
+            found = row["frequent"].values.flatten()
+            order = np.argsort(found[0].to_numpy())
             kept = np.full(int(groups.max()) + 1, -1, np.int64)
-            kept[[x["group"] for x in frequent]] = np.arange(len(frequent))
+            kept[found[0].to_numpy()[order]] = np.arange(len(order))
+            phrases = found[1].take(pa.array(order)).to_pylist()
+            # Semi-join with the frequent groups; those without a neighbour go too.
             groups = kept[groups]
-            # Semi-join with the frequent groups, then the merge join: each
-            # occurrence with the one that stands one place further on.
-            stay = np.flatnonzero(groups >= 0)
+            stay = groups >= 0
             places, groups = places[stay], groups[stay]
-            at = np.flatnonzero(np.diff(places) == 1)
-            if not len(at):
+            beside = np.zeros(len(places), bool)
+            beside[1:] = np.diff(places) == 1
+            beside[:-1] |= beside[1:]
+            places, groups = places[beside], groups[beside]
+            if not len(places):
                 continue
-            pair = groups[at] * len(frequent) + groups[at + 1]
-            met, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-            texts = [x["phrase"] for x in frequent]
-            last = [t.rsplit(" ", 1)[-1] for t in texts]
-            left, right = (met // len(frequent)).tolist(), (met % len(frequent)).tolist()
-            phrases = [f"{texts[i]} {last[j]}" for i, j in zip(left, right)]
-            yield from _block(row["block"], row["lang"], phrases, counts, places[at], inverse)
+            _, _, _, _, counts, hashes = _neighbours(lang, places, groups, phrases)
+            rows = [(block, lang, _packed(np.diff(places, prepend=0)), _packed(groups), phrases, -1, None, None)]
+            hashes, of = np.unique(hashes, return_inverse=True)
+            counts = np.bincount(of, weights=counts).astype(np.int64)
+            bucket = ((hashes * np.uint64(buckets)) >> np.uint64(HASH_BITS)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for lo, hi in zip(cuts, [*cuts[1:], len(bucket)]):
+                rows.append(
+                    (block, None, None, None, None, int(bucket[lo]), _packed_hashes(hashes[lo:hi]), _packed(counts[lo:hi]))
+                )
+            for lo in range(0, len(rows), 256):
+                columns = zip(*rows[lo : lo + 256])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(columns, PAIRS_SCHEMA)], schema=PAIRS_SCHEMA
+                )
+
+    return work
+
+
+def _packed_hashes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes by their differences, in two halves."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    low = _packed(steps & np.uint64(0xFFFFFFFF))
+    return len(low).to_bytes(8, "little") + low + _packed(steps >> np.uint64(32))
+
+
+def _unpacked_hashes(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    low, high = _unpacked(data[8 : 8 + size]), _unpacked(data[8 + size :])
+    return np.cumsum(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), dtype=np.uint64)
+
+
+def _enough(least: int):
+    """Hashes of blocks and their counts in; out, for each block, those that all
+    blocks together have often enough."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, parts, counts = [], [], []
+        for row in _rows_of(batches):
+            blocks.append(row["block"].as_py())
+            parts.append(_unpacked_hashes(row["hashes"].as_py()))
+            counts.append(_unpacked(row["counts"].as_py()))
+        if not parts:
+            return
+        met, of = np.unique(np.concatenate(parts), return_inverse=True)
+        often = np.bincount(of, weights=np.concatenate(counts)) >= least
+        ends = np.cumsum([len(p) for p in parts])
+        for block, part, end in zip(blocks, parts, ends):
+            some = part[often[of[end - len(part) : end]]]
+            if len(some):
+                yield pa.RecordBatch.from_pydict(
+                    {"block": [block], "often": [_packed_hashes(some)]},
+                    schema=pa.schema([("block", pa.int64()), ("often", pa.binary())]),
+                )
+
+    return work
+
+
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the hashes that are met often in; blocks of the next length out."""
+    for row in _rows_of(batches):
+        lang, phrases = row["lang"].as_py(), row["phrases"].as_py()
+        places = np.cumsum(_unpacked(row["places"].as_py()).astype(np.int64))
+        groups = _unpacked(row["groups"].as_py()).astype(np.int64)
+        often = np.concatenate([_unpacked_hashes(x) for x in row["often"].as_py()])
+        places, left, right, inverse, counts, hashes = _neighbours(lang, places, groups, phrases)
+        kept = np.isin(hashes, often)
+        new = np.cumsum(kept) - 1
+        stay = kept[inverse]
+        last = [t.rsplit(" ", 1)[-1] for t in phrases]
+        texts = [f"{phrases[i]} {last[j]}" for i, j in zip(left[kept].tolist(), right[kept].tolist())]
+        yield from _block(row["block"].as_py(), lang, texts, counts[kept], places[stay], new[inverse[stay]])
 
 
 def _written(frame: DataFrame, name: str) -> DataFrame:
@@ -197,6 +310,8 @@ def frequent_phrases(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.col(f"`{text}`").cast("string").alias("text"),
     )
+    spark = documents.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = _written(rows.mapInArrow(released(_word_occurrences), LEVEL), "occurrences1")
     totals = level.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("c"))
     totals = _written(totals.groupBy("lang").agg(F.sum("c").alias("n")), "words")
@@ -212,8 +327,15 @@ def frequent_phrases(
             F.collect_list(F.struct("group", "phrase")).alias("frequent")
         )
         met = level.filter("places IS NOT NULL").select("block", "lang", "places", "groups")
-        longer = met.join(of_block, "block").mapInArrow(released(_longer), LEVEL)
-        level = _written(longer, f"occurrences{words + 1}")
+        pairs = _written(met.join(of_block, "block").mapInArrow(released(_paired(n)), PAIRS), f"pairs{words}")
+        discard(spark, level)
+        posted = pairs.filter("bucket >= 0").select("bucket", "block", "hashes", "counts")
+        often = posted.repartition(n, "bucket").mapInArrow(released(_enough(least)), "block bigint, often binary")
+        often = often.groupBy("block").agg(F.collect_list("often").alias("often"))
+        met = pairs.filter("places IS NOT NULL").drop("bucket", "hashes", "counts")
+        level = _written(met.join(often, "block").mapInArrow(released(_longer), LEVEL), f"occurrences{words + 1}")
+        discard(spark, pairs)
+    discard(spark, level)
     return found, totals
 
 
