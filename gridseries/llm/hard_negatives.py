@@ -395,7 +395,11 @@ def hard_negatives(
     each = max(1, min(BLOCK_BYTES // wide, MOST_ROWS, max(LEAST_ROWS, size["n"] // 64)))
     blocks = -(-size["n"] // each)
     blocked = placed.repartitionByRange(blocks, "label", "pivot", "row")
-    blocked = _written(blocked.withColumn("block", F.spark_partition_id()), "blocks")
+    blocked = _written(blocked.withColumn("part", F.spark_partition_id()), "blocks")
+    # Neighbouring partitions make up a block, however many there are of them.
+    made = blocked.agg(F.max("part")).first()[0] + 1
+    block = F.floor(F.col("part") * F.lit(blocks) / F.lit(made)) if made > blocks else F.col("part")
+    blocked = blocked.withColumn("block", block.cast("int")).drop("part")
     parts = blocked.select("block", "dims", "label", "v").mapInArrow(released(_summaries(pivots)), SUMMARY)
     summary = parts.groupBy("block", "dims", "pivot").agg(
         *[F.min(c).alias(c) for c in ("low", "first_label")],
