@@ -51,6 +51,7 @@ from gridseries.operators.region import (
     Region,
     assign_regions,
     grid_convention,
+    region_atoms,
     region_cells,
     select_region,
     valid_region,
@@ -60,6 +61,7 @@ from gridseries.operators.spatial import (
     area_weighted_mean_sst,
     coverage_by_day,
     coverage_quality,
+    daily_sums,
     grid_weight,
 )
 
@@ -76,6 +78,7 @@ __all__ = [
     "count_actions",
     "coverage_by_day",
     "coverage_quality",
+    "daily_sums",
     "date_range",
     "dates_of_files",
     "density_curve",
@@ -95,6 +98,7 @@ __all__ = [
     "predictions_of",
     "profile",
     "reference_period",
+    "region_atoms",
     "region_cells",
     "regression_metrics",
     "regularize",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridseries import constants as C
 from gridseries.checks import raise_if, require_columns
 from gridseries.functions import longitude_column, longitude_value
+from gridseries.session import stored
 
 ANTIMERIDIAN = "the box wraps around at the antimeridian, which is not possible"
 NO_OVERLAP = "no cell of the grid lies in the box"
@@ -159,14 +160,7 @@ def assign_regions(
     if nonnegative_lon is None:
         nonnegative_lon = grid_convention(cells if cells is not None else grid)
     boxes = _boxes(regions, name, extra, nonnegative_lon)
-    # The area all regions span is known before the grid is read: its bounds
-    # reach the file scan, which the join conditions cannot.
-    span = boxes.agg(
-        F.min("_south").alias("s"), F.max("_north").alias("n"),
-        F.min("_west").alias("w"), F.max("_east").alias("e"),
-    )
-    south, north, left, right = [span.select(c).scalar() for c in ("s", "n", "w", "e")]
-    near = grid.filter(F.col(C.LAT).between(south, north) & F.col(C.LON).between(left, right))
+    near = within_span(grid, boxes, "_south", "_north", "_west", "_east")
     if cells is None:
         matched = _in_boxes(near, boxes, bin_degrees)
     else:
@@ -175,6 +169,56 @@ def assign_regions(
     return matched.select(name, *extra, *grid.columns)
 
 
+def within_span(
+    grid: DataFrame, table: DataFrame, south: str, north: str, west: str, east: str
+) -> DataFrame:
+    """Rows of the grid in the area that all rows of a small table span.
+
+    The area is known before the grid is read, so its bounds reach the file scan,
+    which join conditions cannot.
+    """
+    span = table.agg(
+        F.min(south).alias("s"), F.max(north).alias("n"), F.min(west).alias("w"), F.max(east).alias("e")
+    )
+    bottom, top, left, right = [span.select(c).scalar() for c in ("s", "n", "w", "e")]
+    return grid.filter(F.col(C.LAT).between(bottom, top) & F.col(C.LON).between(left, right))
+
+
+def region_atoms(
+    regions: DataFrame,
+    cells: DataFrame,
+    *,
+    name: str = "region",
+    nonnegative_lon: bool | None = None,
+    bin_degrees: float = 2.0,
+) -> DataFrame:
+    """Cells by the set of regions that hold them: ``lat``, ``lon``, ``_regions``
+    (array of structs of ``name``) and ``_atom``, which stands for the set.
+
+    However many regions overlap, a cell has one atom, so measurements meet one
+    row here and are reduced before they are counted for each region. The table
+    is made at once and read from the scratch folder; it has a row for each cell
+    in a region. Boxes of one region that overlap fail the job.
+    """
+    if nonnegative_lon is None:
+        nonnegative_lon = grid_convention(cells)
+    boxes = _boxes(regions, name, (), nonnegative_lon)
+    places = _in_boxes(cells.select(C.LAT, C.LON).distinct(), boxes, bin_degrees)
+    held = F.col("_regions")
+    once = raise_if(
+        F.size(held) > F.size(F.array_distinct(held)), "boxes of one region overlap", F.xxhash64(held)
+    )
+    sets = places.groupBy(C.LAT, C.LON).agg(F.sort_array(F.collect_list(F.struct(name))).alias("_regions"))
+    return stored(sets.withColumn("_atom", once), "atoms")
+
+
+def regions_of_atoms(atoms: DataFrame) -> DataFrame:
+    """``_atom`` with each of its regions; fails if two sets have one hash."""
+    sets = atoms.groupBy("_atom").agg(F.min("_regions").alias("a"), F.max("_regions").alias("b"))
+    one = raise_if(F.col("a") != F.col("b"), "two sets of regions have one hash", F.col("a"))
+    return sets.select("_atom", F.explode(one).alias("_region")).select("_atom", "_region.*")
+
+
 def region_cells(
     regions: DataFrame,
     cells: DataFrame,

@@ -11,14 +11,15 @@ from gridseries import constants as C
 from gridseries.operators import (
     Region,
     area_weighted_mean_sst,
-    assign_regions,
     grid_convention,
+    region_atoms,
     region_cells,
     regularize_and_fill,
     select_region,
     with_climatology,
 )
-from gridseries.operators.region import NO_OVERLAP
+from gridseries.operators.region import NO_OVERLAP, regions_of_atoms, within_span
+from gridseries.operators.spatial import covered, daily_sums, grid_labels, masked, weight_of_labels
 from gridseries.session import stored
 from gridseries.sinks import write_csv
 from gridseries.sources import read_grid
@@ -87,7 +88,11 @@ def series_of_regions(
 ) -> DataFrame:
     """Daily area-weighted mean of every region of a table, in one pass.
 
-    ``name`` is the column that names the regions and the key of the result. A
+    ``name`` is the column that names the regions and the key of the result. Grid
+    rows are reduced to daily sums of the cells that the same regions hold; only
+    these sums are counted for each region, so the work on raw rows does not grow
+    with the overlap of regions. Without ``cells`` one pass over two columns finds
+    them. Cells and regions are matched at once, in jobs of their own. A
     region off the grid has no days in it; ``strict`` runs one job over the
     cells and fails if there is one. ``operators.region_cells`` lists them all.
     """
@@ -99,17 +104,22 @@ def series_of_regions(
         if not counted.filter("cells = 0").isEmpty():
             raise ValueError(NO_OVERLAP)
 
-    def of_regions(frame, cells=None):
-        return assign_regions(
-            frame, regions, name=name, cells=cells, nonnegative_lon=nonnegative_lon
-        )
-
-    return area_weighted_mean_sst(
-        of_regions(grid, cells),
+    if cells is None:
+        cells = stored(grid.select(C.LAT, C.LON).distinct(), "cells")
+    atoms = region_atoms(regions, cells, name=name, nonnegative_lon=nonnegative_lon)
+    of_cells = atoms.select(C.LAT, C.LON, "_atom")
+    inside = within_span(grid, atoms, C.LAT, C.LAT, C.LON, C.LON).join(of_cells, [C.LAT, C.LON])
+    daily = daily_sums(inside, keys=["_atom"], cells=atoms)
+    sums = ["_total", "valid_weight", "_valid", "cells", "rows"]
+    held = regions_of_atoms(atoms)
+    by_region = daily.join(held, "_atom").groupBy(name, C.DATE).agg(*[F.sum(c).alias(c) for c in sums])
+    labels = grid_labels(atoms, keys=["_atom"]).join(held, "_atom").drop("_atom").distinct()
+    full = weight_of_labels(labels, keys=[name])
+    return masked(
+        covered(by_region, full, keys=[name]),
         keys=[name],
         min_valid_fraction=min_valid_fraction,
         output=C.SERIES_VALUE,
-        cells=None if cells is None else of_regions(cells),
     )
 
 
