@@ -21,7 +21,7 @@ def parse_date(value: str | dt.date) -> dt.date:
     if isinstance(value, dt.date):
         return value
     try:
-        if not re.match(ISO_DATE_PATTERN, value):
+        if not re.fullmatch(ISO_DATE_PATTERN, value):
             raise ValueError(value)
         return dt.date(*map(int, value.split("-")))
     except ValueError:

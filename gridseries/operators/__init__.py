@@ -51,6 +51,7 @@ from gridseries.operators.region import (
     Region,
     assign_regions,
     grid_convention,
+    quarantine_regions,
     region_atoms,
     region_cells,
     select_region,
@@ -63,6 +64,10 @@ from gridseries.operators.spatial import (
     coverage_quality,
     daily_sums,
     grid_weight,
+    masked,
+    merged_words,
+    sums_of_words,
+    word_sums,
 )
 
 __all__ = [
@@ -89,6 +94,8 @@ __all__ = [
     "grid_weight",
     "histogram",
     "map_seasonal_cycle",
+    "masked",
+    "merged_words",
     "metadata_of",
     "missing_dates",
     "monthly_means",
@@ -97,6 +104,7 @@ __all__ = [
     "plan_downloads",
     "predictions_of",
     "profile",
+    "quarantine_regions",
     "reference_period",
     "region_atoms",
     "region_cells",
@@ -107,8 +115,10 @@ __all__ = [
     "seasonal_cycle",
     "select_region",
     "spanned_dates",
+    "sums_of_words",
     "union_frames",
     "valid_region",
     "with_climatology",
     "with_file_keys",
+    "word_sums",
 ]

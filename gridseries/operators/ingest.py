@@ -23,9 +23,10 @@ def with_file_keys(
 
 
 def dates_of_files(files: DataFrame) -> DataFrame:
-    """Dates carried by the names of listed files (see ``sources.list_files``)."""
+    """Dates carried by the names of listed files (see ``sources.list_files``), or
+    by those of folders that hold one file in parts."""
     require_columns(files, ["path"], "files")
-    stamp = F.regexp_extract("path", re.escape(C.FILE_PREFIX) + r"([0-9]{8})\.[^/]*$", 1)
+    stamp = F.regexp_extract("path", re.escape(C.FILE_PREFIX) + r"([0-9]{8})\.[^/]*(/[^/]*)?$", 1)
     return (
         files.select(F.try_to_date(F.nullif(stamp, F.lit("")), "yyyyMMdd").alias(C.DATE))
         .filter(F.col(C.DATE).isNotNull())

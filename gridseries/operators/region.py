@@ -2,6 +2,8 @@
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from gridseries.functions import longitude_column, longitude_value
 from gridseries.session import stored
 
 ANTIMERIDIAN = "the box wraps around at the antimeridian, which is not possible"
+OUT_OF_RANGE = "region bounds are out of range or out of order"
 NO_OVERLAP = "no cell of the grid lies in the box"
 # Which bounds belong together, and the range of degrees each pair must keep to.
 LIMITS = [("lat_min", "lat_max", -90.0, 90.0), ("lon_min", "lon_max", -180.0, 360.0)]
@@ -33,13 +36,22 @@ class Region:
                     f"{lower} must lie below {upper}, both within {least:g} to {greatest:g}"
                 )
 
-    def longitudes(self, nonnegative: bool) -> tuple[float, float]:
-        """West and east edge in the grid's longitude convention."""
+    def longitudes(
+        self, nonnegative: bool, *, allow_wrap: bool = False
+    ) -> list[tuple[float, float]]:
+        """Ranges from west to east in the grid's longitude convention.
+
+        A box across the seam of the convention has two of them where
+        ``allow_wrap`` says so, and is refused otherwise.
+        """
         west = longitude_value(self.lon_min, nonnegative)
         east = longitude_value(self.lon_max, nonnegative)
-        if west >= east:
+        if west < east:
+            return [(west, east)]
+        if not allow_wrap:
             raise ValueError(ANTIMERIDIAN)
-        return west, east
+        start, end = (0.0, 360.0) if nonnegative else (-180.0, 180.0)
+        return [(start, end)] if west == east else [(start, east), (west, end)]
 
 
 def valid_region() -> Column:
@@ -70,6 +82,7 @@ def select_region(
     cells: DataFrame | None = None,
     nonnegative_lon: bool | None = None,
     strict: bool = False,
+    allow_wrap: bool = False,
 ) -> DataFrame:
     """Rows of the grid inside the box, whatever order they come in.
 
@@ -77,16 +90,17 @@ def select_region(
     so the comparison reaches the file scan. Cells inside the box stay, also
     when their value is missing. ``cells`` (distinct ``lat``/``lon`` of the whole
     grid) or ``nonnegative_lon`` saves the pass that finds the convention.
-    ``strict`` runs one job to reject a box without any cell.
+    ``strict`` runs one job to reject a box without any cell. With ``allow_wrap``
+    a box may reach across the seam of the grid's longitudes: it becomes two
+    ranges of the column, both of which reach the scan.
     """
     region.validate()
     require_columns(grid, [C.LAT, C.LON], "grid")
     if nonnegative_lon is None:
         nonnegative_lon = grid_convention(cells if cells is not None else grid)
-    west, east = region.longitudes(nonnegative_lon)
-    inside = F.col(C.LAT).between(float(region.lat_min), float(region.lat_max)) & F.col(
-        C.LON
-    ).between(west, east)
+    ranges = region.longitudes(nonnegative_lon, allow_wrap=allow_wrap)
+    within = reduce(or_, [F.col(C.LON).between(west, east) for west, east in ranges])
+    inside = F.col(C.LAT).between(float(region.lat_min), float(region.lat_max)) & within
     if strict and (cells if cells is not None else grid).filter(inside).isEmpty():
         raise ValueError(NO_OVERLAP)
     return grid.filter(inside)
@@ -98,26 +112,85 @@ def _bins(lower: Column, upper: Column, width: float) -> Column:
     )
 
 
+def _reason(nonnegative_lon: bool, allow_wrap: bool) -> Column:
+    """Why a row of a regions table cannot be used; NULL if it can."""
+    west = longitude_column("lon_min", nonnegative_lon)
+    east = longitude_column("lon_max", nonnegative_lon)
+    reason = F.when(~valid_region(), OUT_OF_RANGE)
+    return reason if allow_wrap else reason.when(west >= east, ANTIMERIDIAN)
+
+
 def _boxes(
-    regions: DataFrame, name: str, extra: Sequence[str], nonnegative_lon: bool
+    regions: DataFrame,
+    name: str,
+    extra: Sequence[str],
+    nonnegative_lon: bool,
+    allow_wrap: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
-    """Regions with bounds in the grid's convention; unusable ones fail the query."""
+    """Regions with bounds in the grid's convention; unusable ones fail the query,
+    or else have no bounds.
+
+    A box across the seam of the longitudes becomes two, one on each side.
+    """
     bounds = [c for limits in LIMITS for c in limits[:2]]
     require_columns(regions, [name, *bounds, *extra], "regions")
+    reason = _reason(nonnegative_lon, allow_wrap)
+    start, end = (0.0, 360.0) if nonnegative_lon else (-180.0, 180.0)
     west = longitude_column("lon_min", nonnegative_lon)
     east = longitude_column("lon_max", nonnegative_lon)
-    return regions.select(
-        name,
-        *extra,
-        raise_if(
-            ~valid_region(),
-            "region bounds are out of range or out of order",
-            F.col("lat_min").cast("double"),
-        ).alias("_south"),
-        F.col("lat_max").cast("double").alias("_north"),
-        raise_if(west >= east, ANTIMERIDIAN, west).alias("_west"),
-        east.alias("_east"),
+
+    def part(low: Column | float, high: Column | float) -> Column:
+        low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+        return F.struct(low.alias("_west"), high.alias("_east"))
+
+    parts = (
+        F.when(west < east, F.array(part(west, east)))
+        .when(west == east, F.array(part(start, end)))
+        .otherwise(F.array(part(start, east), part(west, end)))
+    )
+    refused = F.raise_error(reason) if strict else F.lit(None).cast("double")
+    south = F.when(reason.isNotNull(), refused).otherwise(F.col("lat_min").cast("double"))
+    boxes = regions.select(
+        name, *extra, south.alias("_south"), F.col("lat_max").cast("double").alias("_north"), west.alias("_west"), east.alias("_east")
     )
+    if not allow_wrap:
+        return boxes
+    return regions.select(
+        name, *extra, south.alias("_south"), F.col("lat_max").cast("double").alias("_north"), F.explode(parts).alias("_part")
+    ).select(name, *extra, "_south", "_north", "_part.*")
+
+
+def quarantine_regions(
+    regions: DataFrame,
+    *,
+    name: str = "region",
+    nonnegative_lon: bool,
+    cells: DataFrame | None = None,
+    allow_wrap: bool = False,
+    bin_degrees: float = 2.0,
+) -> DataFrame:
+    """The regions with a ``reason`` why they cannot be used, NULL where they can.
+
+    What the jobs fail for is told here row by row, so that the others can go on:
+    bounds that are missing, out of range or out of order, a box across the seam
+    of the longitudes, and, with ``cells``, a region without any cell of the grid.
+    Boxes that share a name are one region in that. Store the usable ones
+    (``session.stored``) before a job takes them: Spark may test the bounds of a row
+    before a filter on ``reason`` has dropped it.
+    """
+    bounds = [c for limits in LIMITS for c in limits[:2]]
+    require_columns(regions, [name, *bounds], "regions")
+    judged = regions.withColumn("reason", _reason(nonnegative_lon, allow_wrap))
+    if cells is None:
+        return judged
+    # Unusable boxes have no bounds here, so they meet no cell.
+    boxes = _boxes(regions, name, (), nonnegative_lon, allow_wrap, strict=False)
+    places = _in_boxes(cells.select(C.LAT, C.LON).distinct(), boxes, bin_degrees)
+    met = places.select(F.col(name).alias("_met")).distinct().withColumn("_some", F.lit(True))
+    found = judged.join(met, judged[name].eqNullSafe(met["_met"]), "left")
+    none = F.when(F.col("_some").isNull(), NO_OVERLAP)
+    return found.select(*regions.columns, F.coalesce("reason", none).alias("reason"))
 
 
 def _in_boxes(places: DataFrame, boxes: DataFrame, bin_degrees: float) -> DataFrame:
@@ -145,6 +218,7 @@ def assign_regions(
     nonnegative_lon: bool | None = None,
     bin_degrees: float = 2.0,
     extra: Sequence[str] = (),
+    allow_wrap: bool = False,
 ) -> DataFrame:
     """Pair every grid row with each region of a table that contains its cell.
 
@@ -154,12 +228,14 @@ def assign_regions(
     matched: a region is listed under every ``bin_degrees`` square it touches
     (at most ``(180 / bin_degrees + 1) * (360 / bin_degrees + 1)``), a row looks
     up the square it lies in, and the exact bounds are tested. Invalid regions
-    fail the query. A grid row in several regions appears once for each.
+    fail the query (``quarantine_regions`` tells them), and so does one across the
+    seam of the longitudes unless ``allow_wrap`` lets it count as two boxes. A
+    grid row in several regions appears once for each.
     """
     require_columns(grid, [C.LAT, C.LON], "grid")
     if nonnegative_lon is None:
         nonnegative_lon = grid_convention(cells if cells is not None else grid)
-    boxes = _boxes(regions, name, extra, nonnegative_lon)
+    boxes = _boxes(regions, name, extra, nonnegative_lon, allow_wrap)
     near = within_span(grid, boxes, "_south", "_north", "_west", "_east")
     if cells is None:
         matched = _in_boxes(near, boxes, bin_degrees)
@@ -191,6 +267,7 @@ def region_atoms(
     name: str = "region",
     nonnegative_lon: bool | None = None,
     bin_degrees: float = 2.0,
+    allow_wrap: bool = False,
 ) -> DataFrame:
     """Cells by the set of regions that hold them: ``lat``, ``lon``, ``_regions``
     (array of structs of ``name``) and ``_atom``, which stands for the set.
@@ -202,7 +279,7 @@ def region_atoms(
     """
     if nonnegative_lon is None:
         nonnegative_lon = grid_convention(cells)
-    boxes = _boxes(regions, name, (), nonnegative_lon)
+    boxes = _boxes(regions, name, (), nonnegative_lon, allow_wrap)
     places = _in_boxes(cells.select(C.LAT, C.LON).distinct(), boxes, bin_degrees)
     held = F.col("_regions")
     once = raise_if(
@@ -226,13 +303,16 @@ def region_cells(
     name: str = "region",
     nonnegative_lon: bool | None = None,
     bin_degrees: float = 2.0,
+    allow_wrap: bool = False,
 ) -> DataFrame:
     """Number of grid cells in every region, 0 for one that lies off the grid."""
     if nonnegative_lon is None:
         nonnegative_lon = grid_convention(cells)
-    boxes = _boxes(regions, name, (), nonnegative_lon)
+    boxes = _boxes(regions, name, (), nonnegative_lon, allow_wrap)
     places = _in_boxes(cells.select(C.LAT, C.LON).distinct(), boxes, bin_degrees)
     counted = places.groupBy(name).agg(F.count(F.lit(1)).alias("cells"))
+    if allow_wrap:
+        boxes = boxes.select(name).distinct()
     return boxes.join(counted, name, "left").select(
         name, F.coalesce("cells", F.lit(0)).alias("cells")
     )

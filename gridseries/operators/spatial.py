@@ -49,32 +49,34 @@ def _longitudes(cells: DataFrame) -> Column:
     return labels.agg(F.sort_array(F.collect_list(C.LON)).alias("lons")).scalar()
 
 
-def daily_sums(
+# Columns of the sums of a word that add up, and those whose bits do.
+ADDED, BITS = ("total", "with_value", "rows"), ("bits", "valid_bits")
+
+
+def word_sums(
     grid: DataFrame, *, keys: Sequence[str] = (), value: str = C.GRID_VALUE, cells: DataFrame
 ) -> DataFrame:
-    """Per day: ``_total`` and ``valid_weight`` of the cells with a value, their
-    number ``_valid``, distinct ``cells`` and ``rows``; these two differ where a
-    cell repeats.
-
-    Cells of a day and latitude are bits: 64 neighbouring longitudes make one
-    word. Words and sums are built before anything is exchanged, so a row of the
-    grid never crosses the network by itself, and what does is some 60 times less
-    if the grid is stored by cell. ``cells`` gives the longitudes; the place of one
-    among them is guessed from their spacing and then checked, and a longitude
-    that is not found there takes a word of its own.
+    """Sums and bits of cells per day, latitude and word of 64 longitudes.
+
+    ``total``, ``with_value`` and ``rows`` add up, ``bits`` and ``valid_bits`` say
+    which cells were met, and which with a value. Rows of one day may be reduced
+    apart and put together by :func:`merged_words`, if ``cells`` is the same: it
+    gives the longitudes, whose places are bits. The place of one among them is
+    guessed from their spacing and then checked; a longitude that is not found
+    there takes a word of its own.
     """
     require_columns(grid, [*keys, C.DATE, C.LAT, C.LON, value], "grid")
     lons = _longitudes(cells)
     first, last = F.get(lons, F.lit(0)), F.element_at(lons, -1)
     step = F.try_divide(last - first, (F.size(lons) - 1).cast("double"))
     lon = F.col(C.LON).cast("double")
-    guess = F.coalesce(F.round(F.try_divide(lon - first, step)), F.lit(0.0)).cast("int")
+    guess = F.coalesce(F.round(F.try_divide(lon - first, step)), F.lit(0.0)).try_cast("int")
     placed = grid.select(
         *keys, C.DATE, C.LAT, lon.alias("_lon"), number(value).alias("_value"), guess.alias("_at")
     )
     found = F.coalesce(F.get(lons, F.col("_at")) == F.col("_lon"), F.lit(False))
     bit = F.when(F.col("_word").isNotNull(), F.expr("shiftleft(1L, _at % 64)"))
-    words = (
+    return (
         placed.withColumns(
             {"_word": F.when(found, F.floor(F.col("_at") / 64)), "_odd": F.when(~found, F.col("_lon"))}
         )
@@ -88,6 +90,17 @@ def daily_sums(
             F.bit_or(F.when(F.col("_value").isNotNull(), F.col("_bit"))).alias("valid_bits"),
         )
     )
+
+
+def merged_words(words: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """Word sums of rows that were reduced apart, put together."""
+    return words.groupBy(*keys, C.DATE, C.LAT, "_word", "_odd").agg(
+        *[F.sum(c).alias(c) for c in ADDED], *[F.bit_or(c).alias(c) for c in BITS]
+    )
+
+
+def sums_of_words(words: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """Daily sums (see :func:`daily_sums`) of word sums."""
     own = F.col("_word").isNull()
     valid = F.when(own, F.least("with_value", F.lit(1))).otherwise(
         F.coalesce(F.bit_count("valid_bits"), F.lit(0))
@@ -102,6 +115,20 @@ def daily_sums(
     )
 
 
+def daily_sums(
+    grid: DataFrame, *, keys: Sequence[str] = (), value: str = C.GRID_VALUE, cells: DataFrame
+) -> DataFrame:
+    """Per day: ``_total`` and ``valid_weight`` of the cells with a value, their
+    number ``_valid``, distinct ``cells`` and ``rows``; these two differ where a
+    cell repeats.
+
+    Sums and bits are built before anything is exchanged, so a row of the grid
+    never crosses the network by itself, and what does is up to 64 times less if
+    the grid is stored by cell.
+    """
+    return sums_of_words(word_sums(grid, keys=keys, value=value, cells=cells), keys=keys)
+
+
 def _share() -> Column:
     """Share of the area with a value: exactly one if every cell has one."""
     return F.when(F.col("_valid") == F.col("cell_count"), 1.0).otherwise(

@@ -62,9 +62,10 @@ def regional_series(
     cells: DataFrame | None = None,
     nonnegative_lon: bool | None = None,
     strict: bool = False,
+    allow_wrap: bool = False,
 ) -> DataFrame:
     """Daily area-weighted mean of one region of a grid."""
-    convention = {"cells": cells, "nonnegative_lon": nonnegative_lon}
+    convention = {"cells": cells, "nonnegative_lon": nonnegative_lon, "allow_wrap": allow_wrap}
     inside = select_region(grid, region, strict=strict, **convention)
     if cells is not None:
         cells = select_region(cells, region, **convention)
@@ -85,6 +86,7 @@ def series_of_regions(
     cells: DataFrame | None = None,
     nonnegative_lon: bool | None = None,
     strict: bool = False,
+    allow_wrap: bool = False,
 ) -> DataFrame:
     """Daily area-weighted mean of every region of a table, in one pass.
 
@@ -100,13 +102,17 @@ def series_of_regions(
         nonnegative_lon = grid_convention(cells if cells is not None else grid)
     if strict:
         labels = cells if cells is not None else grid
-        counted = region_cells(regions, labels, name=name, nonnegative_lon=nonnegative_lon)
+        counted = region_cells(
+            regions, labels, name=name, nonnegative_lon=nonnegative_lon, allow_wrap=allow_wrap
+        )
         if not counted.filter("cells = 0").isEmpty():
             raise ValueError(NO_OVERLAP)
 
     if cells is None:
         cells = stored(grid.select(C.LAT, C.LON).distinct(), "cells")
-    atoms = region_atoms(regions, cells, name=name, nonnegative_lon=nonnegative_lon)
+    atoms = region_atoms(
+        regions, cells, name=name, nonnegative_lon=nonnegative_lon, allow_wrap=allow_wrap
+    )
     of_cells = atoms.select(C.LAT, C.LON, "_atom")
     inside = within_span(grid, atoms, C.LAT, C.LAT, C.LON, C.LON).join(of_cells, [C.LAT, C.LON])
     daily = daily_sums(inside, keys=["_atom"], cells=atoms)
@@ -136,6 +142,7 @@ def load_regional_sst(
     recursive: bool = False,
     cells: DataFrame | None = None,
     strict: bool = True,
+    allow_wrap: bool = False,
 ) -> DataFrame:
     """Read grid files and reduce them to the daily series of one region.
 
@@ -157,6 +164,7 @@ def load_regional_sst(
         cells=cells,
         nonnegative_lon=grid_convention(cells),
         strict=strict,
+        allow_wrap=allow_wrap,
     )
 
 
@@ -178,6 +186,7 @@ def preprocess_job(
     recursive: bool = False,
     cells: DataFrame | None = None,
     strict: bool = True,
+    allow_wrap: bool = False,
 ) -> int:
     """Grid files in, anomaly table out as CSV; returns the number of days.
 
@@ -196,6 +205,7 @@ def preprocess_job(
         recursive=recursive,
         cells=cells,
         strict=strict,
+        allow_wrap=allow_wrap,
     )
     table = build_anomaly_table(
         series,

@@ -13,13 +13,20 @@ from gridseries.operators import (
     monthly_means,
     profile,
 )
+from gridseries.session import stored
 
 
-def exploration_tables(table: DataFrame, *, keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+def exploration_tables(
+    table: DataFrame, *, keys: Sequence[str] = (), keep: bool = True
+) -> dict[str, DataFrame]:
     """Profile, both series, monthly means, distribution and autocorrelation.
 
-    ``table`` is the stored anomaly table; each result is a plan of its own.
+    Each result is a plan of its own. ``table`` is computed once, into the scratch
+    folder, and all of them read that; a table that lies in files already is read
+    where it is with ``keep`` set to False.
     """
+    if keep:
+        table = stored(table, "explored")
     return {
         "profile": profile(table, keys=keys),
         "sst": table.select(*keys, C.DATE, C.SERIES_VALUE),

@@ -1,5 +1,6 @@
 """Spark session settings for local runs, and the shared scratch folder."""
 
+import gc
 import os
 import re
 import tempfile
@@ -58,7 +59,9 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Remove the files of scratch tables that nothing will read any more.
 
     Only files that were written by :func:`scratch_path` names, thus with a unique
-    suffix, are touched; other tables are left alone.
+    suffix, are touched; other tables are left alone. Spark drops the shuffle files
+    of plans that have run when the driver collects its garbage, which a driver
+    that waits for long jobs seldom does by itself.
     """
     jvm = spark._jvm
     for frame in frames:
@@ -66,3 +69,5 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             if re.fullmatch(r".*-[0-9a-f]{32}", folder):
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

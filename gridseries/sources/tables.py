@@ -9,6 +9,7 @@ from gridseries import constants as C
 from gridseries import schemas
 from gridseries.checks import require_columns
 from gridseries.schemas import nan_to_null
+from gridseries.sources.buckets import read_series
 
 
 def _read(
@@ -18,6 +19,8 @@ def _read(
         # Columns are found by their header name and cast afterwards: a schema
         # given to the CSV reader would be applied by position.
         table = spark.read.option("header", True).csv(path)
+    elif format == "series":
+        table = read_series(spark, path)
     else:
         table = spark.read.format(format).load(path)
     require_columns(table, [*keys, C.DATE, *required], "table")
@@ -32,7 +35,11 @@ def _read(
 def read_anomaly_table(
     spark: SparkSession, path: str, *, keys: Sequence[str] = (), format: str = "csv"
 ) -> DataFrame:
-    """The stored table with dates parsed; needs ``anomaly_celsius``."""
+    """The stored table with dates parsed; needs ``anomaly_celsius``.
+
+    ``format`` is ``csv``, ``series`` for a table that ``sinks.write_series`` has
+    stored by its keys, or a format of Spark's.
+    """
     return _read(spark, path, [C.ANOMALY], keys, format)
 
 

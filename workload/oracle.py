@@ -261,6 +261,34 @@ def oracle_sql() -> dict[str, str]:
             FROM grid JOIN boxes ON lat BETWEEN s AND n AND lon BETWEEN w AND e""",
         "regions_mean": _with(REGIONS_DAILY) + """SELECT region, date, round(mean, 6) AS sst
             FROM regions_daily""",
+        "region_wrap": _with(NATION_GRID) + """
+            SELECT date, lat, CASE WHEN lon + 60 >= 180 THEN lon - 300 ELSE lon + 60 END AS lon,
+                   round(sst, 6) AS sst
+            FROM grid WHERE lat BETWEEN 29 AND 41 AND lon + 60 BETWEEN 174 AND 186""",
+        "regions_quarantined": _with(NATION_GRID) + """, boxes AS (
+                SELECT c_custkey, c_acctbal / 80 - 40 AS s, c_acctbal / 100 + c_nationkey - 30 AS n,
+                       c_acctbal / 20 - 150 AS w, c_acctbal / 25 AS e FROM customer),
+            turned AS (SELECT *, ((w % 360) + 360) % 360 AS w0, ((e % 360) + 360) % 360 AS e0 FROM boxes),
+            cells AS (SELECT DISTINCT 25 + 5 * floor(c_nationkey / 5) AS lat, 110 + 5 * (c_nationkey % 5) AS lon
+                      FROM customer),
+            met AS (SELECT DISTINCT c_custkey FROM turned
+                    JOIN cells ON lat BETWEEN s AND n AND lon BETWEEN w0 AND e0)
+            SELECT c_custkey, CASE
+                WHEN NOT (s >= -90 AND s < n AND n <= 90 AND w >= -180 AND w < e AND e <= 360)
+                    THEN 'region bounds are out of range or out of order'
+                WHEN w0 >= e0 THEN 'the box wraps around at the antimeridian, which is not possible'
+                WHEN c_custkey NOT IN (SELECT c_custkey FROM met)
+                    THEN 'no cell of the grid lies in the box' END AS reason
+            FROM turned""",
+        "grid_stream_late": _with(SUPPLIER_BOX) + """, parts AS (
+                SELECT date, CASE WHEN month(date) % 2 = 0 AND lat >= 34 THEN 1 ELSE 0 END AS part FROM box)
+            SELECT part AS batch, count(*) AS rows,
+                   count(*) FILTER (part = 1 AND date < (SELECT max(date) FROM parts WHERE part = 0) - 30)
+                       AS late_rows
+            FROM parts GROUP BY part""",
+        "grid_extent": _with(NATION_GRID) + """
+            SELECT count(*) AS rows, min(date) AS date_min, max(date) AS date_max, min(lat) AS lat_min,
+                   max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max FROM grid""",
         "weighted_mean": _with(SUPPLIER_BOX) + """SELECT date,
             CASE WHEN vw / fw >= 0.001 THEN round(mean, 6) END AS sst FROM coverage""",
         "valid_fraction": _with(SUPPLIER_BOX) + """SELECT date, round(vw, 6) AS valid_weight,
@@ -459,6 +487,10 @@ def oracle_sql() -> dict[str, str]:
         "grid_file_months": _with(NATION_GRID)
         + "SELECT DISTINCT strftime(date, '%Y%m') AS ym FROM grid",
     }
+    sql["regions_wrap_mean"] = sql["regions_mean"]
+    sql["forecast_of_stored"] = sql["persistence_meta_by_nation"]
+    sql["grid_streamed"] = sql["coverage_mask"]
+    sql["ingest_listing"] = sql["ingest_plan"]
     sql["clim_window"] = sql["clim_map"]
     sql["anomaly_csv"] = sql["grid_to_anomaly"]
     sql["predictions_csv"] = sql["persistence_eval"]

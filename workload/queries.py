@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridseries import constants as C
 from gridseries import operators as ops
-from gridseries import plans, schemas, sinks, sources
+from gridseries import plans, schemas, sinks, sources, streaming
 from gridseries.checks import duplicate_cells, duplicate_dates
 from gridseries.functions import iso_date, longitude_column
 from gridseries.plans.forecast import read_predictions
@@ -227,6 +228,58 @@ def region_cells(spark, sf_dir):
     )
 
 
+def _across_the_seam(frame):
+    """Sixty degrees further east, where longitudes run from -180 to 180."""
+    return frame.withColumn("lon", longitude_column(F.col("lon") + 60, False))
+
+
+def _boxes_across_the_seam(spark, sf_dir):
+    boxes = views.region_table(spark, sf_dir)
+    return boxes.withColumns({c: F.col(c) + 60 for c in ("lon_min", "lon_max")})
+
+
+@query
+def region_wrap(spark, sf_dir):
+    """A box from 174 degrees east to 174 degrees west."""
+    return ops.select_region(
+        _across_the_seam(views.nation_grid(spark, sf_dir)),
+        ops.Region(29, 41, 174, 186),
+        nonnegative_lon=False,
+        allow_wrap=True,
+    )
+
+
+@query
+def regions_wrap_mean(spark, sf_dir):
+    """Weighted daily mean of five boxes, three of which lie across the seam."""
+    series = plans.series_of_regions(
+        _across_the_seam(views.nation_grid(spark, sf_dir)),
+        _boxes_across_the_seam(spark, sf_dir),
+        min_valid_fraction=0.2,
+        cells=_across_the_seam(views.nation_cells(spark, sf_dir)),
+        nonnegative_lon=False,
+        allow_wrap=True,
+    )
+    return series.withColumnRenamed("sst_celsius", "sst")
+
+
+@query
+def regions_quarantined(spark, sf_dir):
+    """Boxes made of the customers' balances, with the reason why one is unusable."""
+    balance = F.col("c_acctbal")
+    boxes = views.table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        (balance / 80 - 40).alias("lat_min"),
+        (balance / 100 + F.col("c_nationkey") - 30).alias("lat_max"),
+        (balance / 20 - 150).alias("lon_min"),
+        (balance / 25).alias("lon_max"),
+    )
+    found = ops.quarantine_regions(
+        boxes, name="c_custkey", nonnegative_lon=True, cells=views.nation_cells(spark, sf_dir)
+    )
+    return found.select("c_custkey", "reason")
+
+
 # --- Spatial means ------------------------------------------------------------
 
 
@@ -492,6 +545,15 @@ def regions_to_forecast(spark, sf_dir):
     return _flat(ops.evaluate_persistence(table, keys=["region"])[1])
 
 
+@query
+def forecast_of_stored(spark, sf_dir):
+    """Metadata of the forecast of every nation, from a table stored by nation."""
+    path = scratch_path(spark, "series")
+    sinks.write_series(_nation_anomaly(spark, sf_dir), path, keys=["nation"])
+    table = sources.read_anomaly_table(spark, path, keys=["nation"], format="series")
+    return _flat(ops.evaluate_persistence(table, keys=["nation"])[1])
+
+
 @query
 def finite_pairs(spark, sf_dir):
     """Pairs where both values are finite."""
@@ -637,6 +699,51 @@ def grid_file_months(spark, sf_dir):
     return files.select(month.alias("ym")).distinct()
 
 
+def _streamed(spark, sf_dir):
+    """A grid that arrives in two parts, the second with rows of all days."""
+    source, path = scratch_path(spark, "arriving"), scratch_path(spark, "streamed")
+    inside, cells = _supplier_box(spark, sf_dir)
+    later = (F.month("date") % 2 == 0) & (F.col("lat") >= 34)
+    for part in (inside.filter(~later), inside.filter(later)):
+        sinks.write_grid(part, source, mode="append")
+        streaming.stream_grid(spark, source, path, cells=cells)
+    return path
+
+
+@query
+def grid_streamed(spark, sf_dir):
+    """Weighted daily mean of a box whose rows were streamed in two parts."""
+    found = streaming.daily_of_stream(spark, _streamed(spark, sf_dir))
+    return ops.masked(found, min_valid_fraction=0.15)
+
+
+@query
+def grid_stream_late(spark, sf_dir):
+    """Rows of each part of the stream, and how many of them came late."""
+    progress = streaming.stream_progress(spark, _streamed(spark, sf_dir))
+    return progress.select("batch", "rows", "late_rows")
+
+
+@query
+def grid_extent(spark, sf_dir):
+    """Rows and ends of a written grid, from its file footers."""
+    path = scratch_path(spark, "grid")
+    sinks.write_grid(views.nation_grid(spark, sf_dir), path)
+    return sources.grid_extent(spark, path)
+
+
+@query
+def ingest_listing(spark, sf_dir):
+    """Fetch or skip each day, by the daily files that a listing finds."""
+    path = scratch_path(spark, "daily")
+    days = views.orders_by_day(spark, sf_dir)
+    name = F.concat(F.lit(C.FILE_PREFIX), F.date_format("date", "yyyyMMdd"), F.lit(C.FILE_SUFFIX))
+    daily = days.groupBy("date").agg(F.avg("sst_celsius").alias("sst")).withColumn("file", name)
+    daily.repartition("file").write.partitionBy("file").parquet(path)
+    found = ops.dates_of_files(sources.list_files(spark, path, "*.parquet"))
+    return ops.plan_days(ops.spanned_dates(_stored_dates(spark, sf_dir)), found, output_dir="raw")
+
+
 @query
 def grid_listing(spark, sf_dir):
     """Months in the order in which the listing of a written grid shows them."""
