@@ -8,14 +8,14 @@ Copies are then put in an order that another hash tells.
 Only DataFrame functions are used.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.llm._columns import fresh
 from gridseries.session import scratch_path
 
-# Copies of one document at most are the mean plus this many deviations, plus a
-# few: beyond it lies less than one part in 10**15 of the distribution.
+# Copies of one document differ from the mean by this many deviations at most, and
+# a few: beyond lies less than one part in 10**15 of the distribution.
 DEVIATIONS = 9
 SPARE = 12
 
@@ -66,30 +66,32 @@ def target_rates(
     )
 
 
-def cumulative(rate: Column) -> Column:
-    """Poisson probabilities of at most 0, 1, 2, ... copies, as an array.
+def cumulative(rates: DataFrame) -> DataFrame:
+    """Add ``least`` and ``cdf`` to a table of sources with their ``rate``: the
+    Poisson probabilities of at most ``least``, ``least`` + 1, ... copies.
 
-    Logarithms of the terms are added up, so that large means do not underflow.
+    Numbers of copies more than ``DEVIATIONS`` deviations from the mean are left
+    out, below and above it; they have less than one part in 10**15. So there is a
+    row for some twenty roots of the rate, and the terms are summed by a window
+    over the source's numbers: each by its logarithm against the one before, so
+    that no mean is too large, then brought to a sum of 1.
     """
-    steps = F.ceil(rate + DEVIATIONS * F.sqrt(rate) + SPARE).cast("int")
-    start = F.array(F.struct((-rate).alias("term"), F.exp(-rate).alias("sum")))
-    terms = F.aggregate(
-        F.sequence(F.lit(1), steps),
-        start,
-        lambda a, k: F.concat(
-            a,
-            F.array(
-                F.struct(
-                    (F.element_at(a, -1)["term"] + F.ln(rate) - F.ln(k.cast("double"))).alias("term"),
-                    (
-                        F.element_at(a, -1)["sum"]
-                        + F.exp(F.element_at(a, -1)["term"] + F.ln(rate) - F.ln(k.cast("double")))
-                    ).alias("sum"),
-                )
-            ),
-        ),
+    spread = DEVIATIONS * F.sqrt("rate") + SPARE
+    least = F.greatest(F.lit(0), F.floor(F.col("rate") - spread)).cast("bigint")
+    most = F.ceil(F.col("rate") + spread).cast("bigint")
+    rows = rates.withColumn("least", F.when(F.col("rate") > 0, least).otherwise(F.lit(0).cast("bigint")))
+    terms = rows.filter("rate > 0").select("source", "rate", "least", F.explode(F.sequence("least", most)).alias("k"))
+    whole = Window.partitionBy("source")
+    upto = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("k") == F.col("least"), 0.0).otherwise(F.ln(F.col("rate") / F.col("k")))
+    sized = terms.withColumn("log", F.sum(step).over(upto))
+    sized = sized.withColumn("term", F.exp(F.col("log") - F.max("log").over(whole)))
+    summed = sized.select("source", "k", (F.sum("term").over(upto) / F.sum("term").over(whole)).alias("c"))
+    lists = summed.groupBy(F.col("source").alias("_of")).agg(
+        F.sort_array(F.collect_list(F.struct("k", "c"))).getField("c").alias("cdf")
     )
-    return F.when(rate > 0, terms["sum"]).otherwise(F.array(F.lit(1.0)))
+    found = rows.join(lists, rows["source"].eqNullSafe(lists["_of"]), "left").drop("_of")
+    return found.withColumn("cdf", F.coalesce("cdf", F.array(F.lit(1.0))))
 
 
 def replicate(
@@ -117,12 +119,13 @@ def replicate(
     of any size is spread evenly, and each task sorts its share.
     """
     names = {"copy", "copies", "shuffle_key"}
-    s, cdf, rate, several, key = (
-        fresh(documents, c) for c in ("_source", "_cdf", "_rate", "_several", "_key")
-    )
-    rates = target_rates(documents, targets, source=source, power=power).select(
-        F.col("source").alias(s), F.col("rate").alias(rate)
+    u = fresh(documents, "_u")
+    s, cdf, least, several, key = (
+        fresh(documents, c) for c in ("_source", "_cdf", "_least", "_several", "_key")
     )
+    rates = cumulative(
+        target_rates(documents, targets, source=source, power=power).select("source", "rate")
+    ).select(F.col("source").alias(s), F.col("least").alias(least), F.col("cdf").alias(cdf))
     i, of = F.col(f"`{doc_id}`"), F.col(f"`{source}`").cast("string")
     without = (
         documents.filter(i.isNull())
@@ -132,16 +135,18 @@ def replicate(
     rates = rates.join(without, rates[s].eqNullSafe(without["_of"]), "left").drop("_of")
     # Written, so that Spark sees the table's true size before it plans the join.
     path = scratch_path(documents.sparkSession, "rates")
-    rates.withColumn(cdf, cumulative(F.col(rate))).drop(rate).write.parquet(path)
+    rates.write.parquet(path)
     table = documents.sparkSession.read.parquet(path)
-    content = F.concat_ws("\x1f", *[F.col(f"`{c}`").cast("string") for c in documents.columns])
-    content = F.when(content != "", F.md5(content))
+    # A NULL has a text of its own, so that its place tells rows apart.
+    told = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x02")) for c in documents.columns]
+    content = F.md5(F.concat_ws("\x1f", *told))
     own = F.coalesce(F.when(F.col(several), content).otherwise(of), F.lit(""))
     kept = [c for c in documents.columns if c.lower() not in names]
     drawn = (
         documents.join(table, documents[f"`{source}`"].cast("string").eqNullSafe(table[s]))
         .withColumn(key, F.coalesce(i.cast("string"), own))
-        .withColumn("copies", F.size(F.filter(cdf, lambda c: c <= uniform(F.col(key), seed))))
+        .withColumn(u, uniform(F.col(key), seed))
+        .withColumn("copies", (F.col(least) + F.size(F.filter(cdf, lambda c: c <= F.col(u)))).cast("int"))
     )
     copies = drawn.filter("copies > 0").select(
         *[F.col(f"`{c}`") for c in kept],

@@ -54,26 +54,38 @@ def _uniform(key: str) -> str:
     return f"(('0x' || substr(md5({key}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
 
 
+_OWN = "coalesce(t.doc_id::VARCHAR, CASE WHEN b.several THEN t.content ELSE t.source END, '')"
+
 _MIXING = f"""
 WITH sizes AS (
-  SELECT source, count(*) AS n FROM documents GROUP BY source
+  SELECT source, count(*) AS n, count(*) FILTER (doc_id IS NULL) > 1 AS several FROM documents GROUP BY source
 ), rates AS (
-  SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate
+  SELECT source, several, sqrt(n) / (SELECT sum(sqrt(n)) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate
   FROM sizes
+), bounds AS (
+  SELECT *, greatest(0, floor(rate - 9 * sqrt(rate) - 12))::BIGINT AS least,
+    ceil(rate + 9 * sqrt(rate) + 12)::BIGINT AS most FROM rates
 ), terms AS (
   SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
-  FROM rates, (SELECT unnest(range(0, 400)) AS k)
+  FROM (SELECT source, rate, unnest(range(least, most + 1)) AS k FROM bounds)
 ), cumulative AS (
   SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms
 ), listed AS (
   SELECT source, list(c) AS cs FROM cumulative GROUP BY source
+), told AS (
+  SELECT *, md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, chr(2)), coalesce(text, chr(2)), coalesce(lang, chr(2)),
+    coalesce(source, chr(2)), coalesce(n_chars::VARCHAR, chr(2)))) AS content FROM documents
+), keyed AS (
+  SELECT t.*, {_OWN} AS own, b.least, l.cs
+  FROM told t JOIN bounds b ON t.source IS NOT DISTINCT FROM b.source
+    JOIN listed l ON t.source IS NOT DISTINCT FROM l.source
 ), drawn AS (
-  SELECT d.*, len(list_filter(cs, lambda c: c <= {_uniform("'mix:' || coalesce(doc_id::VARCHAR, '')")}))::INTEGER AS copies
-  FROM documents d JOIN listed l ON d.source IS NOT DISTINCT FROM l.source
+  SELECT *, (least + len(list_filter(cs, lambda c: c <= {_uniform("'mix:' || own")})))::INTEGER AS copies FROM keyed
 ), copied AS (
   SELECT *, unnest(range(0, copies))::INTEGER AS copy FROM drawn
 )
-SELECT *, {_uniform("'mix-order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy")} AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, copies, copy,
+  {_uniform("'mix-order:' || own || ':' || copy")} AS shuffle_key
 FROM copied
 """
 
