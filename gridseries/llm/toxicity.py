@@ -13,16 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.llm._columns import turn, with_results
 
-# Bounds of the training sample: labelled texts, bytes of a text in it, and
-# characters of the passage that stands for a longer one.
+# Bounds of the training sample: labelled texts, and bytes of all of them.
 TEXTS = 4000
-TEXT_BYTES = 32_000
-PASSAGE_CHARS = TEXT_BYTES // 4
+SAMPLE_BYTES = 48 << 20
 # Texts of the sample that must have a word for it to get a weight.
 LEAST_TEXTS = 3
 REMEMBERED = 200_000
@@ -103,8 +101,13 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 150, pull: float =
     index = {w: i for i, w in enumerate(names)}
     rows, columns, owner, s = [], [], [], 0
     for b, bag in enumerate(bags):
+        blank = False
         for sentence in bag:
             found = [index[f] for w in sentence for f in _features(w) if f in index]
+            # As in a score, sentences without any weighted word count as one.
+            if not sentence or (blank and not found):
+                continue
+            blank = blank or not found
             columns += found
             rows += [s] * len(found)
             owner.append(b)
@@ -134,12 +137,13 @@ def learn(
     text: str = "text",
     label: str = "toxic",
     texts: int = TEXTS,
+    most_bytes: int = SAMPLE_BYTES,
 ) -> Model:
     """Fit a model on at most ``texts`` labelled rows, drawn by a hash of
-    ``doc_id``. A text of more than 32,000 bytes is learned from one passage of
-    8,000 characters at a place that the hash tells, under the text's label. Rows
-    without text or label take no part; of several labels of one id the highest
-    counts."""
+    ``doc_id``, and as many of them in the order of the hash as have ``most_bytes``
+    of text together; each is learned from whole. Rows without text or label, or
+    with more text than that alone, take no part; of several labels of one id the
+    highest counts."""
     drawn = (
         labels.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y"))
         .filter("i IS NOT NULL AND y IN (0, 1)")
@@ -154,10 +158,18 @@ def learn(
     ).filter("t IS NOT NULL")
     # The drawn rows are bounded by the parameter, so they may be broadcast.
     found = rows.join(F.broadcast(drawn.select("i", "y", "h")), "i")
-    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("t") - PASSAGE_CHARS + 1)) + 1
-    passage = F.substring("t", start.cast("int"), F.lit(PASSAGE_CHARS))
-    found = found.withColumn("t", F.when(F.octet_length("t") > TEXT_BYTES, passage).otherwise(F.col("t")))
-    sample = found.orderBy("h", "i", "t").select("t", "y").limit(texts).collect()
+    # Sizes first: texts are fetched only if they fit.
+    order = Window.orderBy("h", "i", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = found.select("h", "i", F.xxhash64("t").alias("x"), F.octet_length("t").alias("n"))
+    sizes = sizes.filter(F.col("n") <= most_bytes).orderBy("h", "i", "x").limit(texts)
+    kept = sizes.withColumn("all", F.sum("n").over(order)).filter(F.col("all") <= most_bytes)
+    kept = {(r["h"], r["x"]) for r in kept.collect()}
+    fits = found.filter(F.octet_length("t") <= most_bytes).withColumn("x", F.xxhash64("t"))
+    last = max(kept, default=None)
+    if last is None:
+        return fit([], [])
+    fits = fits.filter(F.col("h") <= last[0]).orderBy("h", "i", "x").limit(len(kept))
+    sample = [r for r in fits.select("h", "x", "t", "y").collect() if (r["h"], r["x"]) in kept]
     return fit([r["t"] for r in sample], [r["y"] for r in sample])
 
 
