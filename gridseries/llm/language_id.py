@@ -9,7 +9,7 @@ forward-backward algorithm over all their words.
 """
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,31 +22,49 @@ UNKNOWN = "und"
 # Bounds of the training sample: passages of a language, characters of a passage, languages.
 PASSAGES = 300
 PASSAGE_CHARS = 1500
-LANGUAGES = 200
+LANGUAGES = 64
+# Names of languages left out that a model tells.
+NAMED = 1000
 # Times a word must occur in the training passages to be in the lexicon.
 LEXICON = 5
-# Feature weights are kept under their hash.
-TABLE = 1 << 18
+# Feature weights are kept under their hash, in a table for each language. All
+# tables together have WEIGHTS at most, so many languages have smaller ones.
+TABLE_BITS = 18
+WEIGHTS = 1 << 22
 SEQUENCE = 64
+# States of all training sequences together: words times languages.
+STATES = 1 << 23
 BLOCK = 32
 REMEMBERED = 150_000
-# The words of a slice take some thirty times its size.
+# The words of a slice take some thirty times its size, and more with the square of
+# the number of languages.
 SLICE_BYTES = 1 << 20
+FEW_LANGUAGES = 16
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    weights: np.ndarray  # (TABLE, languages)
+    weights: np.ndarray  # (size of a table, languages)
     transitions: np.ndarray  # (languages, languages), logarithms
+    left_out: tuple[str, ...] = ()  # less frequent languages it has not learned
+
+
+def table_bits(languages: int) -> int:
+    """Bits of a feature's place in the table of each of so many languages."""
+    return min(TABLE_BITS, (WEIGHTS // max(languages, 1)).bit_length() - 1)
+
+
+def _nothing(left_out=()) -> Model:
+    return Model([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), left_out)
 
 
 def _core(word: str) -> str:
     return word if word.isalpha() else "".join([c for c in word if c.isalpha()])
 
 
-def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _features(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words, one word after the other, and their counts."""
     data = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode(), np.uint8)
     first = np.flatnonzero(data == 2)
@@ -71,12 +89,12 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner.append(np.arange(len(words)))
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    hashed = (np.concatenate(found) >> np.uint64(46)).astype(np.int64)
+    hashed = (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
     return hashed[order], np.bincount(owner, minlength=len(words))
 
 
 def _emissions(weights: np.ndarray, words: list[str]) -> np.ndarray:
-    features, counts = _features(words)
+    features, counts = _features(words, len(weights).bit_length() - 1)
     starts = np.cumsum(counts) - counts
     return np.add.reduceat(weights[features], starts, axis=0)
 
@@ -93,7 +111,7 @@ def fit(passages: list[tuple[str, str]], *, rounds: int = 60, seed: int = 9) ->
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in by_language]
     total = sum(map(len, coded))
-    sequences = max(1, min(4000, total // SEQUENCE))
+    sequences = max(1, min(4000, total // SEQUENCE, STATES // (SEQUENCE * k)))
     words = np.zeros((sequences, SEQUENCE), np.int64)
     truth = np.zeros((sequences, SEQUENCE), np.int64)
     for s in range(sequences):
@@ -106,7 +124,8 @@ def fit(passages: list[tuple[str, str]], *, rounds: int = 60, seed: int = 9) ->
             truth[s, at : at + n] = lang
             at, lang = at + n, int(rng.integers(k))
     names = list(vocabulary)
-    features, counts = _features(names)
+    bits = table_bits(k)
+    features, counts = _features(names, bits)
     often = np.bincount(words.ravel(), minlength=len(names)) >= LEXICON
     # The last feature of a word is the word itself; only the lexicon keeps it.
     last = np.cumsum(counts) - 1
@@ -115,7 +134,7 @@ def fit(passages: list[tuple[str, str]], *, rounds: int = 60, seed: int = 9) ->
     owner = np.repeat(np.arange(len(names), dtype=np.int32), counts)[keep]
     features = features[keep].astype(np.int32)
     starts = np.flatnonzero(np.diff(owner, prepend=-1))
-    weights = np.zeros((TABLE, k))
+    weights = np.zeros((1 << bits, k))
     transitions = np.zeros((k, k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros((k, k)), np.zeros((k, k))]
     one_hot = np.eye(k)
@@ -141,8 +160,8 @@ def fit(passages: list[tuple[str, str]], *, rounds: int = 60, seed: int = 9) ->
             after = backward[:, i + 1] * e[:, i + 1]
             b = after @ t.T
             backward[:, i] = b / b.sum(1, keepdims=True)
-            joint = forward[:, i][:, :, None] * t * after[:, None, :]
-            expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            both = (forward[:, i] @ t * after).sum(1, keepdims=True)
+            expected += t * ((forward[:, i] / both).T @ after)
         posterior = forward * backward
         posterior /= posterior.sum(2, keepdims=True)
         slope = (posterior - one_hot[truth]).reshape(-1, k)
@@ -150,7 +169,7 @@ def fit(passages: list[tuple[str, str]], *, rounds: int = 60, seed: int = 9) ->
             [np.bincount(words.ravel(), slope[:, c], len(names)) for c in range(k)], 1
         )
         gradient = np.stack(
-            [np.bincount(features, by_word[:, c][owner], TABLE) for c in range(k)], 1
+            [np.bincount(features, by_word[:, c][owner], 1 << bits) for c in range(k)], 1
         ) / n_words
         gradient += 1e-6 * weights
         moves = (expected - pairs) / n_words + 1e-5 * transitions
@@ -303,23 +322,28 @@ def learn(
     text: str = "text",
     lang: str = "lang",
     passages: int = PASSAGES,
+    languages: int = LANGUAGES,
 ) -> Model:
     """Fit a model on a bounded sample of the rows that have text and ``lang``.
 
     At most about ``passages`` rows of each language are drawn, by a hash of
     ``doc_id``, and of each row one passage of 1,500 characters at a place that
-    the hash tells; 200 languages at most. Without any such row the model knows
-    no language.
+    the hash tells. Where there are more than ``languages`` values of ``lang``, the
+    most frequent ones are learned (of equally frequent ones those that sort first),
+    and the model's ``left_out`` names up to 1,000 of the others, the most frequent
+    first; texts in these get the likeliest learned language. Without any such row
+    the model knows no language.
     """
     rows = documents.select(
         F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"),
         F.col(f"`{lang}`").cast("string").alias("l"),
     ).filter("t IS NOT NULL AND l IS NOT NULL")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    # The most frequent languages, and the names of some that are not among them.
+    counted = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l")
+    counted = [(r["l"], r["n"]) for r in counted.limit(languages + NAMED).collect()]
+    counts, left_out = dict(counted[:languages]), tuple(name for name, _ in counted[languages:])
     if not counts:
-        return Model([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0)))
+        return _nothing()
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col("l") == name, passages / n).otherwise(share)
@@ -332,8 +356,8 @@ def learn(
     sample = sorted((r["l"], r["p"]) for r in found.collect())
     known = [(a, b) for a, b in sample if any(map(_core, b.lower().split()))]
     if not known:
-        return Model([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0)))
-    return fit(known)
+        return _nothing(left_out)
+    return replace(fit(known), left_out=left_out)
 
 
 def identify(documents: DataFrame, model: Model, *, text: str = "text", spans: bool = False) -> DataFrame:
@@ -381,7 +405,8 @@ def identify(documents: DataFrame, model: Model, *, text: str = "text", spans: b
     schema = "lang_pred string, score double"
     if spans:
         schema += ", spans array<struct<lang: string, first: int, stop: int>>"
-    return with_results(documents, text, work, schema, SLICE_BYTES)
+    share = min(1.0, (FEW_LANGUAGES / max(len(model_languages), 1)) ** 2)
+    return with_results(documents, text, work, schema, int(SLICE_BYTES * share))
 
 
 def _struct(columns, spans) -> pa.Array:
