@@ -397,7 +397,7 @@ def test_languages_of_code_switched_words(spark):
 
 def test_forward_backward_equals_a_plain_chain():
     rng = np.random.default_rng(9)
-    model = language_id.Model(["a", "b", "c"], np.zeros((language_id.TABLE, 3), np.float32), rng.normal(size=(3, 3)))
+    model = language_id.Model(["a", "b", "c"], np.zeros((1 << language_id.TABLE_BITS, 3), np.float32), rng.normal(size=(3, 3)))
     labeller = language_id._Labeller(model)
     labeller.table = np.exp(rng.normal(size=(50, 3)))
     counts = np.array([0, 1, 33, 200, 0, 32, 64, 5])
