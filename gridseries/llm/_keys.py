@@ -9,19 +9,24 @@ LOWEST = -(2**63)
 
 
 def keyed(documents: DataFrame, doc_id: str, text: str, d: str, x: str) -> tuple[DataFrame, bool]:
-    """Add columns ``d`` (the id, NULL as the lowest) and ``x`` (a hash of the
-    text) that together tell different rows apart, and say whether rows repeat.
+    """Add columns ``d`` (the id, NULL as the lowest) and ``x`` that together tell
+    different rows apart, and say whether rows repeat.
 
-    ``x`` is a hash of 64 bits, checked by a second one: where two texts of one
-    id agree in it, which may never happen, another seed is taken. So equal keys
-    mean equal id and text. One job groups the keys; only those met twice are kept.
+    One job looks for ids that repeat; where none does, ``x`` is 0 and the texts are
+    not read. Else it is a hash of the text of 64 bits, checked by a second one:
+    where two texts of one id agree in it, which may never happen, another seed is
+    taken. So equal keys mean equal id and text. Only keys met twice are kept.
     """
     spark = documents.sparkSession
+    number = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(LOWEST).cast("bigint"))
+    several = documents.groupBy(number.alias("d")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if several.isEmpty():
+        return documents.withColumns({d: number, x: F.lit(0).cast("bigint")}), False
     body = F.col(f"`{text}`").cast("binary")
     for seed in range(16):
         out = documents.withColumns(
             {
-                d: F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(LOWEST).cast("bigint")),
+                d: number,
                 x: F.xxhash64(F.lit(seed), body),
             }
         )

@@ -32,7 +32,7 @@ from gridseries.session import stored
 
 GRAM = 24
 # Bytes of text that a task works on at once; places in them need 24 bits.
-SLICE = 2 << 20
+SLICE = 3 << 19
 PLACE_BITS = 24
 # Different runs of one anchor within a slice from which it counts as frequent.
 FREQUENT = 32
