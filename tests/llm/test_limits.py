@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gridseries.llm import language_id, mixing, toxicity
+from gridseries.llm import language_id, mixing, toxicity, url_filter
 from tests.compare import TABLES, differences
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -130,3 +130,55 @@ def test_tables_fit_their_bound():
     assert language_id.table_bits(4) == language_id.TABLE_BITS
     for k in (1, 16, 17, 64, 1000):
         assert k << language_id.table_bits(k) <= language_id.WEIGHTS
+
+
+# --- 7 -----------------------------------------------------------------------
+
+
+def test_rules_of_any_number(spark):
+    """A table of rules gives what a plain search over all of them gives."""
+    rng = random.Random(7)
+    parts = ["a", "b", "com", "net", "x-y", ""]
+    paths = ["", "/", "/en", "/en/", "/en/1", "/é", "/.*"]
+
+    def host():
+        return ".".join(rng.choices(parts, k=rng.randint(1, 4)))
+
+    rules = [(rng.choice(["allow", "block"]), host() + rng.choice(paths)) for _ in range(3000)]
+    rules = list({r: (v, r) for v, r in rules}.values())
+    urls = [f"http://{host()}{rng.choice(paths)}{rng.choice(['', '2', '?q', '/en/'])}" for _ in range(400)]
+    frame = spark.createDataFrame([(u, i) for i, u in enumerate([*urls, None, "none", *urls[:30]])], "url string, _match int")
+    table = spark.createDataFrame([*rules, (None, "a"), ("block", None)], "verdict string, rule string")
+    model = url_filter.fit([])
+    out = url_filter.judge(frame, table, model)
+    assert out.columns == url_filter.judge(frame, rules[:3], model).columns
+    found = out.collect()
+    assert len(found) == frame.count()
+    for r in found:
+        fits = []
+        for verdict, rule in rules:
+            domain, slash, rest = rule.partition("/")
+            if ("." + r["host"]).endswith("." + domain) and r["path"].startswith(slash + rest):
+                fits.append((len(rule), rule, verdict))
+        best = max(fits, default=None)
+        if best is None:
+            assert r["rule"] is None and r["verdict"] == "block"
+        else:
+            assert (len(r["rule"]), r["verdict"]) == (best[0], {f[2] for f in fits if f[1] == r["rule"]}.pop())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_url_words_held_out():
+    """Beginnings that the table does not have, with endings that it has: the four
+    parts in turn. The given hosts share no word with the table."""
+    caught, clean = [], []
+    for k in range(4):
+        known = [[w for i, w in enumerate(ws) if i % 4 != k] for ws in (url_filter.BLOCKED, url_filter.ALLOWED)]
+        model = url_filter.fit(url_filter.labelled_urls(*known))
+        for urls, into in (((url_filter.BLOCKED[k::4], []), caught), (([], url_filter.ALLOWED[k::4]), clean)):
+            texts = ["".join(url_filter._parts(u)) for u, _ in url_filter.labelled_urls(*urls)]
+            into += (model.log_odds(texts) >= 0).tolist()
+    assert sum(caught) > 0.75 * len(caught) and sum(clean) < 0.02 * len(clean)
+    given = "casino win free bets cheap pills ads track spam farm adult".split()
+    assert not set(given) & {w for ws in (url_filter.BLOCKED, url_filter.ALLOWED) for w in ws}
