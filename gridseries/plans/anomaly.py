@@ -20,7 +20,7 @@ from gridseries.operators import (
 )
 from gridseries.operators.region import NO_OVERLAP, regions_of_atoms, within_span
 from gridseries.operators.spatial import covered, daily_sums, grid_labels, masked, weight_of_labels
-from gridseries.session import stored
+from gridseries.session import discard, stored
 from gridseries.sinks import write_csv
 from gridseries.sources import read_grid
 
@@ -215,6 +215,8 @@ def preprocess_job(
         reference_end=climatology_end,
         strict=True,
     )
-    rows = write_csv(stored(table, "anomaly"), output_path)
+    made = stored(table, "anomaly")
+    rows = write_csv(made, output_path)
+    discard(spark, made)
     LOGGER.info("wrote %d daily rows to %s", rows, output_path)
     return rows

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridseries import constants as C
 from gridseries import schemas
 from gridseries.operators import metadata_of, predictions_of, scored_days
-from gridseries.session import stored
+from gridseries.session import discard, stored
 from gridseries.sinks import write_csv, write_metadata
 from gridseries.sources import read_anomaly_table
 
@@ -34,6 +34,9 @@ def persistence_job(
 ) -> DataFrame:
     """Anomaly table in, predictions and metadata out; returns the metadata.
 
+    A table that ``sinks.write_series`` has stored by its keys (``format="series"``)
+    is scored without an exchange.
+
     The forecast runs once, into the scratch folder. All checks have been passed
     before the tables of an earlier run are touched: with ``strict``, that every
     series has a day to score. Without it, one that has none is in the metadata
@@ -45,4 +48,5 @@ def persistence_job(
     metadata = stored(metadata_of(scored, **options), "metadata")
     write_csv(predictions_of(scored, keys=keys), predictions_path, keys=keys)
     write_metadata(metadata, metrics_path, keys=keys)
+    discard(spark, scored)
     return metadata
