@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridseries.llm import bpe, language_id, mixing, near_dup, suffix_dedup
 from gridseries.llm.queries import WORD_BPE
-from gridseries.session import scratch_path
+from gridseries.session import discard, scratch_path
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,5 +84,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if number < len(STAGES):
             path = scratch_path(spark, f"stage{number}")
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            if number > 1:
+                # The table before has been read for the last time.
+                discard(spark, before)
+            before = docs = spark.read.parquet(path)
     return docs
