@@ -102,7 +102,9 @@ class _Words:
     def rows(self, number: int, lang: str) -> Iterator[pa.RecordBatch]:
         met = np.concatenate(self.parts)
         words = list(self.known)
-        order = sorted(range(1, len(words)), key=words.__getitem__)
+        # Frequent words have small numbers, which take less room.
+        times = np.bincount(met, minlength=len(words)).tolist()
+        order = sorted(range(1, len(words)), key=lambda i: (-times[i], words[i]))
         new = np.zeros(len(words), np.uint32)
         new[order] = np.arange(len(order), dtype=np.uint32)
         places = np.flatnonzero(met)
@@ -262,11 +264,14 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.concatenate([_unpacked_hashes(x) for x in row["often"].as_py()])
         places, left, right, inverse, counts, hashes = _neighbours(lang, places, groups, phrases)
         kept = np.isin(hashes, often)
-        new = np.cumsum(kept) - 1
+        order = np.flatnonzero(kept)
+        order = order[np.argsort(-counts[order], kind="stable")]
+        new = np.zeros(len(kept), np.int64)
+        new[order] = np.arange(len(order))
         stay = kept[inverse]
         last = [t.rsplit(" ", 1)[-1] for t in phrases]
-        texts = [f"{phrases[i]} {last[j]}" for i, j in zip(left[kept].tolist(), right[kept].tolist())]
-        yield from _block(row["block"].as_py(), lang, texts, counts[kept], places[stay], new[inverse[stay]])
+        texts = [f"{phrases[i]} {last[j]}" for i, j in zip(left[order].tolist(), right[order].tolist())]
+        yield from _block(row["block"].as_py(), lang, texts, counts[order], places[stay], new[inverse[stay]])
 
 
 def _written(frame: DataFrame, name: str) -> DataFrame:
