@@ -21,7 +21,9 @@ def keyed(documents: DataFrame, doc_id: str, text: str, d: str, x: str) -> tuple
     number = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(LOWEST).cast("bigint"))
     several = documents.groupBy(number.alias("d")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if several.isEmpty():
-        return documents.withColumns({d: number, x: F.lit(0).cast("bigint")}), False
+        # Zero, but no literal: Spark would take that out of the exchange that all
+        # readers of the texts share.
+        return documents.withColumns({d: number, x: number.bitwiseAND(F.lit(0).cast("bigint"))}), False
     body = F.col(f"`{text}`").cast("binary")
     for seed in range(16):
         out = documents.withColumns(
