@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridseries.llm import _keys, collocations, hard_negatives, recompression, suffix_dedup
+from gridseries.llm import _keys, collocations, hard_negatives, queries, recompression, suffix_dedup
 
 ODD = "doc_id bigint, text string, spans string, _d int, `N_words` int, c0 string"
 
@@ -304,3 +304,11 @@ def test_bounds_hold_down_the_tree(spark):
         low, high = block.refine(int(p), 10.0, np.ones(200, bool), 5000.0, 9000.0)
         assert (low <= exact[:, p] + 1e-6).all() and (exact[:, p] <= high + 1e-6).all()
 
+
+
+@pytest.mark.parametrize("name", ["op10_suffix_dedup", "op12_recompression"])
+def test_texts_are_read_and_dealt_out_once(spark, name):
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and plan.count("ReusedExchange") >= 2
