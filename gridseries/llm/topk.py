@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from gridseries.llm._columns import released, ship
 from gridseries.session import scratch_path
 
-# Rows of a block of vectors and of a block of queries.
-BLOCK = 4096
-QUERIES = 1024
+# Rows of a bucket of vectors, which a task holds, and of a group of queries, which
+# pass by it batch by batch: a vector travels once for each group, a query once for
+# each bucket that its own threshold leaves.
+BLOCK = 8192
+QUERIES = 16384
 # Coordinates of a query that bound a cosine, and the local threshold from which
 # looking at them first is worth it.
 FOCUS = 16
@@ -69,76 +71,82 @@ def _best(ids, scores, k: int) -> np.ndarray:
     return place[np.lexsort((ids[place], -scores[place]))][:k]
 
 
-def _search(q_ids, queries, floors, ids, rows, k: int):
-    """Candidates of each query in one block of vectors: (query, id, score)."""
-    q_len = np.sqrt((queries**2).sum(1))
-    length = np.sqrt((rows**2).sum(1))
-    longest = length.max()
-    out_q, out_i, out_s = [], [], []
-    unit_q = queries / np.maximum(q_len, 1e-300)[:, None]
-    unit = rows / np.maximum(length, 1e-300)[:, None]
-    for i in range(len(q_ids)):
-        floor = floors[i]
-        keep = ids != q_ids[i]
-        if np.isfinite(floor) and floor > 0:
-            # A hair less than the bound, as lengths are rounded.
-            local = (floor - 0.5) / max(q_len[i] * longest, 1e-300)
-            if local > 1:
+class _Bucket:
+    """The vectors of one bucket, with what every query needs of them."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows = ids, rows
+        self.length = np.sqrt((rows**2).sum(1))
+        self.longest, self.shortest = self.length.max(), self.length.min()
+        self.unit = rows / np.maximum(self.length, 1e-300)[:, None]
+
+    def best(self, q_ids, queries, floors, k: int) -> tuple[list, list, list]:
+        """Candidates of each query among the vectors: query, id and score."""
+        q_len = np.sqrt((queries**2).sum(1))
+        unit_q = queries / np.maximum(q_len, 1e-300)[:, None]
+        out_q, out_i, out_s = [], [], []
+        for i in range(len(q_ids)):
+            floor = floors[i]
+            keep = self.ids != q_ids[i]
+            if np.isfinite(floor) and floor > 0:
+                # A hair less than the bound, as lengths are rounded.
+                local = (floor - 0.5) / max(q_len[i] * self.longest, 1e-300)
+                if local > 1:
+                    continue
+                if self.shortest < self.longest:
+                    keep &= self.length * q_len[i] >= floor - 0.5
+                if local >= STEEP:
+                    keep &= self._bound(unit_q[i]) * q_len[i] * self.length >= floor - 0.5
+            place = np.flatnonzero(keep)
+            if not len(place):
                 continue
-            if length.min() < longest:
-                keep &= length * q_len[i] >= floor - 0.5
-            if local >= STEEP:
-                focus = np.argsort(-np.abs(unit_q[i]))[:FOCUS]
-                part = unit[:, focus] @ unit_q[i][focus]
-                rest_q = 1 - (unit_q[i][focus] ** 2).sum()
-                rest = 1 - (unit[:, focus] ** 2).sum(1)
-                bound = part + np.sqrt(np.maximum(rest_q, 0) * np.maximum(rest, 0))
-                keep &= bound * q_len[i] * length >= floor - 0.5
-        place = np.flatnonzero(keep)
-        if not len(place):
-            continue
-        scores = _products(queries[i : i + 1], rows[place])[0]
-        if np.isfinite(floor):
-            place, scores = place[scores >= floor], scores[scores >= floor]
-        top = _best(ids[place], scores, k)
-        out_q += [q_ids[i]] * len(top)
-        out_i += ids[place[top]].tolist()
-        out_s += scores[top].tolist()
-    return out_q, out_i, out_s
+            scores = _products(queries[i : i + 1], self.rows[place])[0]
+            if np.isfinite(floor):
+                place, scores = place[scores >= floor], scores[scores >= floor]
+            top = _best(self.ids[place], scores, k)
+            out_q += [q_ids[i]] * len(top)
+            out_i += self.ids[place[top]].tolist()
+            out_s += scores[top].tolist()
+        return out_q, out_i, out_s
+
+    def _bound(self, unit_q: np.ndarray) -> np.ndarray:
+        """Upper bounds of the cosines, from the query's largest coordinates."""
+        focus = np.argsort(-np.abs(unit_q))[:FOCUS]
+        part = self.unit[:, focus] @ unit_q[focus]
+        rest_q = 1 - (unit_q[focus] ** 2).sum()
+        rest = 1 - (self.unit[:, focus] ** 2).sum(1)
+        return part + np.sqrt(np.maximum(rest_q, 0) * np.maximum(rest, 0))
 
 
 def _pairs(k: int):
+    """Search of batches sorted by bucket and group of queries, vectors first."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, parts, bucket = None, [], None
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns))
-            key = np.stack([columns[c].to_numpy() for c in ("dims", "bucket", "q_block")], 1)
+            asks = columns["is_query"].to_numpy(zero_copy_only=False)
+            key = np.stack([*(columns[c].to_numpy() for c in ("dims", "bucket", "q_block")), asks], 1)
             edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for a, b in zip(edges, edges[1:]):
                 if b == a:
                     continue
-                mine = tuple(key[a])
-                if mine != now and held:
-                    yield from solve(held)
-                    held = []
-                now = mine
-                held.append({n: c.slice(a, b - a) for n, c in columns.items()})
-        if held:
-            yield from solve(held)
-
-    def solve(parts):
-        is_query = np.concatenate([p["is_query"].to_numpy(zero_copy_only=False) for p in parts])
-        if is_query.all() or not is_query.any():
-            return
-        ids = np.concatenate([p["id"].to_numpy() for p in parts])
-        floors = np.concatenate([p["floor"].to_numpy() for p in parts])
-        vectors = np.concatenate([_matrix(p["v"]) for p in parts])
-        found = _search(
-            ids[is_query], vectors[is_query], floors[is_query], ids[~is_query], vectors[~is_query], k
-        )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"]
-        )
+                if tuple(key[a, :3]) != now:
+                    now, parts, bucket = tuple(key[a, :3]), [], None
+                ids = columns["id"].slice(a, b - a).to_numpy()
+                vectors = _matrix(columns["v"].slice(a, b - a))
+                if not asks[a]:
+                    parts.append((ids, vectors))
+                    continue
+                if parts:
+                    bucket = _Bucket(*(np.concatenate(x) for x in zip(*parts)))
+                    parts = []
+                if bucket is not None:
+                    floors = columns["floor"].slice(a, b - a).to_numpy()
+                    found = bucket.best(ids, vectors, floors, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"]
+                    )
 
     return work
 
@@ -162,8 +170,8 @@ def top_products(
     fewer rows. Of repeated rows with one id and one vector the first counts
     once; a repeated id with different vectors counts with each, as a query too
     (its ranks are taken over all of them). Scores beyond 64 bits are clipped to
-    them. Other columns are ignored. Blocks of queries meet blocks of vectors,
-    so no task holds more than one block of each.
+    them. Other columns are ignored. A task holds one bucket of vectors and one
+    batch of the queries that pass by it.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -190,22 +198,23 @@ def top_products(
 
     def candidates(questions: DataFrame, pairs: DataFrame) -> DataFrame:
         """Best of every query of the blocks in each bucket they are paired with."""
-        pairs = pairs.select("dims", "bucket", "q_block")
         columns = ["dims", "bucket", "q_block", "is_query", "id", "floor", "v"]
-        there = rows.join(pairs, ["dims", "bucket"]).withColumns(
+        visited = pairs.select("dims", "bucket", "q_block")
+        there = rows.join(visited, ["dims", "bucket"]).withColumns(
             {"is_query": F.lit(False), "floor": F.lit(float("-inf"))}
         )
-        here = questions.join(pairs, ["dims", "q_block"]).withColumn("is_query", F.lit(True))
+        here = _visits(questions, pairs).withColumn("is_query", F.lit(True))
         met = there.select(*columns).unionByName(here.select(*columns))
         keys = ["dims", "bucket", "q_block"]
         return (
             met.repartition(*keys)
-            .sortWithinPartitions(*keys)
+            .sortWithinPartitions(*keys, "is_query")
             .mapInArrow(released(_pairs(k)), "query_id bigint, vec_id bigint, score bigint")
         )
 
     start = candidates(
-        asked.withColumn("floor", F.lit(float("-inf"))), of_block.join(first, "dims")
+        asked.withColumns({"floor": F.lit(float("-inf")), "threshold": F.lit(float("-inf"))}),
+        of_block.join(first, "dims").join(of_bucket, ["dims", "bucket"]),
     )
     start = _written(start, "first_bucket")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -219,12 +228,12 @@ def top_products(
     asked = asked.join(floors.join(single, "id"), "id", "left").withColumn(
         "floor", F.coalesce("floor", F.lit(float("-inf")))
     )
-    # The local threshold of a bucket for the block's easiest query.
-    of_block = asked.groupBy("dims", "q_block").agg(
-        F.min(
-            F.coalesce(F.try_divide(F.col("floor") - 0.5, "length"), F.lit(float("-inf")))
-        ).alias("least")
+    # The least length that a hit of the query has; a group goes by its easiest query.
+    asked = asked.withColumn(
+        "threshold",
+        F.coalesce(F.try_divide(F.col("floor") - 0.5, "length"), F.lit(float("-inf"))),
     )
+    of_block = asked.groupBy("dims", "q_block").agg(F.min("threshold").alias("least"))
     last = first.select("dims", F.col("bucket").alias("first"))
     pairs = (
         of_bucket.join(of_block, "dims")
@@ -236,6 +245,13 @@ def top_products(
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _visits(questions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Queries beside each bucket of their group whose longest vector may be a hit."""
+    return questions.join(pairs.select("dims", "bucket", "q_block", "longest"), ["dims", "q_block"]).filter(
+        "NOT threshold > longest"
+    )
+
+
 def _written(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(frame.sparkSession, name)
     frame.write.parquet(path)

@@ -258,6 +258,38 @@ def test_search_edges(spark):
     assert {r["score"] for r in topk.top_products(large, large).collect()} == {2**63 - 1}
 
 
+def test_queries_visit_the_buckets_that_their_own_threshold_leaves(spark):
+    asked = spark.createDataFrame(
+        [(1, 2, 0, float("-inf")), (2, 2, 0, 5.0), (3, 2, 0, 7.5), (4, 2, 1, 7.5), (5, 3, 0, 1.0)],
+        "id bigint, dims int, q_block int, threshold double",
+    )
+    pairs = spark.createDataFrame(
+        [(2, b, q, longest) for b, longest in enumerate([2.0, 5.0, 7.0, 9.0]) for q in (0, 1)],
+        "dims int, bucket int, q_block int, longest double",
+    )
+    visits = {(r["id"], r["bucket"]) for r in topk._visits(asked, pairs).collect()}
+    assert visits == {*((1, b) for b in range(4)), (2, 1), (2, 2), (2, 3), (3, 3), (4, 3)}
+
+
+def test_a_bucket_is_searched_by_queries_of_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(3)
+        v = rng.integers(-3, 4, (300, 4))
+        rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+        frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        out = topk.top_products(frame, frame.filter("vec_id % 3 = 0"), k=4, scale=1.0)
+        expected = set()
+        for q in range(0, 300, 3):
+            scores = v @ v[q]
+            best = sorted((i for i in range(300) if i != q), key=lambda i: (-scores[i], i))[:4]
+            expected |= {(q, r + 1, i, int(scores[i])) for r, i in enumerate(best)}
+        assert {tuple(r) for r in out.collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # --- 6 -----------------------------------------------------------------------
 
 
